@@ -57,7 +57,7 @@ class Rules:
     """Largest shares of a text's word characters that may stand in windows of n words, and in lines, that the text has
     had before; and of its lines that may be such. A heading or notice that comes back once stays below them."""
 
-    windows: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    windows: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.15, 7: 0.15, 8: 0.15, 9: 0.15, 10: 0.12})
     line_chars: float = 0.20
     lines: float = 0.50
     min_words: int = 50

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality
+from marlstone.llm import quality, simhash
 
 
 def queries() -> dict:
-    return {"op7_quality": quality.op7_quality}
+    return {"op3_simhash": simhash.op3_simhash, "op7_quality": quality.op7_quality}
 
 
 def oracle_sql() -> dict:
