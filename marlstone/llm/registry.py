@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality, simhash
+from marlstone.llm import packing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op3_simhash": simhash.op3_simhash, "op7_quality": quality.op7_quality}
+    return {"op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing, "op7_quality": quality.op7_quality}
 
 
 def oracle_sql() -> dict:
