@@ -69,7 +69,7 @@ class Encoder:
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, as bytes; each new pre-token goes to the tokenizer once."""
         split = [PRE.findall(p.lower()) if SIMPLE.fullmatch(p) and "<|" not in p else None for p in parts]
-        new = list(set().union(*filter(None, split)) - self.pre.keys())
+        new = [w for w in set().union(*filter(None, split)) if w not in self.pre]
         if len(self.pre) + len(new) > self.most // 2:
             self.pre = {}
             new = list(set().union(*filter(None, split)))
