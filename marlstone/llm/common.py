@@ -39,17 +39,25 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def spread_rank(df: DataFrame, key: list[str], order: list[str], salt: Column, salts: int, weight: Column | None = None, into: str = "rank") -> DataFrame:
+def spread_rank(df: DataFrame, key: list[str], order: list[str], salt: Column, weight: Column | None = None, into: str = "rank", carry: DataFrame | None = None) -> DataFrame:
     """Adds `into`: how much weight (rows, if None) stands before each row among the rows of its key.
 
-    No key is gathered in one task: the rows of a key are dealt over `salts` groups by `salt` (0 to salts - 1), ranked
-    inside each, and shifted by what the key's earlier groups hold. The order is that of salt, then `order`.
+    No key is gathered in one task: the rows of a key are dealt over groups by `salt`, ranked inside each, and shifted
+    by what the key's earlier groups hold. The order is that of salt, then `order`. carry: a table with one row per key,
+    whose other columns are added on the way, so that a hot key isn't joined by itself.
     """
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
     df = df.withColumn("_salt", salt.cast("int")).withColumn("_w", w)
     sums = df.groupBy(*key, "_salt").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if carry is not None:
+        extra = [c for c in carry.columns if c not in key]
+        other = carry.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(key)], *extra)
+        same = F.lit(True)
+        for i in range(len(key)):
+            same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_c{i}"))
+        sums = sums.join(other, same).drop(*[f"_c{i}" for i in range(len(key))])
     on = F.col("_salt") == F.col("_s")
     for i, k in enumerate(key):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))

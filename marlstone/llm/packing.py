@@ -295,7 +295,7 @@ def place(rows: DataFrame, length_col: str = "length", id_cols: tuple[str, ...]
     salts = max(16, sum(histogram.values()) // 200_000)
     order = [c for c in rows.columns if c != length_col]
     salt = F.pmod(F.xxhash64(*id_cols), F.lit(salts))
-    ranked = spread_rank(rows, [length_col], [c for c in order if c not in ("ids",)], salt, salts, into="_rank")
+    ranked = spread_rank(rows, [length_col], [c for c in order if c not in ("ids",)], salt, into="_rank")
     at = ranked.columns.index(length_col)
     schema = type(rows.schema)([*rows.schema.fields]).add("sequence_id", "long").add("offset", "long")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import packing, quality, secrets, simhash
+from marlstone.llm import mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing, "op7_quality": quality.op7_quality, "op9_secrets": secrets.op9_secrets}
+    return {"op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing, "op7_quality": quality.op7_quality, "op8_mixing": mixing.op8_mixing, "op9_secrets": secrets.op9_secrets}
 
 
 def oracle_sql() -> dict:
