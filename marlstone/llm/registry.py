@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, htmltext, mixing, packing, pii, quality, secrets, simhash
+from marlstone.llm import chat, htmltext, mixing, packing, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_pii": pii.op1_pii, "op2_chat": chat.op2_chat, "op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing, "op5_html": htmltext.op5_html, "op7_quality": quality.op7_quality, "op8_mixing": mixing.op8_mixing, "op9_secrets": secrets.op9_secrets}
+    return {
+        "op1_pii": pii.op1_pii,
+        "op2_chat": chat.op2_chat,
+        "op3_simhash": simhash.op3_simhash,
+        "op4_packing": packing.op4_packing,
+        "op5_html": htmltext.op5_html,
+        "op6_warc": warc.op6_warc,
+        "op7_quality": quality.op7_quality,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_secrets": secrets.op9_secrets,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_pii": pii.op1_pii, "op2_chat": chat.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op6_warc": warc.ORACLE}
