@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("serving", "scalars")
+MODULES = ("serving", "scalars", "integrate")
 
 
 def _modules():
