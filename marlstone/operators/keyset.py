@@ -64,3 +64,24 @@ def trimmed(probed: DataFrame, spec: PageSpec) -> DataFrame:
         .withColumn("has_more", n > spec.limit)
         .where(F.col("page_pos") <= spec.limit)
     )
+
+
+def encode_cursor(at: Column, key: Column) -> Column:
+    """Opaque URL-safe token of a position."""
+    raw = F.base64(F.concat(at, F.lit("\n"), key).cast("binary"))
+    return F.regexp_replace(F.translate(raw, "+/", "-_"), "[=\r\n]", "")
+
+
+def decode_cursor(token: Column) -> Column:
+    """struct<at, id>; null for the start and for a malformed token."""
+    raw = F.translate(token, "-_", "+/")
+    text = F.try_to_binary(F.rpad(raw, (F.ceil(F.length(raw) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64")).cast("string")
+    ok = (F.coalesce(token, F.lit("")) != "") & F.contains(text, F.lit("\n"))
+    return F.when(ok, F.struct(F.substring_index(text, "\n", 1).alias("at"), F.substring_index(text, "\n", -1).alias("id")))
+
+
+def envelope(paged: DataFrame, cols: list[str], spec: PageSpec) -> DataFrame:
+    """One JSON body for a trimmed page; a page is bounded by its limit."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("page_pos", *cols))), lambda r: F.struct(*[r[c].alias(c) for c in cols]))
+    one = paged.agg(rows.alias("data"), F.coalesce(F.bool_or("has_more"), F.lit(False)).alias("has_more"))
+    return one.select(F.to_json(F.struct("data", F.struct("has_more", F.lit(spec.limit).alias("limit")).alias("page"))).alias("body"))
