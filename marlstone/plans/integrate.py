@@ -251,3 +251,23 @@ def dead_letters(spark, d):
 def fallback_rows(spark, d):
     parsed = F.when(F.col("page_id") % 6 != 0, F.regexp_extract("html", "<title>(.*?)</title>", 1))
     return table(spark, d, "pages").select("page_id", F.coalesce(parsed, F.concat(F.lit("catalog "), F.col("page_id").cast("string"))).alias("name"))
+
+
+@query(
+    "normalize_events",
+    """SELECT 'kintex-' || o_orderkey AS event_id, CASE WHEN k <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, CASE WHEN k = 1 THEN NULL ELSE strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') END AS end_date,
+       CASE WHEN k = 1 THEN 'low' ELSE 'high' END AS date_confidence, o_orderkey % 5 <> 0 AS industry, CASE WHEN o_orderkey % 7 = 0 THEN 'rule1: name required' WHEN o_orderkey % 6 = 0 THEN 'rule5: at least one source required' END AS error,
+       CASE WHEN k = 1 THEN 'edition,end_date,homepage_url,name_en,name_ko,start_date,summary,venue.city' ELSE 'edition,homepage_url,name_en,name_ko,summary,venue.city' END AS missing
+       FROM (SELECT *, o_orderkey % 3 AS k FROM orders)""",
+)
+def normalize_events(spark, d):
+    from marlstone.operators.normalize import normalized
+
+    k, o = F.col("o_orderkey"), F.col("o_orderdate")
+    raw = table(spark, d, "orders").select(
+        F.lit("kintex").alias("source_id"), F.concat(F.lit("kintex-"), k.cast("string")).alias("event_id"), F.when(k % 6 == 0, "javascript:1").otherwise("https://k.org/").alias("url"),
+        F.when(k % 7 == 0, " ").otherwise(F.col("o_orderpriority")).alias("name"), F.when(k % 3 == 1, "soon").otherwise(F.date_format(o, "yyyy.MM.dd")).alias("start_raw"), F.when(k % 3 == 1, F.lit(None)).otherwise(F.date_format(F.date_add(o.cast("date"), 2), "yyyy-M-d")).alias("end_raw"),
+        F.lit("KINTEX").alias("venue_name"), F.lit("Hall 1").alias("hall"), F.when(k % 5 == 0, "garden").otherwise("robot fair").alias("classify_text"),
+    )
+    e = normalized(raw, "2026-01-01T00:00:00Z")
+    return e.select("event_id", "start_date", "end_date", "date_confidence", (~F.col("excluded")).alias("industry"), "error", F.array_join("missing_fields", ",").alias("missing"))
