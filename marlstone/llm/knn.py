@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-An embedding's code is its signs. Codes are cut into segments of about log2(n) bits, and every distinct code is filed
-under each of its segments. In round r the queries still open look up all keys at exactly r bits from their own in every
+An embedding's code is its signs. Codes are cut into segments of about 0.8 * log2(n) bits, and every distinct code is
+filed under each of its segments. In round r the queries still open look up all keys at exactly r bits from their own in every
 segment; after it, any code within segments * (r + 1) - 1 bits has been met. A query closes once its kth verified
 distance is covered by that, so its answer, ties by id included, is proven. A candidate counts only in the segment and
 round in which it is met first, so nothing is met twice, and the last round reaches every code.
@@ -32,8 +32,9 @@ def sign_code(embedding: Column, bits: int = 64) -> Column:
 
 
 def bounds(bits: int, n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments for n codes."""
-    parts = max(1, math.ceil(bits / max(4, min(20, round(math.log2(max(n, 2)))))))
+    """(first bit, width) of the segments for n codes: n ** 0.8 keys in each, so a key holds n ** 0.2 codes on average and
+    neither the keys looked up nor the codes under them outgrow the other."""
+    parts = max(1, math.ceil(bits / max(4, min(20, round(0.8 * math.log2(max(n, 2)))))))
     edge = [round(bits * i / parts) for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
@@ -58,7 +59,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64) -> D
     parts = bounds(bits, n)
     entry = F.array(*[F.struct(F.lit(s).alias("seg"), _part(F.col("code"), a, w).alias("key")) for s, (a, w) in enumerate(parts)])
     filed = cut(index.select("code", F.size("ids").alias("n_ids"), F.col("ids")[0].alias("first_id"), F.explode(entry).alias("e")).select("code", "n_ids", "first_id", "e.*"))
-    still = cut(asked.select(F.col("code").alias("q")).distinct())
+    still = cut(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(bits)))
     best = None
     done = []
     widest = max(w for _, w in parts)
@@ -68,27 +69,32 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64) -> D
         masks = F.lit(None).cast("array<long>")
         for w in {w for _, _, w in looked}:
             masks = F.when(F.col("width") == w, _masks(w, r)).otherwise(masks)
-        probes = still.select("q", F.explode(probe).alias("p")).select("q", "p.*").select("q", "seg", "own", F.explode(masks).alias("m"))
-        probes = probes.select("q", F.col("seg").alias("pseg"), F.col("own").bitwiseXOR(F.col("m")).alias("pkey"))
+        probes = still.select("q", "bound", F.explode(probe).alias("p")).select("q", "bound", "p.*").select("q", "bound", "seg", "own", F.explode(masks).alias("m"))
+        probes = probes.select("q", "bound", F.col("seg").alias("pseg"), F.col("own").bitwiseXOR(F.col("m")).alias("pkey"))
         x = F.col("q").bitwiseXOR(F.col("code"))
         apart = [F.bit_count(_part(x, a, w)) for a, w in parts]
         first_seg = F.array_position(F.array(*[d == r for d in apart]), F.lit(True)) - 1
-        met = probes.join(filed, (F.col("pseg") == F.col("seg")) & (F.col("pkey") == F.col("key")) & (F.least(*apart) == r if len(apart) > 1 else apart[0] == r) & (first_seg == F.col("seg")))
+        met = probes.join(filed, (F.col("pseg") == F.col("seg")) & (F.col("pkey") == F.col("key")) & (F.least(*apart) == r if len(apart) > 1 else apart[0] == r) & (first_seg == F.col("seg")) & (F.bit_count(x) <= F.col("bound")))
         met = met.select("q", "code", "n_ids", "first_id", F.bit_count(x).cast("long").alias("distance"))
         if best is not None:
             met = met.union(best)
         top = Window.partitionBy("q").orderBy("distance", "first_id", "code")
         best = met.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
         cover = sum(min(r, w) + 1 for _, w in parts) - 1
-        best = cut(best.withColumn("_sure", F.sum(F.when(F.col("distance") <= cover, F.col("n_ids")).otherwise(0)).over(Window.partitionBy("q"))))
+        mine = Window.partitionBy("q")
+        sure, held = F.sum(F.when(F.col("distance") <= cover, F.col("n_ids")).otherwise(0)).over(mine), F.sum("n_ids").over(mine)
+        best = cut(best.withColumn("_sure", sure).withColumn("_bound", F.when(held >= k, F.max("distance").over(mine)).otherwise(bits)))
         closed = F.lit(r == widest) | (F.col("_sure") >= k)
-        done.append(best.where(closed).drop("_sure"))
-        open_ = best.where(~closed).drop("_sure")
+        done.append(best.where(closed).drop("_sure", "_bound"))
+        if r == widest:
+            break
         # A query that has met nothing yet stays open too.
-        still = cut(still.join(done[-1].select("q").distinct(), "q", "left_anti")) if r < widest else None
-        if still is None or still.isEmpty():
+        near = best.where(~closed).groupBy("q").agg(F.max("_bound").alias("_b"))
+        still = still.join(done[-1].select("q").distinct(), "q", "left_anti").join(near, "q", "left")
+        still = cut(still.select("q", F.coalesce("_b", F.lit(bits)).cast("int").alias("bound")))
+        if still.isEmpty():
             break
-        best = open_
+        best = best.where(~closed).drop("_sure", "_bound")
     found = done[0]
     for d in done[1:]:
         found = found.union(d)
