@@ -241,3 +241,35 @@ def action_of(text: Column) -> Column:
         out = F.when(any_of(text, words), k) if out is None else out.when(any_of(text, words), k)
     return out
 
+
+
+def preferred_format(accept: Column) -> Column:
+    """markdown where an Accept header weighs it above JSON, else json."""
+
+    def weight(kind: str) -> Column:
+        parts = F.filter(F.split(F.lower(F.coalesce(accept, F.lit(""))), r"\s*,\s*"), lambda p: F.trim(F.substring_index(p, ";", 1)) == kind)
+        q = F.transform(parts, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r";\s*q=([0-9.]+)", 1), F.lit("")).try_cast("double"), F.lit(1.0)))
+        return F.coalesce(F.array_max(q), F.lit(0.0))
+
+    return F.when(weight("text/markdown") > weight("application/json"), "markdown").otherwise("json")
+
+
+def unpacked(body: Column, charset: Column, cap: int = 1 << 19) -> Column:
+    """Text of a response body, gzip undone; null beyond `cap` bytes or in an unknown charset."""
+    import zlib
+
+    @F.pandas_udf("string")
+    def run(b: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for raw, name in zip(b, c, strict=True):
+            try:
+                data = bytes(raw or b"")
+                if data[:2] == b"\x1f\x8b":
+                    z = zlib.decompressobj(31)
+                    data = z.decompress(data, cap + 1)
+                out.append(None if len(data) > cap else data.decode(name or "utf-8", "replace"))
+            except (LookupError, zlib.error):
+                out.append(None)
+        return pd.Series(out)
+
+    return run(body, charset)
