@@ -54,6 +54,7 @@ WORDS = {
 }
 BY_WORD = {w: k for k, ws in reversed(WORDS.items()) for w in ws.split()}
 RANK = {k: i for i, k in enumerate(WORDS)}
+RIGHTS = re.compile(r"^\W*(?:©|\(c\) |copyright\b)|all rights reserved", re.I)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -148,7 +149,8 @@ def blocks(page: str) -> list[tuple[str, int, str, str, bool]]:
 
 
 def features(page_blocks) -> np.ndarray:
-    """A row for each block: words and link density of it and its neighbours, its place, and its tag."""
+    """A row for each block: words and link density of it and its neighbours, its place, its tag, whether the page names
+    its main part, and whether the block speaks of rights. At least one block."""
     n = len(page_blocks)
     words = np.array([len(b[0].split()) for b in page_blocks], float)
     density = np.array([b[1] for b in page_blocks]) / np.maximum(words, 1)
@@ -158,7 +160,9 @@ def features(page_blocks) -> np.ndarray:
     cols += [np.array([b[2] == p for b in page_blocks], float) for p in PLACES]
     cols += [np.array([b[3] in HEADINGS for b in page_blocks], float), np.array([b[3] == "li" for b in page_blocks], float), np.array([b[3] == "p" for b in page_blocks], float), np.array([b[4] for b in page_blocks], float)]
     cols.append(np.array([b[0][-1] in ".!?:;\"'»…)”" for b in page_blocks], float))
-    return np.stack(cols, axis=1) if n else np.empty((0, 23))
+    cols.append(np.full(n, float(any(b[4] for b in page_blocks))))
+    cols.append(np.array([bool(RIGHTS.search(b[0])) for b in page_blocks], float))
+    return np.stack(cols, axis=1)
 
 
 def labelled_pages(seed: int = 3, n: int = TRAIN_PAGES):
@@ -189,7 +193,8 @@ def labelled_pages(seed: int = 3, n: int = TRAIN_PAGES):
         if kind == "menu":
             return [(0, f"<li>{link()}</li>") for _ in range(rng.randrange(2, 9))]
         if kind in ("comments", "notice", "advert", "sidebar", "header", "footer", "hidden"):
-            return [(0, f"<p>{say(1, 50)} {link() if rng.random() < 0.3 else ''}</p>") for _ in range(rng.randrange(1, 4))]
+            head = [(0, f"<{'h1' if kind == 'header' else 'h3'}>{say(1, 4)}</{'h1' if kind == 'header' else 'h3'}>")] * (rng.random() < 0.4)
+            return head + [(0, f"<p>{say(1, 50)} {link() if rng.random() < 0.3 else ''}</p>") for _ in range(rng.randrange(1, 4))]
         return [(0, f"<p>{say(1, 5)}</p>"), (0, f"<li>{link()}</li>")]
 
     attributes = {k: [f' class="{w}"' for w in ws.split()] + [f' id="{w}"' for w in ws.split()[:3]] for k, ws in WORDS.items()} | {"hidden": [" hidden", ' style="display:none"']}
@@ -213,13 +218,16 @@ def labelled_pages(seed: int = 3, n: int = TRAIN_PAGES):
                 at = rng.randrange(1, len(body) + 1)
                 body[at:at] = aside(k)
         layout = i % 5
+        stray = [(0, f"<p>{say(1, 60)}</p>")]
         if layout < 2:
-            page += wrap(1, rng.choice(("article", "main")), "", body)
+            if rng.random() < 0.4:  # a heading in the article's own header, above a byline
+                body = [*wrap(1, "header", "", [body[0], (0, f"<p>{say(2, 7)}</p>")]), *body[1:]]
+            page += stray * (rng.random() < 0.4) + wrap(1, rng.choice(("article", "main")), "", body) + stray * (rng.random() < 0.4)
         elif layout < 4:
-            page += wrap(1, "div", rng.choice(attributes["main"]), body)
+            page += stray * (rng.random() < 0.4) + wrap(1, "div", rng.choice(attributes["main"]), body) + stray * (rng.random() < 0.4)
         else:  # no names at all: only words and links tell
-            page = [(0, f"<li>{link()}</li>") for _ in range(4)] + [(lab, re.sub(r"<(/?)p>", r"<\1div>", h)) for lab, h in body if lab or h.startswith("<p")] + [(0, f"<div>{link()} {link()}</div>")]
-            page = [(1 if h.startswith("<div>") and "href" not in h else lab, h) for lab, h in page]
+            page = [(0, f"<li>{link()}</li>") for _ in range(4)] + [(lab, re.sub(r"<(/?)p>", rf"<\1{rng.choice(('p', 'div'))}>", h)) for lab, h in body if lab] + [(0, f"<div>{link()} {link()}</div>")]
+            page.append((0, f"<div>{rng.choice(('&copy; 2024', 'Copyright', '©'))} {say(1, 9)}</div>"))
         for k in kinds[cut:]:
             page += aside(k)
         yield page
@@ -232,8 +240,9 @@ def model() -> dict:
         found = blocks("".join(h for _, h in page))
         labels = [label for label, _ in page if label is not None]
         if len(found) == len(labels):
-            x.append(features(found))
-            y += labels
+            if found:
+                x.append(features(found))
+                y += labels
     return boosting.fit(np.concatenate(x), np.array(y, float), trees=1, depth=9, rate=1.0, least=4)[0]
 
 
