@@ -55,18 +55,41 @@ def predict(trees: list[dict], x: np.ndarray) -> np.ndarray:
     return sum((_apply(t, x) for t in trees), np.zeros(len(x)))
 
 
-def expression(trees: list[dict], feature) -> Column:
-    """The summed score of the trees; feature(i) is the column of feature i."""
-
-    def one(t: dict) -> Column:
-        if "leaf" in t:
-            return F.lit(t["leaf"])
-        return F.when(feature(t["feature"]) <= F.lit(t["cut"]), one(t["low"])).otherwise(one(t["high"]))
-
-    out = F.lit(0.0)
-    for t in trees:
-        out = out + one(t)
-    return out
+def _depth(tree: dict) -> int:
+    return 0 if "leaf" in tree else 1 + max(_depth(tree["low"]), _depth(tree["high"]))
+
+
+def _full(tree: dict, depth: int) -> tuple[list[list[tuple[int, float]]], list[float]]:
+    """Cuts by level, and leaves, of the tree as a full one of this depth; what it lacks always goes low."""
+    if depth == 0:
+        return [], [tree["leaf"]]
+    leaf = "leaf" in tree
+    own = (0, 1e300) if leaf else (tree["feature"], tree["cut"])
+    low, high = (_full(tree if leaf else tree[side], depth - 1) for side in ("low", "high"))
+    return [[own], *(x + y for x, y in zip(low[0], high[0], strict=True))], low[1] + high[1]
+
+
+def expression(trees: list[dict], features: Column) -> Column:
+    """The summed score of the trees for an array of features.
+
+    Trees are data: literal arrays of full trees, walked from level to level, so the plan doesn't grow with their number.
+    """
+    depth = max(map(_depth, trees))
+    full = [_full(t, depth) for t in trees]
+    cuts = [[c for level in t[0] for c in level] for t in full]
+    numbers = lambda xs, kind: F.split(F.lit(",".join(repr(x) for x in xs)), ",").cast(f"array<{kind}>")
+    which, where = numbers([c[0] for t in cuts for c in t], "int"), numbers([c[1] for t in cuts for c in t], "double")
+    leaves = numbers([x for t in full for x in t[1]], "double")
+    inner, outer = (1 << depth) - 1, 1 << depth
+
+    def walk(total: Column, t: Column) -> Column:
+        node = F.lit(0)
+        for _ in range(depth):
+            at = t * inner + node
+            node = node * 2 + 1 + (F.get(features, F.get(which, at)) > F.get(where, at)).cast("int")
+        return total + F.get(leaves, t * outer + node - inner)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(trees) - 1)), F.lit(0.0), walk)
 
 
 def threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:

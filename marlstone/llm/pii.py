@@ -271,7 +271,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _located(rows).select("id", base().alias("base"), candidates().alias("c"))
     fresh = F.filter("c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    scored = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), (boosting.expression(trees, lambda i: c["f"][i]) - F.element_at(F.array(*[F.lit(t) for t in cuts]), c["kind"] + 1)).alias("margin")))
+    scored = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), (boosting.expression(trees, c["f"]) - F.element_at(F.array(*[F.lit(t) for t in cuts]), c["kind"] + 1)).alias("margin")))
     rows = rows.select("id", F.array_sort("base").alias("base"), F.filter(scored, lambda c: c["margin"] > 0).alias("c"))
     # Of overlapping findings the one furthest above its threshold stays.
     best = F.filter("c", lambda c: ~F.exists("c", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (F.struct(o["margin"], -o["start"], -o["kind"]) > F.struct(c["margin"], -c["start"], -c["kind"]))))
