@@ -22,7 +22,7 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` bytes together; a longer text stands alone."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -47,7 +47,7 @@ class Encoder:
     remembered at a time; a full memory starts anew.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1 << 20):
+    def __init__(self, path: str | None = None, most: int = 3 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
