@@ -4,7 +4,8 @@ A text is the first layer. Every layer is scanned for the base patterns, then un
 character-reference escapes, base64 runs, and gzip, zlib or bzip2 data inside them give further layers. A layer keeps,
 for each of its characters, the range of the original text that it came from, so a finding at any depth is a span of the
 original. Layers seen before are not entered again, so nesting ends at a fixpoint. Escapes are undone over whole layers;
-unpacked data above `unpack_limit` characters is scanned in overlapping parts as it is unpacked.
+unpacked data above `unpack_limit` characters is scanned in overlapping parts as it is unpacked. Every level of compressed
+data is scanned as text too, whatever its first bytes look like, and streams that follow one another are all unpacked.
 
 Null and empty texts have no spans. Repeated rows are scanned each by itself. Other columns are not read.
 """
@@ -14,7 +15,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
+import io
 import re
+import tempfile
 import zlib
 from dataclasses import dataclass
 
@@ -108,29 +112,71 @@ def unescaped(layer: Layer, marks: str, pattern: re.Pattern, read) -> Layer | No
     return Layer("".join(text), np.concatenate([*lo, a]).astype(np.int64), np.concatenate([*hi, b]).astype(np.int64))
 
 
-def _unpackers(data: bytes):
-    if data[:2] == b"\x1f\x8b":
-        yield zlib.decompressobj(31)
-    if data[:1] == b"\x78":
-        yield zlib.decompressobj(15)
-    if data[:3] == b"BZh":
-        yield bz2.BZ2Decompressor()
+def _unpacker(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and int.from_bytes(head[:2]) % 31 == 0:
+        return zlib.decompressobj(15)
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
+
+
+def _streams(source, starts: list[int], part: int):
+    """(first, bytes) of the compressed streams at the starts and right behind one another; a broken one ends early."""
+    done = 0
+    for start in starts:
+        if start < done:
+            continue
+        source.seek(start)
+        rest = source.read(part)
+        while (d := _unpacker(rest[:3])) is not None:
+            done, first, held = source.tell() - len(rest) + 1, True, b""
+            try:
+                while not d.eof:
+                    got = d.decompress(rest, part)
+                    rest = getattr(d, "unconsumed_tail", b"")
+                    held += got
+                    if len(held) >= 3 or (held and not first):
+                        yield first, held
+                        first, held = False, b""
+                    if not got and not rest and not d.eof and not (rest := source.read(part)):
+                        break
+            except (zlib.error, OSError, EOFError, ValueError):
+                rest = b""
+            if held:
+                yield first, held
+            if not d.eof:
+                break
+            rest = d.unused_data
+            while not (rest := rest.lstrip(b"\0")) and (more := source.read(part)):
+                rest = more
+            rest += source.read(3) if len(rest) < 3 else b""
 
 
 def unpacked(data: bytes, part: int):
-    """Parts of the data that compressed data holds, of at most `part` bytes each; nothing if it isn't any."""
-    for d in _unpackers(data):
-        try:
-            rest = data
-            while not d.eof:
-                got = d.decompress(rest, part)
-                rest = getattr(d, "unconsumed_tail", b"")
-                if got:
-                    yield got
-                elif not rest:
-                    break
-        except (zlib.error, OSError, EOFError, ValueError):
-            pass
+    """Byte parts of the data and of each level of compressed data in it, as (whether a level begins, bytes).
+
+    A level is unpacked from the stored one above it, so that depth costs no memory; one seen before ends it."""
+    yield True, data
+    source, starts, seen = io.BytesIO(data), [0], set()
+    while starts:
+        out, below, digest, held, new = tempfile.SpooledTemporaryFile(part), [], hashlib.sha256(), bytearray(), True
+        for first, got in _streams(source, starts, part):
+            if first and _unpacker(got[:3]) is not None:
+                below.append(out.tell())
+            if below:
+                out.write(got)
+                digest.update(got)
+            held += got
+            while len(held) >= part:
+                yield new, bytes(held[:part])
+                del held[:part]
+                new = False
+        if held:
+            yield new, bytes(held)
+        source.close()
+        source, starts = out, [] if digest.digest() in seen else below
+        seen.add(digest.digest())
+    source.close()
 
 
 def _readable(data: bytes) -> str | None:
@@ -167,17 +213,11 @@ def contents(layer: Layer, part: int):
         if (plain := _readable(data)) is not None:
             texts.append(plain)
         else:
-            stack, tail = [unpacked(data, part)], ""
-            while stack:
-                got = next(stack[-1], None)
-                if got is None:
-                    stack.pop()
-                elif len(stack) < 8 and any(True for _ in _unpackers(got)):
-                    stack.append(unpacked(got, part))
-                else:
-                    now = tail + got.decode("utf-8", "replace")
-                    texts.append(now)
-                    tail = now[-4096:]
+            tail = ""
+            for new, got in unpacked(data, part):
+                now = ("" if new else tail) + got.decode("utf-8", "replace")
+                texts.append(now)
+                tail = now[-4096:]
         for text in texts:
             yield Layer(text, np.full(len(text), span[0], np.int64), np.full(len(text), span[1], np.int64))
 
