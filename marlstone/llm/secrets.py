@@ -13,7 +13,7 @@ Null and empty texts have no spans. Repeated rows are scanned each by itself. Ot
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import bz2
 import hashlib
 import io
@@ -37,7 +37,11 @@ EIGHT = re.compile(r"[0-9a-f]{8}")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos|equals|colon);")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+#: How base64 of compressed data begins, behind a character that may also be a separator.
+PACKED = re.compile(r"(?<=[+/_-])(?:H4sI|Qlpo|e[A-P][A-Za-z0-9+/_-]{2})")
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&equals;": "=", "&colon;": ":"}
 
 
@@ -187,8 +191,27 @@ def _readable(data: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
+def _blocks(text: str):
+    """Places of the lines that wrapped base64 may stand in: lines of one length with a shorter last one, and all lines that follow one another."""
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in re.finditer(r"[A-Za-z0-9+/_-]+={0,2}", re.sub(r"\\[rn]", "  ", m.group()))]
+        lines = [(m.start() + a, m.start() + b) for a, b in lines]
+        at, whole = 0, False
+        while at < len(lines) - 1:
+            end, size = at + 1, lines[at][1] - lines[at][0]
+            while end < len(lines) and lines[end][1] - lines[end][0] == size:
+                end += 1
+            last = end < len(lines) and lines[end][1] - lines[end][0] < size
+            if end + last - at > 1:
+                whole |= end + last - at == len(lines)
+                yield lines[at : end + last]
+            at = end
+        if not whole:
+            yield lines
+
+
 def _runs(text: str):
-    """Start and text of each base64 run; only words that are long enough are looked into."""
+    """Start and text of each base64 run within a line; only words that are long enough are looked into."""
     at = 0
     for word in text.split():
         if len(word) >= 16:
@@ -198,29 +221,71 @@ def _runs(text: str):
             at += len(word)
 
 
+def _decoded(run: str) -> bytes:
+    run = run.rstrip("=")
+    if len(run) % 4 == 1:
+        run = run[:-1]
+    return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+
+def _texts(data: bytes, part: int):
+    """Texts that decoded data holds."""
+    if (plain := _readable(data)) is not None:
+        yield plain
+        return
+    tail = ""
+    for new, got in unpacked(data, part):
+        now = ("" if new else tail) + got.decode("utf-8", "replace")
+        yield now
+        tail = now[-4096:]
+
+
+def _pieces(run: str):
+    """Start and end of what may be base64 by itself where a run's +, /, - or _ are separators: its plain and its
+    URL-safe parts, what follows a separator and begins like compressed data, and the other three alignments."""
+    if not any(c in run for c in "+/-_"):
+        return
+    for one in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}"):
+        for m in re.finditer(one, run):
+            if m.end() - m.start() < len(run):
+                yield m.span()
+    for m in PACKED.finditer(run):
+        if _unpacker(_decoded(m.group())) is not None:
+            yield m.start(), len(run)
+    for k in (1, 2, 3):
+        yield k, len(run)
+
+
 def contents(layer: Layer, part: int):
-    """Texts inside the layer's base64 runs, each placed on its whole run."""
-    for start, whole in _runs(layer.text):
-        run = whole.rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        span = layer.span(start, start + len(whole))
-        texts = []
-        if (plain := _readable(data)) is not None:
-            texts.append(plain)
-        else:
-            tail = ""
-            for new, got in unpacked(data, part):
-                now = ("" if new else tail) + got.decode("utf-8", "replace")
-                texts.append(now)
-                tail = now[-4096:]
-        for text in texts:
+    """Texts inside the layer's base64 runs, each placed on its whole run; wrapped lines are joined first. Nothing in a run
+    that is plain text as a whole is looked at again."""
+    clean: list[tuple[int, int]] = []
+
+    def inside(run: str, start: int, end: int):
+        span = layer.span(start, end)
+        for text in _texts(_decoded(run), part):
             yield Layer(text, np.full(len(text), span[0], np.int64), np.full(len(text), span[1], np.int64))
 
+    def plain(run: str) -> bool:
+        return len(run) >= 16 and _readable(_decoded(run)) is not None
+
+    for lines in _blocks(layer.text):
+        run = "".join(layer.text[a:b] for a, b in lines)
+        if len(run) >= 16:
+            if plain(run):
+                clean.append((lines[0][0], lines[-1][1]))
+            yield from inside(run, lines[0][0], lines[-1][1])
+    clean.sort()
+    ends = np.maximum.accumulate([b for _, b in clean]) if clean else []
+    for start, run in _runs(layer.text):
+        at = bisect.bisect_right(clean, (start, len(layer.text)))
+        if at and ends[at - 1] >= start + len(run):
+            continue
+        yield from inside(run, start, start + len(run))
+        if not plain(run):
+            for a, b in _pieces(run):
+                yield from inside(run[a:b], start + a, start + b)
+
 
 def scan(text: str, unpack_limit: int = 1 << 22) -> list[tuple[int, int, int, int]]:
     """All findings as (start, kind number, end, depth), by start, then kind, then end; depth 0 are the base ones."""

@@ -42,3 +42,27 @@ def test_later_members():
     assert (run, "access") in kinds(run)
     run = coded(gzip.compress(KEY.encode())[:-9])
     assert (run, "access") in kinds(run)
+
+
+def test_url_safe_runs():
+    text = f"https://aa.example/cb/??>>~~?token=abcdef0123456789&k={KEY}"
+    run = base64.urlsafe_b64encode(text.encode()).decode()
+    assert "_" in run or "-" in run
+    assert {(run, "assign"), (run, "access")} <= kinds(f"go {run} end")
+    packed = base64.urlsafe_b64encode(gzip.compress(random.Random(2).randbytes(300) + KEY.encode())).decode()
+    assert "_" in packed and "-" in packed
+    assert (packed, "access") in kinds(f"go {packed} end")
+    for lead in ("data-", "a/b_c-de/", "key-"):
+        for run in (coded(f" {KEY} ".encode()), packed):
+            assert any(run in at and kind == "access" for at, kind in kinds(f"go {lead}{run} end"))
+
+
+def test_wrapped_lines():
+    plain, packed = coded(f"{'é ' * 16}{KEY} {'so on ' * 30}".encode()), coded(gzip.compress(random.Random(3).randbytes(500) + KEY.encode()))
+    for run in (plain, packed):
+        for width in (12, 47, 64, 76):
+            for gap in ("\n", "\r\n", "\n    ", "\\n"):
+                block = gap.join(run[i : i + width] for i in range(0, len(run), width))
+                text = f"-----BEGIN X-----{gap}{block}{gap}-----END X----- tail"
+                assert any(block.rstrip("=") in at and kind == "access" for at, kind in kinds(text)), (width, gap)
+                assert any(at == block or at == block + gap + "-----END" for at, _ in kinds(f"see: {block}\n\nmore"))
