@@ -42,6 +42,7 @@ BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
 #: How base64 of compressed data begins, behind a character that may also be a separator.
 PACKED = re.compile(r"(?<=[+/_-])(?:H4sI|Qlpo|e[A-P][A-Za-z0-9+/_-]{2})")
+WIDE = re.compile(rb"(?:\0[\x20-\x7e]){6}|(?:[\x20-\x7e]\0){6}")
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&equals;": "=", "&colon;": ":"}
 
 
@@ -228,16 +229,25 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
 
 
+def _lenient(data: bytes):
+    """The bytes as text, bad ones replaced; also as UTF-16 of either order where every second byte is zero for a while."""
+    yield data.decode("utf-8", "replace")
+    if WIDE.search(data):
+        yield data.decode("utf-16-le", "replace")
+        yield data.decode("utf-16-be", "replace")
+
+
 def _texts(data: bytes, part: int):
     """Texts that decoded data holds."""
     if (plain := _readable(data)) is not None:
         yield plain
         return
-    tail = ""
+    tail = b""
     for new, got in unpacked(data, part):
-        now = ("" if new else tail) + got.decode("utf-8", "replace")
-        yield now
-        tail = now[-4096:]
+        now = b"" if new else tail
+        now += got
+        yield from _lenient(now)
+        tail = now[-8192:]
 
 
 def _pieces(run: str):
@@ -298,7 +308,8 @@ def scan(text: str, unpack_limit: int = 1 << 22) -> list[tuple[int, int, int, in
             found.setdefault((s, kind, e), depth)
         inner = [unescaped(layer, "%", URL, _url), unescaped(layer, "\\&", UNICODE, _unicode), *contents(layer, unpack_limit)]
         for x in inner:
-            if x is not None and x.text and (key := hash((x.text, None if depth == 0 and x.lo is None else int(x.lo[0]), int(x.hi[-1])))) not in seen:
+            # The length is in the key, as a text and the one whose UTF-16 bytes it spells have the same hash.
+            if x is not None and x.text and (key := hash((x.text, len(x.text), None if depth == 0 and x.lo is None else int(x.lo[0]), int(x.hi[-1])))) not in seen:
                 seen.add(key)
                 work.append((x, depth + 1))
     return sorted((s, k, e, d) for (s, k, e), d in found.items())

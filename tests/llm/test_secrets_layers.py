@@ -66,3 +66,14 @@ def test_wrapped_lines():
                 text = f"-----BEGIN X-----{gap}{block}{gap}-----END X----- tail"
                 assert any(block.rstrip("=") in at and kind == "access" for at, kind in kinds(text)), (width, gap)
                 assert any(at == block or at == block + gap + "-----END" for at, _ in kinds(f"see: {block}\n\nmore"))
+
+
+def test_lenient_layers():
+    for odd in (" ", "​", "﻿", "\f", "\x00", "é"):
+        for code in ("utf-8", "utf-16-le", "utf-16-be", "utf-16", *(["latin-1"] if ord(odd) < 256 else [])):
+            run = coded(f"some{odd}note with {KEY} in it".encode(code))
+            assert (run, "access") in kinds(f"blob {run} end"), (odd, code)
+            nested = coded(f"a{odd}{run} end".encode(code))
+            assert (nested, "access") in kinds(f"blob {nested} end"), (odd, code)
+    wide = coded(gzip.compress(f"token={KEY}".encode("utf-16")))
+    assert {(wide, "access"), (wide, "assign")} <= kinds(wide)
