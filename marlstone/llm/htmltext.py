@@ -27,11 +27,14 @@ TRAIN_PAGES = 600
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|object|canvas|textarea|select|button|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements that are left out with what they hold up to their closing tag; without one, or closed in themselves, they hold nothing.
+LEFT_OUT = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg iframe object canvas select button audio video".split()}
+UNQUOTED = re.compile(r"=\s*[^\s\"']*/$")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr input nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -59,6 +62,22 @@ NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def tags(page: str):
+    """(match, end, name of what is left out up to there or None) of each tag, comment or declaration."""
+    at, unclosed = 0, set()
+    while m := TAG.search(page, at):
+        name, at = (m.group(1) or m.group(3) or "").lower(), m.end()
+        out = m.group(1) and name
+        if name in LEFT_OUT and not m.group(2):
+            out, held = name, m.group(4)
+            if name not in unclosed and not (held.endswith("/") and not UNQUOTED.search(held)):
+                if close := LEFT_OUT[name].search(page, at):
+                    at = close.end()
+                else:
+                    unclosed.add(name)
+        yield m, at, out
+
+
 def place_of(tag: str, attributes: str) -> str | None:
     """What an element says it is for."""
     by_tag = BY_TAG.get(tag)
@@ -108,13 +127,13 @@ def blocks(page: str) -> list[tuple[str, int, str, str, bool]]:
             links += len(text.split())
 
     end = 0
-    for m in TAG.finditer(page):
+    for m, after, gone in tags(page):
         if m.start() > end:
             add(page[end : m.start()])
-        end = m.end()
+        end = after
         tag = m.group(3)
-        if tag is None:
-            if m.group(1) and m.group(1).lower() not in ("script", "style", "svg"):
+        if gone or tag is None:
+            if gone and gone not in ("script", "style", "svg"):
                 parts.append(" ")
             continue
         tag = tag.lower()
