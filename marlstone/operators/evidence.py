@@ -27,6 +27,23 @@ def name_classes(rows: DataFrame, pages: DataFrame, key: str, page: str, value:
     return rows.select(key).join(best, key, "left").select(key, name.alias("class"))
 
 
+def name_classes_anywhere(rows: DataFrame, pages: DataFrame, key: str, value: str, text: str) -> DataFrame:
+    """(key, class) as `name_classes`, but over all pages. A page that holds a value or all its words holds the longest of
+    its words, so only such pairs leave the join; without any page a row is unreachable."""
+    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    v = rows.select(key, F.trim(flat(F.col(value))).alias("_v"))
+    w = v.select(key, "_v", F.filter(F.split("_v", "[^a-z0-9]+"), lambda w: F.length(w) > 2).alias("_w"))
+    longest = F.array_sort("_w", lambda a, b: F.length(b) - F.length(a))
+    r = w.select(key, "_v", "_w", F.coalesce(F.get(longest, F.lit(0)), F.col("_v")).alias("_a")).where("_a != ''")
+    j = r.join(pages.select(flat(F.col(text)).alias("_t")), F.contains("_t", "_a"))
+    rank = F.when(F.contains("_t", F.col("_v")), 2).when((F.size("_w") > 0) & F.forall("_w", lambda w: F.contains(F.col("_t"), w)), 1).otherwise(0)
+    best = j.select(key, rank.alias("_r")).groupBy(key).agg(F.max("_r").alias("_r"))
+    some = pages.limit(1).select(F.lit(0).alias("_some"))
+    all_rows = rows.select(key).join(best, key, "left").join(some, F.lit(True), "left")
+    name = F.when(F.col("_r") == 2, "verified").when(F.col("_r") == 1, "partial").when(F.col("_some") == 0, "unverified").otherwise("unreachable")
+    return all_rows.select(key, name.alias("class"))
+
+
 def deadline_class(page: Column, iso: Column, field: str) -> Column:
     """A date with deadline words and the field's own words near it is verified; with only the other field's, wrong."""
     own, other = (REGISTER_WORDS, EXHIBIT_WORDS) if field == "registration_deadline" else (EXHIBIT_WORDS, REGISTER_WORDS)
