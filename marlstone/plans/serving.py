@@ -94,6 +94,13 @@ def nested_sources(spark, d):
     return nested.select("o_orderkey", F.inline("sources"))
 
 
+@query("nested_sources_whole")
+def nested_sources_whole(spark, d):
+    """All of lineitem; `nested_sources` and its SQL stay at the first 200 orders."""
+    nested = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("sources"))
+    return nested.select("o_orderkey", F.inline("sources"))
+
+
 @query("event_type_facet", "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1")
 def event_type_facet(spark, d):
     from marlstone.operators.facets import counts

@@ -47,3 +47,9 @@ def test_audit_fixture(spark):
     for t in (texts, []):
         pages = spark.createDataFrame([(x,) for x in t], "t string")
         assert {r[0]: r[1] for r in evidence.name_classes_anywhere(rows, pages, "k", "v", "t").collect()} == classes(items, t)
+
+
+def test_nested_sources(spark):
+    rows = got(spark, "nested_sources_whole")
+    assert Counter(rows) == Counter(read("lineitem", "l_orderkey", "l_partkey", "l_suppkey"))
+    assert len(rows) > len(got(spark, "nested_sources"))
