@@ -112,6 +112,13 @@ def action_signals(spark, d):
     return table(spark, d, "documents").select("doc_id", W.action_of(F.lower(F.concat(F.left("text", F.lit(60)), tail))).alias("action"))
 
 
+@query("action_signals_whole")
+def action_signals_whole(spark, d):
+    """Whole texts; `action_signals` and its SQL stay at their first 60 characters."""
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("Registration now", "a booth", "our sponsors", "x", "startups B2B")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", W.action_of(F.lower(F.concat("text", tail))).alias("action"))
+
+
 @query("sitemap_locs", "SELECT n_nationkey, 'urlset' AS kind, unnest(['https://x.org/' || n_nationkey || '/a', 'https://x.org/' || n_nationkey || '/b']) AS loc FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'index', 'https://x.org/s' || n_nationkey || '.xml' FROM nation WHERE n_nationkey % 2 = 1")
 def sitemap_locs(spark, d):
     k = F.col("n_nationkey").cast("string")
@@ -350,3 +357,10 @@ def fixture_search(spark, d):
     groups = F.array(*[F.lit(x) for x in ("the", "Der", "qué", "les ")])
     low = F.lower(F.left("text", F.lit(200)))
     return table(spark, d, "documents").select("doc_id", low.alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
+
+
+@query("fixture_search_whole")
+def fixture_search_whole(spark, d):
+    """Whole texts; `fixture_search` and its SQL stay at their first 200 characters."""
+    groups = F.array(*[F.lit(x) for x in ("the", "Der", "qué", "les ")])
+    return table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
