@@ -64,6 +64,14 @@ def opened_page_fill(spark, d):
     return enrich.opened(rows, "title", "snippet", "pt", "px")
 
 
+@query("opened_page_fill_whole")
+def opened_page_fill_whole(spark, d):
+    """All pages; `opened_page_fill` and its SQL leave out titles with a blank at an end."""
+    k, t = F.col("page_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    rows = table(spark, d, "pages").select("page_id", F.when(k % 2 == 0, "kept").otherwise(" ").alias("title"), F.when(k % 3 == 0, "kept too").alias("snippet"), t.alias("pt"), F.lit("call 010-1234-5678").alias("px"))
+    return enrich.opened(rows, "title", "snippet", "pt", "px")
+
+
 @query("unmet_requirements", "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 2 = 0 THEN 'title' END, CASE WHEN page_id % 3 = 0 THEN 'location' END, CASE WHEN page_id % 5 = 0 THEN 'date' END], lambda x: x IS NOT NULL), ',') AS unmet FROM pages")
 def unmet_requirements(spark, d):
     k = F.col("page_id")

@@ -68,3 +68,11 @@ def test_whole_texts(spark):
 def test_action_past_the_beginning(spark, tmp_path):
     spark.createDataFrame([(3, "far " * 40 + "Sponsors")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.queries()["action_signals_whole"](spark, str(tmp_path)).collect()] == [(3, "sponsor")]
+
+
+def test_opened_page_fill(spark):
+    pages = {i: (re.search("<title>(.*?)</title>", h) or [0, ""])[1] for i, h in read("pages", "page_id", "html")}
+    want = {(i, "kept" if i % 2 == 0 else t.strip(" ") or None, "kept too" if i % 3 == 0 else "call [phone removed]") for i, t in pages.items()}
+    rows = got(spark, "opened_page_fill_whole")
+    assert len(rows) == len(pages) and set(rows) == want
+    assert any(t != t.strip(" ") for t in pages.values()) and len(rows) > len(got(spark, "opened_page_fill"))
