@@ -1,11 +1,13 @@
 """Quality rules by repetition coverage.
 
 A batch of texts is one byte array. Prefix sums of a polynomial in an odd base modulo 2**64 give the hash of any byte
-range or run of words in constant time, so every n-gram length costs one subtraction and one sort in numpy. A window
-found twice marks its words as covered; the covered characters of several lengths, and of repeated lines, decide.
+range or run of words in constant time, so every n-gram length costs one subtraction and one sort in numpy. Such hashes
+collide on texts made for it, so windows and lines of one hash are compared word by word and byte by byte before they
+count. A window found twice marks its words as covered; the covered characters of several lengths, and of repeated
+lines, decide. The limits are those of `Rules`; a text exactly at a limit passes.
 
-Null and empty texts have no words and fail the base rule. Repeated rows are judged each by itself. Other columns pass
-through `keep` unread, whatever their names.
+Null and empty texts have no words and fail the base rule. Repeated rows are judged each by itself. An empty table gives
+an empty one. Other columns pass through `keep` unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import as_bytes, batches, documents, slices, splitmix
+from marlstone.llm.common import as_bytes, batches, documents, eights, same_bytes, slices, splitmix
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,20 +66,52 @@ class Rules:
     repeat_words_percent: int = 50
 
 
-def pairs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions of values that occur more than once: all of them, and those after each value's first."""
+def pairs_of(keys: np.ndarray, same, value) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions of values that occur more than once: all of them, and those after each value's first.
+
+    keys: hashes of the values. same(a, b) says of arrays of positions with equal hashes which pairs have equal values;
+    where a hash stands for more than one value, value(i) tells them apart.
+    """
     order = np.argsort(keys)
     s = keys[order]
-    same = s[1:] == s[:-1]
-    hit = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+    pair = np.flatnonzero(s[1:] == s[:-1])
+    wrong = ~same(order[pair], order[pair + 1])
+    more, more_later = [], []
+    if wrong.any():
+        shared = np.unique(s[pair[wrong]])
+        groups: dict = {}
+        for i in np.flatnonzero(np.isin(keys, shared)).tolist():
+            groups.setdefault(value(i), []).append(i)
+        for g in groups.values():
+            if len(g) > 1:
+                more += g
+                more_later += g[1:]
+        pair = pair[~np.isin(s[pair], shared)]
+    hit = np.unique(np.concatenate([order[pair], order[pair + 1]]))
     _, first = np.unique(keys[hit], return_index=True)
-    return hit, np.delete(hit, first)
+    later = np.delete(hit, first)
+    if more:
+        hit, later = np.sort(np.concatenate([hit, more])), np.sort(np.concatenate([later, more_later]))
+    return hit, later
+
+
+def word_ids(raw: bytes, at8: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where and only where the words are, whatever their hashes do."""
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    wrong = (size != size[first[ids]]) | ~same_bytes(at8, starts, at8, starts[first[ids]], np.minimum(size, size[first[ids]]))
+    if wrong.any():
+        names: dict[bytes, int] = {}
+        for i in np.flatnonzero(wrong).tolist():
+            ids[i] = names.setdefault(raw[starts[i] : ends[i]], len(first) + len(names))
+    return ids
 
 
 def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
     """The counts and shares of each text."""
     n_docs = len(texts)
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    raw = b"\n".join(texts) + b"\n"
+    buf, at8 = np.frombuffer(raw, np.uint8), eights(raw)
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, n_docs)
     bounds = prefix(size)
     space = SPACE[buf]
@@ -99,7 +133,9 @@ def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
     out = {"n_words": np.diff(first), "word_chars": np.diff(word_chars[first]), "n_symbols": symbols[bounds[1:]] - symbols[bounds[:-1]]}
 
     own = splitmix(np.arange(1, n_docs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    rolled = prefix(text_hash(starts, ends) * powers(STEP, len(starts)))
+    hashes = text_hash(starts, ends)
+    word = word_ids(raw, at8, starts, ends, hashes)
+    rolled = prefix(hashes * powers(STEP, len(starts)))
     unroll = powers(inverse(STEP), len(starts))
 
     def covered(n: int, again: bool) -> np.ndarray:
@@ -107,7 +143,16 @@ def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
         if len(starts) < n:
             return np.zeros(len(starts), bool)
         k = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
-        at = k[pairs_of(splitmix((rolled[k + n] - rolled[k]) * unroll[k]) ^ own[doc[k]])[again]]
+        window = splitmix((rolled[k + n] - rolled[k]) * unroll[k]) ^ own[doc[k]]
+
+        def same(a, b):
+            a, b = k[a], k[b]
+            out = doc[a] == doc[b]
+            for j in range(n):
+                out &= word[a + j] == word[b + j]
+            return out
+
+        at = k[pairs_of(window, same, lambda i: (doc[k[i]], *word[k[i] : k[i] + n].tolist()))[again]]
         mark = np.zeros(len(starts) + 1, np.int64)
         mark[at] += 1
         np.subtract.at(mark, at + n, 1)
@@ -120,7 +165,12 @@ def measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, stops) > np.searchsorted(starts, opens)
     opens, stops = opens[worded], stops[worded]
     line_doc = np.searchsorted(bounds, opens, "right") - 1
-    _, later = pairs_of(text_hash(opens, stops) ^ own[line_doc])
+    wide = stops - opens
+
+    def same_line(a, b):
+        return (line_doc[a] == line_doc[b]) & (wide[a] == wide[b]) & same_bytes(at8, opens[a], at8, opens[b], np.minimum(wide[a], wide[b]))
+
+    _, later = pairs_of(text_hash(opens, stops) ^ own[line_doc], same_line, lambda i: (line_doc[i], raw[opens[i] : stops[i]]))
     out["n_dup_lines"] = np.bincount(line_doc[later], minlength=n_docs)
     lines = np.bincount(line_doc, minlength=n_docs)
     dup_chars = np.bincount(line_doc[later], weights=(chars[stops] - chars[opens])[later], minlength=n_docs)

@@ -53,3 +53,19 @@ def test_tables_match_brute_force(spark):
     got = {r.doc_id: r for r in quality.score(df).collect()}
     rows = df.collect()
     check([got[r.doc_id] for r in rows], [r.text for r in rows])
+
+
+def thue_morse(n):
+    """Two texts that every rolling hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_colliding_hashes():
+    x, y = thue_morse(4096)
+    more = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{x}\n{y}", f"{x} p q {y} p q {more}", f"{x} {y} z\n{y} {x} z\n{x} {y} z\n{more}", f"{x}\n{y}\n{x}\n{y}\n{more}", "z" * 5000 + "a\n" + "z" * 5000 + "b\n" + "z" * 5000 + "a"]
+    got = quality.judged([t.encode() for t in texts], quality.Rules())
+    for i, t in enumerate(texts):
+        assert tuple(got[c][i] for c in (*quality.COUNTS, "base_failed")) == brute(t)
+        assert abs(got["share_5"][i] - share(t, 5)) < 1e-9
