@@ -1,14 +1,19 @@
 """Best-fit packing of token pieces into fixed-length sequences, by bin completion over length classes.
 
 Pieces of one length are interchangeable, so the packing is solved on the histogram of lengths, which has no more rows
-than the capacity whatever the corpus. Around the largest length left, a branch-and-bound enumerates the fillings of the
-space beside it, starting from best fit as the incumbent: a branch ends when its waste can't beat the incumbent's, when
-nothing is left to waste, and where a single piece of the same total would dominate it. The winning filling is applied
-as often as the histogram allows, so the plan has a few entries per length. Pieces find their places by their rank among
-the pieces of their length, taken without gathering a length in one task.
-
-Null and empty texts are one piece: the end id. Repeated rows are packed each by itself. An id may be null. Other columns
-are not read. An empty table gives no pieces.
+than the capacity whatever the corpus. Around the largest length left, a branch-and-bound looks for the filling of the
+space beside it that wastes least, with best fit as the first incumbent; it is applied as often as the histogram allows.
+What comes of this is the first packing. `lower_bound` tells how few sequences any packing needs; while the packing has
+more, the search goes back over its sequences, the last first, and tries their other undominated fillings. A filling is
+dominated if some of its pieces could give place to one that is left, as long as they together or longer by no more than
+the waste. A branch ends once what it has used and the lower bound of what is left don't beat the incumbent. `effort`
+ends the going back after so many steps; without it the search runs until the packing is proved to be a best one. The
+plan says which bound it has reached. Pieces find their places by their rank among the pieces of their length, taken
+without gathering a length in one task.
+
+Null and empty texts are one piece: the end id. Repeated rows are packed each by itself; which of the pieces of one
+length gets which place is free, and follows their salted order. An id may be null. Other columns are not read. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, cut, documents, slices, splitmix, spread_rank
+from marlstone.llm.common import as_bytes, cut, documents, eights, same_bytes, slices, splitmix, spread_rank
 from marlstone.llm.quality import BASE, BYTE, inverse, powers, prefix
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,8 +48,9 @@ class Encoder:
 
     The tokenizer drops white space and never joins text across it, so parts between blanks and line ends are encoded
     once and remembered. A batch is one byte array: parts get 64-bit hashes from prefix sums, an open hash table in
-    numpy finds their ids in a pool, and only parts not met before reach the tokenizer. `most` parts and pre-tokens are
-    remembered at a time; a full memory starts anew.
+    numpy finds their ids in a pool, and only parts not met before reach the tokenizer. A remembered part counts only
+    if its bytes agree; parts whose hash another part has taken are encoded by themselves. `most` parts and pre-tokens
+    are remembered at a time; a full memory starts anew.
     """
 
     def __init__(self, path: str | None = None, most: int = 3 << 18):
@@ -62,9 +68,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.n = self.pooled = 0
+        self.n = self.pooled = self.spelt = 0
         self.keys, self.slot = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
         self.at, self.len, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.word_at, self.word_len, self.words = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint8)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, as bytes; each new pre-token goes to the tokenizer once."""
@@ -104,44 +111,59 @@ class Encoder:
             self.slot[pos[won]] = slots[won]
             h, slots, pos = h[~won], slots[~won], (pos[~won] + np.uint64(1)) & mask
 
-    def _learn(self, h: np.ndarray, parts: list[str]) -> None:
-        ids = self._encode(parts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        total = int(size.sum())
-        while self.pooled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(h) > len(self.at):
-            self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
-        ends = self.pooled + np.cumsum(size)
+    def _learn(self, h: np.ndarray | None, parts: list[bytes]) -> np.ndarray:
+        """Remembers the parts' ids and bytes; under their hashes, if given. The slots that they get."""
+        ids = self._encode([p.decode("utf-8", "replace") for p in parts])
+        size, letters = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, parts))
+        size //= 4
+        new, total, spelt = len(parts), int(size.sum()), int(letters.sum())
+        self.pool, self.words = _grown(self.pool, self.pooled + total), _grown(self.words, self.spelt + spelt + 8)
+        self.at, self.len, self.word_at, self.word_len = (_grown(x, self.n + new) for x in (self.at, self.len, self.word_at, self.word_len))
+        ends, stops, slots = self.pooled + np.cumsum(size), self.spelt + np.cumsum(letters), np.arange(self.n, self.n + new)
         self.pool[self.pooled : self.pooled + total] = np.frombuffer(b"".join(ids), np.uint32)
-        self.at[self.n : self.n + len(h)], self.len[self.n : self.n + len(h)] = ends - size, size
-        if 2 * (self.n + len(h)) > len(self.keys):
-            used = self.keys != 0
-            old = self.keys[used], self.slot[used]
-            width = 1 << int(4 * (self.n + len(h)) - 1).bit_length()
-            self.keys, self.slot = np.zeros(width, np.uint64), np.zeros(width, np.int64)
-            self._put(*old)
-        self._put(h, np.arange(self.n, self.n + len(h)))
-        self.n += len(h)
-        self.pooled += total
+        self.words[self.spelt : self.spelt + spelt] = np.frombuffer(b"".join(parts), np.uint8)
+        self.at[slots], self.len[slots], self.word_at[slots], self.word_len[slots] = ends - size, size, stops - letters, letters
+        self.n, self.pooled, self.spelt = self.n + new, self.pooled + total, self.spelt + spelt
+        if h is not None:
+            if 2 * self.n > len(self.keys):
+                used = self.keys != 0
+                old = self.keys[used], self.slot[used]
+                width = 1 << int(4 * self.n - 1).bit_length()
+                self.keys, self.slot = np.zeros(width, np.uint64), np.zeros(width, np.int64)
+                self._put(*old)
+            self._put(h, slots)
+        return slots
+
+    def _spelt_so(self, slot: np.ndarray, at8: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the remembered parts are those that stand there."""
+        held = np.ndarray(len(self.words) - 7, "<u8", self.words, strides=(1,))
+        short = np.minimum(size, self.word_len[slot])
+        return (self.word_len[slot] == size) & same_bytes(held, self.word_at[slot], at8, starts, short)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(raw, np.uint8)
+        buf, at8 = np.frombuffer(raw, np.uint8), eights(raw)
         gap = (buf == 32) | (buf == 10)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap])))
         starts, ends = edge[0::2], edge[1::2]
         sums = prefix(BYTE[buf] * powers(BASE, len(buf)))
         h = splitmix((sums[ends] - sums[starts]) * powers(inverse(BASE), len(buf))[starts] + (ends - starts).astype(np.uint64))
         h = np.maximum(h, np.uint64(1))
-        if self.n > self.most or self.pooled > 16 * self.most:
+        if self.n > self.most or max(self.pooled, self.spelt) > 16 * self.most:
             self._clear()
         slot = self._find(h)
         lost = np.flatnonzero(slot < 0)
         if len(lost):
             new, first = np.unique(h[lost], return_index=True)
-            self._learn(new, [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in lost[first].tolist()])
+            self._learn(new, [raw[starts[i] : ends[i]] for i in lost[first].tolist()])
             slot[lost] = self._find(h[lost])
+        other = np.flatnonzero(~self._spelt_so(slot, at8, starts, ends - starts)).tolist()
+        if other:
+            found: dict[bytes, list[int]] = {}
+            for i in other:
+                found.setdefault(raw[starts[i] : ends[i]], []).append(i)
+            for where, s in zip(found.values(), self._learn(None, list(found)).tolist(), strict=True):
+                slot[where] = s
         size = self.len[slot]
         to = prefix(size)
         ids = self.pool[np.repeat(self.at[slot] - to[:-1], size) + np.arange(to[-1])]
@@ -149,6 +171,13 @@ class Encoder:
         return np.split(ids, to[np.searchsorted(starts, bounds[:-1])])
 
 
+def _grown(x: np.ndarray, least: int) -> np.ndarray:
+    """The array with at least that many places, doubled where it has fewer."""
+    while len(x) < least:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """The token ids of each text and the end id, cut into pieces of at most `capacity`.
 
@@ -189,9 +218,12 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 @dataclass
 class Plan:
     """Entry i places the pieces of `length[i]` with rank from `first[i]` on: `each[i]` to a sequence, from sequence
-    `sequence[i]` and offset `offset[i]` on. Entries are ordered by length and rank."""
+    `sequence[i]` and offset `offset[i]` on. Entries are ordered by length and rank. No packing has fewer sequences than
+    `bound`; proved: nor fewer than this one."""
 
     sequences: int = 0
+    bound: int = 0
+    proved: bool = True
     length: list[int] = field(default_factory=list)
     first: list[int] = field(default_factory=list)
     each: list[int] = field(default_factory=list)
@@ -199,6 +231,22 @@ class Plan:
     offset: list[int] = field(default_factory=list)
 
 
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing of counts[x] pieces of each length x takes fewer sequences.
+
+    For every k: pieces above capacity - k stand alone, those above half the capacity each begin a sequence, and what
+    pieces from k on don't find room beside those needs more of them.
+    """
+    x = np.arange(capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * x)
+    k = np.arange(capacity // 2 + 1)
+    half, under = capacity // 2, capacity - k
+    alone_or_first = n[capacity] - n[half]
+    beside = (n[under] - n[half]) * capacity - (total[under] - total[half])
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    return int(alone_or_first + max(0, int((-((beside - small) // capacity)).max())))
+
+
 class _Shelf:
     """Lengths still there, with the next smaller one found in near-constant time."""
 
@@ -207,6 +255,12 @@ class _Shelf:
         self.below = list(range(len(self.n)))
         self.used = [0] * len(self.n)
 
+    def put(self, x: int, more: int) -> None:
+        """Adds pieces of length x, or takes some away."""
+        if more > 0 and self.n[x] == 0:
+            self.below = list(range(len(self.n)))  # what points past x may be wrong now
+        self.n[x] += more
+
     def at_most(self, x: int) -> int:
         """The largest length up to x that is left beside what is in use; 0 if none."""
         while x > 0:
@@ -221,7 +275,7 @@ class _Shelf:
         return 0
 
 
-def _complete(shelf: _Shelf, room: int, effort: int) -> list[int]:
+def _complete(shelf: _Shelf, room: int, branches: int) -> list[int]:
     """The filling of `room` with the least waste that the search finds, largest lengths first."""
     best: list[int] = []
     least = room + 1
@@ -245,7 +299,7 @@ def _complete(shelf: _Shelf, room: int, effort: int) -> list[int]:
         if waste < least:
             best, least = chosen + rest, waste
         x = shelf.at_most(min(left, top))
-        while x and least and nodes <= effort:
+        while x and least and nodes <= branches:
             # Alone, a length leaves left - x; unless that beats the incumbent or more can follow, the branch is dead.
             shelf.used[x] += 1
             if left - x < least or shelf.at_most(min(left - x, x)):
@@ -257,18 +311,129 @@ def _complete(shelf: _Shelf, room: int, effort: int) -> list[int]:
     return best
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = 400) -> Plan:
-    """A packing of the histogram of lengths. effort: branches tried beyond best fit for one filling."""
+class _Effort:
+    """How many steps the search may still take; None: no limit."""
+
+    def __init__(self, steps: int | None):
+        self.steps, self.gone = steps, False
+
+    def spend(self) -> bool:
+        if self.steps is not None:
+            self.gone |= self.steps <= 0
+            self.steps -= 1
+        return not self.gone
+
+
+def _spread(bits: int, by: int) -> int:
+    """The bits, and each of them moved up by 1 to `by` places."""
+    step = 1
+    while by > 0:
+        take = min(step, by)
+        bits |= bits << take
+        by, step = by - take, step + take
+    return bits
+
+
+def _dominated(filling: list[int], waste: int, spare: int) -> bool:
+    """Whether some pieces of the filling could give place to one that is left (bit x of spare: a piece of length x)."""
+    one = more = 0  # bit t: one piece, or several pieces, of the filling are t long together
+    for x in filling:
+        more |= (more | one) << x
+        one |= 1 << x
+    longer = _spread(one << 1, waste - 1) if waste else 0  # a single piece gives place to a longer one only
+    return bool((_spread(more, waste) | longer) & spare)
+
+
+def _fillings(counts: list[int], room: int, top: int, effort: _Effort):
+    """Every undominated filling of `room` beside a piece of length `top`; counts without that piece. Largest first."""
+    sizes = [x for x in range(min(room, top), 0, -1) if counts[x]]
+    have = sum(1 << x for x in range(1, room + 1) if counts[x])
+    chosen: list[int] = []
+
+    def deeper(i: int, left: int):
+        for j in range(i, len(sizes)):
+            for k in range(min(counts[sizes[j]], left // sizes[j]), 0, -1):
+                if not effort.spend():
+                    return
+                chosen.extend([sizes[j]] * k)
+                yield from deeper(j + 1, left - k * sizes[j])
+                del chosen[len(chosen) - k :]
+        spare = have
+        for x in set(chosen):
+            if chosen.count(x) == counts[x]:
+                spare &= ~(1 << x)
+        if not spare & ((1 << left + 1) - 1) and not _dominated(chosen, left, spare):
+            yield list(chosen)
+
+    yield from deeper(0, room)
+
+
+def _choices(shelf: _Shelf, capacity: int, branches: int, effort: _Effort):
+    """Fillings of a sequence around the largest length left, and how often to apply each: what is tried in turn."""
+    top = next(x for x in range(capacity, 0, -1) if shelf.n[x])
+    shelf.used[top] = 1
+    first = _complete(shelf, capacity - top, branches)
+    shelf.used[top] = 0
+    counts = list(shelf.n)
+    counts[top] -= 1
+
+    def every():
+        yield first
+        for f in _fillings(counts, capacity - top, top, effort):
+            if f != first:
+                yield f
+
+    for filling in every():
+        per = {x: (top, *filling).count(x) for x in (top, *filling)}
+        for times in range(min(shelf.n[x] // k for x, k in per.items()), 0, -1):
+            yield per, times
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int | None = 5_000, branches: int = 400) -> Plan:
+    """A packing of the histogram of lengths.
+
+    effort: steps of the search after the first packing; None: until it is proved to be a best one, which may take long.
+    branches: what the search for the first filling of a sequence tries beyond best fit.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for k, n in histogram.items():
         counts[k] = n
-    shelf, plan, taken = _Shelf(counts), Plan(), [0] * (capacity + 1)
-    while top := shelf.at_most(capacity):
-        shelf.used[top] = 1
-        filling = [top, *_complete(shelf, capacity - top, effort)]
-        shelf.used[top] = 0
-        per = {x: filling.count(x) for x in filling}
-        times = min(shelf.n[x] // k for x, k in per.items())
+    bound, left = lower_bound(counts, capacity), int(counts.sum())
+    shelf, best, least, steps_left = _Shelf(counts), [], int(counts.sum()) + 1, _Effort(effort)
+    steps: list[tuple[dict[int, int], int]] = []
+    nodes = [_choices(shelf, capacity, branches, steps_left)] if left else []
+    used = 0
+
+    def apply(per: dict[int, int], times: int, sign: int) -> None:
+        for x, k in per.items():
+            shelf.put(x, -sign * k * times)
+
+    while nodes and least > bound and not steps_left.gone:
+        choice = next(nodes[-1], None)
+        if choice is None:
+            nodes.pop()
+            if steps:
+                per, times = steps.pop()
+                apply(per, times, -1)
+                used, left = used - times, left + times * sum(per.values())
+            continue
+        per, times = choice
+        if best and not steps_left.spend():
+            break
+        apply(per, times, 1)
+        used, left = used + times, left - times * sum(per.values())
+        steps.append(choice)
+        if left and (not best or used + lower_bound(np.array(shelf.n), capacity) < least):
+            nodes.append(_choices(shelf, capacity, branches, steps_left))
+            continue
+        if not left and used < least:
+            best, least = list(steps), used
+        steps.pop()
+        apply(per, times, -1)
+        used, left = used - times, left + times * sum(per.values())
+    plan = Plan(bound=bound, proved=not steps_left.gone)
+    taken = [0] * (capacity + 1)
+    for per, times in best:
         offset = 0
         for x, k in per.items():
             plan.length.append(x)
@@ -278,7 +443,6 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = 400
             plan.offset.append(offset)
             offset += k * x
             taken[x] += k * times
-            shelf.n[x] -= k * times
         plan.sequences += times
     order = np.lexsort((plan.first, plan.length))
     for name in ("length", "first", "each", "sequence", "offset"):

@@ -66,3 +66,48 @@ def test_solve_reaches_small_optima():
         h = Counter(rng.randrange(1, 61) for _ in range(200))
         total = sum(k * n for k, n in h.items())
         assert packing.solve(h, 100).sequences <= -(-total // 100) + 1
+
+
+def fewest(items, capacity):
+    """The least number of sequences, over all subsets of the items."""
+    best = [(1, 0)] + [(len(items) + 1, 0)] * ((1 << len(items)) - 1)
+    for m in range(1, 1 << len(items)):
+        for i, x in enumerate(items):
+            if m >> i & 1:
+                n, used = best[m ^ 1 << i]
+                best[m] = min(best[m], (n, used + x) if used + x <= capacity else (n + 1, x))
+    return best[-1][0]
+
+
+def test_search_to_proof_matches_an_exact_solver():
+    better = 0
+    for seed in range(120):
+        rng = random.Random(seed)
+        capacity = rng.choice([20, 50, 100, 101])
+        items = [rng.randrange(max(1, capacity // rng.choice([3, 5, 8])), capacity // rng.choice([1, 2]) + 1) for _ in range(rng.randrange(1, 12))]
+        plan, first, want = packing.solve(Counter(items), capacity, effort=None), packing.solve(Counter(items), capacity, effort=0), fewest(items, capacity)
+        assert plan.proved and plan.sequences == want and plan.bound <= want
+        assert first.sequences >= want and (not first.proved or first.sequences == want)
+        better += first.sequences > want
+    assert packing._dominated([5, 3], 0, 1 << 8) and not packing._dominated([5, 3], 0, 1 << 7 | 1 << 5)
+    assert packing._dominated([5, 3], 2, 1 << 10) and packing._dominated([5, 3], 2, 1 << 7) and not packing._dominated([5, 3], 1, 1 << 7)
+
+
+def test_first_packing_is_improved():
+    rng = random.Random(2)
+    items = []
+    for _ in range(20):  # triples that fill a sequence
+        a = rng.randrange(380, 490)
+        b = rng.randrange(251, max(252, (1000 - a) // 2 + 1))
+        items += [a, b, 1000 - a - b]
+    plan = packing.solve(Counter(items), 1000)
+    assert plan.sequences == plan.bound == 20 and plan.proved
+
+
+def test_colliding_hashes():
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = ("".join(s[b] for b in bits) for s in ("ab", "ba"))
+    encode = packing.Encoder()
+    for texts in ([x, f"{y} {x} {y}"], [y, x], [f"{x} end"]):
+        for t, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == brute(t)[:-1]
