@@ -1,13 +1,22 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned for the base patterns, then unwrapped: URL escapes, Unicode and
-character-reference escapes, base64 runs, and gzip, zlib or bzip2 data inside them give further layers. A layer keeps,
-for each of its characters, the range of the original text that it came from, so a finding at any depth is a span of the
-original. Layers seen before are not entered again, so nesting ends at a fixpoint. Escapes are undone over whole layers;
-unpacked data above `unpack_limit` characters is scanned in overlapping parts as it is unpacked. Every level of compressed
-data is scanned as text too, whatever its first bytes look like, and streams that follow one another are all unpacked.
-
-Null and empty texts have no spans. Repeated rows are scanned each by itself. Other columns are not read.
+character-reference escapes, base64 runs, and gzip, zlib or bzip2 data inside them give further layers.
+
+* Escapes are undone once, of either sort, and until none is left, in one pass from the right in which what an escape
+  gives may begin another one. Both results are layers. What stands between them differs only in the characters that
+  begin escapes, which no pattern has. Such a layer keeps the range of the original that each character came from, so a
+  finding is a span of the original.
+* All that a base64 run holds, at any depth, has the run as its span, so below it only the kinds that occur count. Bytes
+  are read as text and, where they are compressed, unpacked, level by level, with streams that follow one another.
+  A level's text is read in windows of about `unpack_limit` bytes that end where no pattern, escape or run can stand. Where
+  a window has no such place, the next one is read with its end, blanks taken as one, and a run that is still open is
+  decoded as a stream of its own. A level is held in memory up to that size and unpacked again from the one above it
+  beyond; so memory follows neither what data unpacks to nor its depth.
+* Bytes that were met before, in a level above or elsewhere in the text, are not entered again: a cycle ends there.
+
+Null and empty texts have no spans. Repeated rows are scanned each by itself. Findings that begin at one place are listed
+by kind, then end. An empty table gives no rows, or an empty table. Other columns are not read, or stay as they are.
 """
 
 from __future__ import annotations
@@ -16,11 +25,12 @@ import base64
 import bisect
 import bz2
 import hashlib
-import io
 import re
-import tempfile
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +49,18 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos|equals|colon);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
-WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
 #: How base64 of compressed data begins, behind a character that may also be a separator.
 PACKED = re.compile(r"(?<=[+/_-])(?:H4sI|Qlpo|e[A-P][A-Za-z0-9+/_-]{2})")
-WIDE = re.compile(rb"(?:\0[\x20-\x7e]){6}|(?:[\x20-\x7e]\0){6}")
+ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|" + UNICODE.pattern.replace("(?:\\\\u[0-9A-Fa-f]{4})+", "\\\\u[0-9A-Fa-f]{4}").replace("(?:\\\\x[0-9A-Fa-f]{2})+", "\\\\x[0-9A-Fa-f]{2}"))
+LEAD = re.compile(r"[%\\&]")
+#: The shortest finding has twelve characters.
+TWELVE = re.compile(rb"[\x20-\x7e]{12}")
+#: Up to the last byte that stands in no pattern, escape or base64 run, nor between a run's lines.
+CLOSED = re.compile(rb".*[^\0\t\n\r \"#%&'+./0-9:;=A-Z\\_a-z{}-]", re.S)
+BEFORE_RUN = re.compile(r".*[^A-Za-z0-9+/_\s\\-]", re.S)
+NO_RUN = re.compile(rb"[^A-Za-z0-9+/_\s\\-]")
+CARRIED = 4096
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&equals;": "=", "&colon;": ":"}
 
 
@@ -117,6 +135,48 @@ def unescaped(layer: Layer, marks: str, pattern: re.Pattern, read) -> Layer | No
     return Layer("".join(text), np.concatenate([*lo, a]).astype(np.int64), np.concatenate([*hi, b]).astype(np.int64))
 
 
+def resolved(text: str) -> list[tuple[str, int, int]]:
+    """The text with escapes undone until none is left, as stretches (characters, from, to): those of the original as they
+    are, or what its characters in between stand for, which are more. Bytes beyond ASCII stay halves of characters, which
+    no pattern has."""
+    stack: list[tuple[str | None, int, int]] = []  # what follows, the nearest last; None: as it is
+
+    def ahead() -> str:
+        out, i = "", len(stack)
+        while i and len(out) < 10:
+            i -= 1
+            c, a, b = stack[i]
+            out += text[a : min(b, a + 10)] if c is None else c
+        return out[:10]
+
+    def take(n: int) -> int:
+        """Takes n characters away; where the last of them ended in the original."""
+        while True:
+            c, a, b = stack.pop()
+            size = b - a if c is None else len(c)
+            if size > n:
+                stack.append((c, a + n, b))
+                return a + n
+            n -= size
+            if not n:
+                return b
+
+    end = len(text)
+    for at in reversed(array("q", (m.start() for m in LEAD.finditer(text)))):
+        if at + 1 < end:
+            stack.append((None, at + 1, end))
+        char, stop, end = text[at], at + 1, at
+        while char in "%\\&" and (m := ESCAPE.match(char + ahead())):
+            stop = take(m.end() - 1)
+            char = chr((0xDC00 if m.group()[1] >= "8" else 0) + int(m.group()[1:], 16)) if char == "%" else _unicode(m.group())[0][0]
+        stack.append((None if stop == at + 1 else char, at, stop))
+    stack.append((None, 0, end))
+    out: list[tuple[str, int, int]] = []
+    for c, a, b in reversed(stack):
+        out.append((text[a:b] if c is None else c, a, b))
+    return out
+
+
 def _unpacker(head: bytes):
     if head[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
@@ -125,71 +185,52 @@ def _unpacker(head: bytes):
     return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
 
 
-def _streams(source, starts: list[int], part: int):
-    """(first, bytes) of the compressed streams at the starts and right behind one another; a broken one ends early."""
-    done = 0
-    for start in starts:
-        if start < done:
-            continue
-        source.seek(start)
-        rest = source.read(part)
-        while (d := _unpacker(rest[:3])) is not None:
-            done, first, held = source.tell() - len(rest) + 1, True, b""
-            try:
-                while not d.eof:
-                    got = d.decompress(rest, part)
-                    rest = getattr(d, "unconsumed_tail", b"")
-                    held += got
-                    if len(held) >= 3 or (held and not first):
-                        yield first, held
-                        first, held = False, b""
-                    if not got and not rest and not d.eof and not (rest := source.read(part)):
-                        break
-            except (zlib.error, OSError, EOFError, ValueError):
-                rest = b""
+#: Opens bytes for reading: (whether something of its own begins here, bytes). What begins has at least three bytes.
+Source = Callable[[], Iterator[tuple[bool, bytes]]]
+
+
+def _unpacked(source: Source, part: int) -> Iterator[tuple[bool, bytes]]:
+    """What the compressed streams hold that begin where the source says so, or right behind one another; a broken one
+    ends early."""
+    d, behind, rest, first, held = None, False, b"", False, b""
+    for begins, data in source():
+        if begins:
             if held:
                 yield first, held
-            if not d.eof:
+            d, behind, rest, first, held = _unpacker(data[:3]), False, b"", True, b""
+        while d is not None or behind:
+            if behind:  # a stream has ended; another one may follow
+                rest = (rest + data).lstrip(b"\0")
+                if len(rest) < 3:
+                    break
+                if held:
+                    yield first, held
+                d, behind, data, rest, first, held = _unpacker(rest[:3]), False, rest, b"", True, b""
+                continue
+            try:
+                got = d.decompress(data, part)
+            except (zlib.error, OSError, EOFError, ValueError):
+                d = None
                 break
-            rest = d.unused_data
-            while not (rest := rest.lstrip(b"\0")) and (more := source.read(part)):
-                rest = more
-            rest += source.read(3) if len(rest) < 3 else b""
-
-
-def unpacked(data: bytes, part: int):
-    """Byte parts of the data and of each level of compressed data in it, as (whether a level begins, bytes).
-
-    A level is unpacked from the stored one above it, so that depth costs no memory; one seen before ends it."""
-    yield True, data
-    source, starts, seen = io.BytesIO(data), [0], set()
-    while starts:
-        out, below, digest, held, new = tempfile.SpooledTemporaryFile(part), [], hashlib.sha256(), bytearray(), True
-        for first, got in _streams(source, starts, part):
-            if first and _unpacker(got[:3]) is not None:
-                below.append(out.tell())
-            if below:
-                out.write(got)
-                digest.update(got)
+            data = getattr(d, "unconsumed_tail", b"")
             held += got
-            while len(held) >= part:
-                yield new, bytes(held[:part])
-                del held[:part]
-                new = False
-        if held:
-            yield new, bytes(held)
-        source.close()
-        source, starts = out, [] if digest.digest() in seen else below
-        seen.add(digest.digest())
-    source.close()
-
-
-def _readable(data: bytes) -> str | None:
+            if len(held) >= 3 or (held and not first):
+                yield first, held
+                first, held = False, b""
+            if d.eof:
+                d, behind, data = None, True, d.unused_data
+            elif not got and not data:
+                break
+    if held:
+        yield first, held
+
+
+def _readable(data: bytes) -> bool:
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return False
+    return all(c.isprintable() or c in "\t\r\n" for c in text)
 
 
 def _blocks(text: str):
@@ -229,30 +270,13 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
 
 
-def _lenient(data: bytes):
-    """The bytes as text, bad ones replaced; also as UTF-16 of either order where every second byte is zero for a while."""
-    yield data.decode("utf-8", "replace")
-    if WIDE.search(data):
-        yield data.decode("utf-16-le", "replace")
-        yield data.decode("utf-16-be", "replace")
-
-
-def _texts(data: bytes, part: int):
-    """Texts that decoded data holds."""
-    if (plain := _readable(data)) is not None:
-        yield plain
-        return
-    tail = b""
-    for new, got in unpacked(data, part):
-        now = b"" if new else tail
-        now += got
-        yield from _lenient(now)
-        tail = now[-8192:]
-
-
-def _pieces(run: str):
+def _pieces(run: str, before: str):
     """Start and end of what may be base64 by itself where a run's +, /, - or _ are separators: its plain and its
-    URL-safe parts, what follows a separator and begins like compressed data, and the other three alignments."""
+    URL-safe parts, what follows a separator and begins like compressed data, and the other three alignments. Behind a
+    per cent sign the run may begin after the digits of escaped ones."""
+    if before == "%" and (m := re.match("(?:25)+", run)):
+        yield 2, len(run)
+        yield m.end(), len(run)
     if not any(c in run for c in "+/-_"):
         return
     for one in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}"):
@@ -266,55 +290,186 @@ def _pieces(run: str):
         yield k, len(run)
 
 
-def contents(layer: Layer, part: int):
-    """Texts inside the layer's base64 runs, each placed on its whole run; wrapped lines are joined first. Nothing in a run
-    that is plain text as a whole is looked at again."""
+def contents(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and bytes of what may be base64 in a text; wrapped lines are joined first. Nothing in a run that is plain
+    text as a whole is looked at again."""
     clean: list[tuple[int, int]] = []
-
-    def inside(run: str, start: int, end: int):
-        span = layer.span(start, end)
-        for text in _texts(_decoded(run), part):
-            yield Layer(text, np.full(len(text), span[0], np.int64), np.full(len(text), span[1], np.int64))
-
-    def plain(run: str) -> bool:
-        return len(run) >= 16 and _readable(_decoded(run)) is not None
-
-    for lines in _blocks(layer.text):
-        run = "".join(layer.text[a:b] for a, b in lines)
+    for lines in _blocks(text):
+        run = "".join(text[a:b] for a, b in lines)
         if len(run) >= 16:
-            if plain(run):
+            data = _decoded(run)
+            if _readable(data):
                 clean.append((lines[0][0], lines[-1][1]))
-            yield from inside(run, lines[0][0], lines[-1][1])
+            yield lines[0][0], lines[-1][1], data
     clean.sort()
     ends = np.maximum.accumulate([b for _, b in clean]) if clean else []
-    for start, run in _runs(layer.text):
-        at = bisect.bisect_right(clean, (start, len(layer.text)))
+    for start, run in _runs(text):
+        at = bisect.bisect_right(clean, (start, len(text)))
         if at and ends[at - 1] >= start + len(run):
             continue
-        yield from inside(run, start, start + len(run))
-        if not plain(run):
-            for a, b in _pieces(run):
-                yield from inside(run[a:b], start + a, start + b)
-
-
-def scan(text: str, unpack_limit: int = 1 << 22) -> list[tuple[int, int, int, int]]:
+        data = _decoded(run)
+        yield start, start + len(run), data
+        pieces = list(_pieces(run, text[start - 1 : start]))
+        if pieces and not _readable(data):
+            for a, b in pieces:
+                yield start + a, start + b, _decoded(run[a:b])
+
+
+def _variants(text: str) -> Iterator[str]:
+    """A text whose places don't count, and what undoing its escapes gives."""
+    yield text
+    for pattern, read in ((URL, _url), (UNICODE, _unicode)):
+        once = pattern.sub(lambda m, read=read: "".join(c for c, _ in read(m.group())), text) if LEAD.search(text) else text
+        if once != text:
+            yield once
+            if ESCAPE.search(once):
+                yield "".join(c for c, _, _ in resolved(text))
+
+
+def _run_at(source: Source, start: int, shift: int, part: int) -> Iterator[tuple[bool, bytes]]:
+    """The bytes of the base64 run that begins at a place of a source, decoded from its character `shift` on; white space
+    and escaped line ends in it don't count."""
+    at, rest, first = 0, b"", True
+    for _, data in source():
+        at += len(data)
+        if at <= start:
+            continue
+        data = data[max(0, start - at + len(data)) :]
+        stop = NO_RUN.search(data)
+        rest += re.sub(rb"\\[rn]|[\s\\]", b"", data[: stop.start()] if stop else data)
+        if first:
+            if len(rest) < 12 and not stop:
+                continue
+            rest = rest[shift:]
+        whole = len(rest) - len(rest) % 4
+        out = _decoded((rest if stop else rest[:whole]).decode("latin-1"))
+        rest = rest[whole:]
+        if out:
+            yield first, out
+            first = False
+        if stop:
+            return
+    if rest and (out := _decoded(rest.decode("latin-1"))):
+        yield first, out
+
+
+def _narrow(text: str) -> str:
+    """UTF-16 of either order, read byte by byte, without its zeros; a zero character becomes a control character."""
+    return text.replace("\0\0\0", "\1").replace("\0", "")
+
+
+class Inside:
+    """Kinds of findings in bytes, at any depth."""
+
+    def __init__(self, part: int):
+        self.part = part
+        self.known: dict[bytes, set[int]] = {}
+
+    def of_bytes(self, data: bytes) -> set[int]:
+        if _unpacker(data[:3]) is None and not TWELVE.search(data.replace(b"\0", b"") if b"\0" in data else data):
+            return set()
+        return self.of(lambda: iter([(True, data)]))
+
+    def of(self, source: Source) -> set[int]:
+        levels: list[set[int]] = []
+        while True:
+            digest, packed, held, size = hashlib.sha256(), False, [], 0
+            for begins, data in source():
+                digest.update(b"+" * begins + data)
+                packed |= begins and _unpacker(data[:3]) is not None
+                size += len(data)
+                held = [*held, (begins, data)] if size <= self.part else []
+            if (key := digest.digest()) in self.known:
+                levels.append(self.known[key])
+                break
+            levels.append(self.known.setdefault(key, set()))
+            if size <= self.part:
+                source = partial(iter, held)
+            levels[-1].update(self.text_of(source))
+            if not packed:
+                break
+            source = partial(_unpacked, source, self.part)
+        for i in range(len(levels) - 2, -1, -1):
+            levels[i] |= levels[i + 1]
+        return levels[0]
+
+    def text_of(self, source: Source) -> set[int]:
+        """Kinds in the text of one level."""
+        found: set[int] = set()
+        at, held, tail, in_run, before = 0, b"", "", False, None
+        for data in self._chunks(source):
+            held += data or b""
+            while held and (data is None or len(held) > self.part):
+                closed = CLOSED.match(held[: self.part])
+                last = data is None and len(held) <= self.part
+                cut = len(held) if last else closed.end() if closed else self.part
+                window, is_open = held[:cut].decode("latin-1"), not last and closed is None
+                skip = 0
+                if in_run and (m := NO_RUN.search(held[:cut])):
+                    skip, in_run = m.start(), False
+                elif in_run:
+                    skip = cut
+                again, before = (window, tail, skip) == before, (window, tail, skip)
+                for text in () if again else (window, _narrow(window)) if "\0" in window else (window,):
+                    for t in _variants(re.sub("  +", " ", tail + text)):
+                        found.update(k for _, k, _ in matches(t))
+                    if skip < cut:
+                        for t in _variants(text[skip:] if text is window else text):
+                            for _, _, inner in contents(t):
+                                found |= self.of_bytes(inner)
+                if is_open and not in_run:
+                    ended = BEFORE_RUN.match(window)
+                    start = max(skip, ended.end() if ended else 0)
+                    in_run = start < cut
+                    for shift in range(4 * in_run):
+                        found |= self.of(partial(_run_at, source, at + start, shift, self.part))
+                tail = re.sub("  +", " ", tail + window)[-CARRIED:] if is_open else ""
+                in_run &= is_open
+                held, at = held[cut:], at + cut
+        return found
+
+    def _chunks(self, source: Source) -> Iterator[bytes | None]:
+        """The source's bytes in pieces of bounded size, then None."""
+        for _, data in source():
+            for i in range(0, len(data), self.part):
+                yield data[i : i + self.part]
+        yield None
+
+
+def scan(text: str, unpack_limit: int = 1 << 20) -> list[tuple[int, int, int, int]]:
     """All findings as (start, kind number, end, depth), by start, then kind, then end; depth 0 are the base ones."""
     found: dict[tuple[int, int, int], int] = {}
-    seen, work = {hash(text)}, [(Layer(text), 0)]
+    inside = Inside(unpack_limit)
+    work = [(Layer(text), 0)]
     while work:
         layer, depth = work.pop(0)
         for a, kind, b in matches(layer.text):
             s, e = layer.span(a, b)
             found.setdefault((s, kind, e), depth)
-        inner = [unescaped(layer, "%", URL, _url), unescaped(layer, "\\&", UNICODE, _unicode), *contents(layer, unpack_limit)]
-        for x in inner:
-            # The length is in the key, as a text and the one whose UTF-16 bytes it spells have the same hash.
-            if x is not None and x.text and (key := hash((x.text, len(x.text), None if depth == 0 and x.lo is None else int(x.lo[0]), int(x.hi[-1])))) not in seen:
-                seen.add(key)
-                work.append((x, depth + 1))
+        for a, b, data in contents(layer.text):
+            if kinds := inside.of_bytes(data):
+                s, e = layer.span(a, b)
+                for kind in kinds:
+                    found.setdefault((s, kind, e), depth + 1)
+        if depth == 0:
+            once = [x for x in (unescaped(layer, "%", URL, _url), unescaped(layer, "\\&", UNICODE, _unicode)) if x is not None]
+            work += [(x, 1) for x in once]
+            if any(ESCAPE.search(x.text) for x in once):
+                work.append((_fully(text), 2))
     return sorted((s, k, e, d) for (s, k, e), d in found.items())
 
 
+def _fully(text: str) -> Layer:
+    """The text with escapes undone until none is left."""
+    lo, hi, out = [], [], []
+    for c, a, b in resolved(text):
+        out.append(c)
+        same = len(c) == b - a
+        lo.append(np.arange(a, b) if same else np.full(len(c), a))
+        hi.append(np.arange(a + 1, b + 1) if same else np.full(len(c), b))
+    return Layer("".join(out), np.concatenate(lo).astype(np.int64), np.concatenate(hi).astype(np.int64))
+
+
 SPANS = "array<struct<kind:string,start:long,end:long,depth:int>>"
 
 

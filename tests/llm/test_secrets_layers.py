@@ -77,3 +77,54 @@ def test_lenient_layers():
             assert (nested, "access") in kinds(f"blob {nested} end"), (odd, code)
     wide = coded(gzip.compress(f"token={KEY}".encode("utf-16")))
     assert {(wide, "access"), (wide, "assign")} <= kinds(wide)
+
+
+def test_windows_lose_nothing():
+    rng = random.Random(5)
+    fill = ["word, ", "nobreak.", "x" * 37, "A" * 90, "2" * 11 + "\n", " " * 50, "é", "\0", "a\0b\0", "%41", "&amp;"]
+    held = [KEY, "token" + " " * 700 + "= abcdefg", f"pass%2525{'25' * 300}77ord=abcdefgh", coded(f"note, {KEY} end".encode()), coded(gzip.compress(rng.randbytes(900) + KEY.encode())), coded(coded(rng.randbytes(700) + b" secret=abcdefgh ").encode()), "0123456789abcdef" * 40]
+    held.append("\n".join(held[4][i : i + 64] for i in range(0, len(held[4]), 64)))
+    for _ in range(60):
+        text = "".join(rng.choice(fill) * rng.randrange(1, 40) for _ in range(rng.randrange(1, 6))) + "," + rng.choice(held) + "," + "".join(rng.choice(fill) * rng.randrange(1, 40) for _ in range(3))
+        if rng.random() < 0.5:  # no place where a window could end
+            text = "x.y=" * 200 + rng.choice(held) + "=q.r" * 200
+        run = coded(gzip.compress(text.encode()))
+        whole, small = kinds(run), kinds(run, unpack_limit=512)
+        assert whole and whole <= small, text
+
+
+def test_bounded_memory_and_time():
+    import time
+    import tracemalloc
+
+    def bomb(unit, size, tail):
+        z, block = zlib.compressobj(9, zlib.DEFLATED, 31), unit * ((1 << 20) // len(unit))
+        return coded(b"".join([*(z.compress(block) for _ in range(size >> 20)), z.compress(tail), z.flush()]))
+
+    tracemalloc.start()
+    for unit, size in ((b"lorem ipsum, dolor ", 64 << 20), (b"A", 4 << 20), (b"\0", 16 << 20)):
+        run = bomb(unit, size, f",{KEY},".encode())
+        assert (run, "access") in kinds(f"see {run} end")
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    took = []
+    for k in (20000, 80000):
+        began = time.process_time()
+        assert any(kind == "assign" for _, kind in kinds(f"go pass%{'25' * k}77ord=abcdefgh &{'amp;' * k}lt; " + "%\\&" * k))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_cycles_end():
+    inside = secrets.Inside(1 << 16)
+    again = lambda: iter([(True, gzip.compress(KEY.encode())[:10]), (False, b"x" * 50)])
+    assert inside.of(again) == inside.of(again) == set()
+    levels = [(True, gzip.compress(KEY.encode()))]
+    assert inside.of(lambda: iter(levels)) == {1} and inside.of(lambda: iter(levels)) == {1}
+
+
+def test_escapes_until_none_is_left():
+    for text, want in (("%2541", "A"), ("%%34%31", "A"), ("\\u005cu0041", "A"), ("&amp;amp;lt;", "<"), ("%5Cu002541 é", "A é"), ("100%", "100%"), ("\\x2541&", "A&"), ("", "")):
+        got = secrets.resolved(text)
+        assert "".join(c for c, _, _ in got) == want
+        assert [a for _, a, _ in got] == [0, *[b for _, _, b in got][:-1]] and got[-1][2] == len(text)
