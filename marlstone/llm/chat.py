@@ -1,14 +1,17 @@
 r"""Chat formatting by event sourcing, in DataFrame operations only.
 
-A log holds events of messages: `message` and `edit` set a message's text, `regenerate` starts it anew, `delta` adds to
-it. Events are partitioned by conversation and message and folded in sequence: only what follows the last event that sets
-the text counts. Messages then become segments of a template, `<turn>role\ntext</turn>\n`, with a loss flag on the text
-of assistants. In texts and roles `\` becomes `\\` and the `<` of a control string `\l`; a newline in a role becomes
-`\n`. Every escape begins with a backslash that no other character can be mistaken for, so reading back is exact.
-
-Folding never gathers a conversation. A conversation's own output is one row, in message order, as its digest needs.
-Null texts and roles are empty. Messages with equal turns, and repeated rows, are all kept, by turn, role, then text; a
-null turn comes first; null conversations are one. Other columns are not read. An empty log gives no rows.
+A log holds a conversation's events in sequence: `message` opens one, `delta` adds to the text of the one opened last,
+`regenerate` starts it anew, and `edit` sets the text of the one whose number it names. `numbered` finds each event's
+message by counting what was opened before it in its conversation's sequence; the count is taken in stretches of the
+sequence, so a long conversation is many tasks. `fold` then folds each message's events in sequence: only what follows
+the last event that sets the text counts. Messages become segments of a template, `<turn>role\ntext</turn>\n`, with a
+loss mask of the byte ranges of assistants' texts in the formatted conversation. In texts and roles `\` becomes `\\` and
+the `<` of a control string `\l`; a newline in a role becomes `\n`. Every escape begins with a backslash that no other
+character can be mistaken for, so reading back is exact.
+
+A conversation's own output is one row, in message order, as its digest needs. Null texts and roles are empty. Messages
+with equal turns, and repeated rows, are all kept, by turn, role, then text; a null turn comes first; null conversations
+are one. Other columns are not read. An empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -16,10 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import spread_rank, table
 
 OPEN, CLOSE, LOSS_ROLE = "<turn>", "</turn>\n", "assistant"
 SETS = ("message", "edit", "regenerate")
+#: Events of a conversation that are counted in one stretch.
+STRETCH = 1 << 12
+
+
+def numbered(events: DataFrame, conv: str = "conv_id", order: str = "seq", target: str = "target") -> DataFrame:
+    """Adds `number`: which of the conversation's messages an event is about, from 1 on; 0 before the first is opened."""
+    opens = (F.col("kind") == "message").cast("long")
+    stretch = F.coalesce(F.floor(F.col(order) / STRETCH), F.lit(-1))
+    counted = spread_rank(events, [conv], [order], stretch, weight=opens, into="number")
+    return counted.withColumn("number", F.coalesce(F.col(target).cast("long"), F.col("number") + opens))
 
 
 def fold(events: DataFrame, message: list[str], order: str = "seq") -> DataFrame:
@@ -52,18 +65,16 @@ def segments(messages: DataFrame) -> DataFrame:
     return messages.select("*", F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"), escaped(F.col("text")).alias("body"), F.lit(CLOSE).alias("tail"), (F.col("role") == LOSS_ROLE).alias("loss"))
 
 
-def conversations(messages: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("turn", "nth")) -> DataFrame:
-    """(conv, segments, loss): the segments of each conversation in order and whether each counts for the loss."""
+def conversations(messages: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("number",)) -> DataFrame:
+    """(conv, formatted, mask): each conversation's text and the byte ranges in it, from start to end, that count for the loss."""
     rows = segments(messages)
-    turn = F.struct(*order, "head", "body", "tail", "loss")
+    size = F.octet_length("head") + F.octet_length("body") + F.octet_length("tail")
+    before = Window.partitionBy(conv).orderBy(*order, "head", "body").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)) + F.octet_length("head"))
+    turn = F.struct("start", (F.col("start") + F.octet_length("body")).alias("end"), "loss", F.concat("head", "body", "tail").alias("segment"))
     turns = rows.groupBy(conv).agg(F.array_sort(F.collect_list(turn)).alias("_t"))
-    texts = F.flatten(F.transform("_t", lambda t: F.array(t["head"], t["body"], t["tail"])))
-    flags = F.flatten(F.transform("_t", lambda t: F.array(F.lit(False), t["loss"], F.lit(False))))
-    return turns.select(conv, texts.alias("segments"), flags.alias("loss"))
-
-
-def formatted(chats: DataFrame) -> DataFrame:
-    return chats.withColumn("formatted", F.array_join("segments", ""))
+    mask = F.transform(F.filter("_t", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return turns.select(conv, F.array_join(F.transform("_t", lambda t: t["segment"]), "").alias("formatted"), mask.alias("mask"))
 
 
 def parsed(text: Column) -> Column:
@@ -79,23 +90,44 @@ def parsed(text: Column) -> Column:
     return F.transform(inner, read)
 
 
-def loss_texts(chats_segments: Column, flags: Column) -> Column:
-    """The texts under the loss mask, in order."""
-    return F.transform(F.filter(F.arrays_zip(chats_segments.alias("s"), flags.alias("l")), lambda x: x["l"]), lambda x: unescaped(x["s"]))
+def loss_texts(raw: Column, mask: Column) -> Column:
+    """The texts under the loss mask of a formatted conversation's bytes, in order."""
+    return F.transform(mask, lambda m: unescaped(F.substring(raw, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")).cast("string")))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """A log in which the messages of (conv_id, turn, role, text) come about by every kind of event.
+
+    An assistant's is opened, gets half of its text, is edited, begun anew, and streamed in three deltas; any other's is
+    opened with half of its text, begun anew, streamed, and edited into its own words after the next messages.
+    """
+    turn = F.coalesce(F.floor(F.col("turn") / 256), F.lit(-(1 << 31)))
+    i = spread_rank(rows, ["conv_id"], ["turn", "role", "text"], turn, into="_i")
+    half, third = F.ceil(F.length("text") / 2), F.ceil(F.length("text") / 3)
+    part = lambda k: F.substr("text", (third * k + 1).cast("int"), third.cast("int"))
+    said, first = F.col("role") == LOSS_ROLE, F.left("text", half.cast("int"))
+
+    def event(step: int, kind: str, text: Column, target: Column | None = None) -> Column:
+        to = F.lit(None).cast("long") if target is None else target
+        return F.struct((16 * F.col("_i") + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), to.alias("target"))
+
+    own, empty = F.col("_i") + 1, F.lit("")
+    stream = F.array(event(0, "message", empty), event(1, "delta", first), event(2, "edit", first, own), event(3, "regenerate", empty), *[event(4 + k, "delta", part(k)) for k in range(3)])
+    other = F.array(event(0, "message", first), event(3, "regenerate", empty), event(4, "delta", part(0)), event(2 * 16 + 9, "edit", F.col("text"), own))
+    return i.select("conv_id", "role", F.explode(F.when(said, stream).otherwise(other)).alias("e")).select("conv_id", "role", "e.*")
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """Every row of the table as an event that sets its message, and the conversation of control strings."""
+    """The log of the table's conversations and the one of control strings."""
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
     control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
-    rows = table(spark, sf_dir, "conversations").select(*cols).union(control)
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("*", nth.alias("nth"), F.lit("message").alias("kind"), F.lit(0).alias("seq"))
+    return streamed(table(spark, sf_dir, "conversations").select(*cols).union(control))
 
 
 def op2_chat(spark, sf_dir):
-    chats = formatted(conversations(fold(_log(spark, sf_dir), ["conv_id", "turn", "nth"])))
-    read = chats.select("conv_id", parsed(F.col("formatted")).alias("turns"), F.array_join(loss_texts(F.col("segments"), F.col("loss")), "").alias("lost"), F.length("formatted").cast("long").alias("formatted_chars"))
+    chats = conversations(fold(numbered(_log(spark, sf_dir)), ["conv_id", "number"]))
+    raw = F.col("formatted").cast("binary")
+    read = chats.select("conv_id", parsed(F.col("formatted")).alias("turns"), F.array_join(loss_texts(raw, F.col("mask")), "").alias("lost"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -15,8 +15,9 @@ def test_round_trip(spark):
     from pyspark.sql import Window
 
     log = df.select("conv_id", "turn", *blank, F.lit("message").alias("kind"), F.lit(0).alias("seq")).withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    out = chat.formatted(chat.conversations(chat.fold(log, ["conv_id", "turn", "nth"])))
-    got = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.loss_texts(F.col("segments"), F.col("loss")).alias("lost")).collect()}
+    out = chat.conversations(chat.fold(log, ["conv_id", "turn", "nth"]), order=("turn", "nth"))
+    raw = F.col("formatted").cast("binary")
+    got = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.loss_texts(raw, F.col("mask")).alias("lost")).collect()}
     by = {}
     for c, t, r, x, _ in rows:
         by.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
@@ -25,7 +26,14 @@ def test_round_trip(spark):
         turns = sorted(turns)
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in turns]
         assert got[c].lost == [x for _, r, x in turns if r == "assistant"]
-    assert chat.conversations(chat.fold(log.limit(0), ["conv_id", "turn", "nth"])).count() == 0
+    assert chat.conversations(chat.fold(log.limit(0), ["conv_id", "turn", "nth"]), order=("turn", "nth")).count() == 0
+    streamed = chat.streamed(df.select("conv_id", "turn", *blank))
+    kinds = {(r.conv_id, r.kind) for r in streamed.select("conv_id", "kind").distinct().collect()}
+    assert kinds == {(c, k) for c in by for k in ("message", "delta", "edit", "regenerate")}
+    again = chat.conversations(chat.fold(chat.numbered(streamed), ["conv_id", "number"]))
+    turns = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in again.select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()}
+    assert turns == {c: [(t.role, t.text) for t in r.turns] for c, r in got.items()}
+    assert chat.numbered(streamed.limit(0)).count() == 0
 
 
 def test_fold(spark):
@@ -51,3 +59,11 @@ def test_query(spark):
     for c, turns in want.items():
         assert rows[c].turns_sha256 == hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in turns).encode()).hexdigest()
         assert rows[c].loss_sha256 == hashlib.sha256("".join(t.text for t in turns if t.role == "assistant").encode()).hexdigest()
+
+
+def test_numbered_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 3)
+    log = [(1, 0, "delta", "a", None), (1, 2, "message", "b", None), (1, 4, "delta", "c", None), (1, 9, "message", "d", None), (1, 11, "edit", "B", 1), (1, 12, "delta", "e", None), (1, 13, "regenerate", None, None), (1, 14, "delta", "f", None), (2, 5, "message", "g", None), (None, 1, "message", "h", None), (None, 2, "delta", "i", None)]
+    df = spark.createDataFrame([(c, s, k, "user", t, n) for c, s, k, t, n in log], "conv_id long, seq long, kind string, role string, text string, target long")
+    got = {(r.conv_id, r.number): r.text for r in chat.fold(chat.numbered(df), ["conv_id", "number"]).collect()}
+    assert got == {(1, 0): "a", (1, 1): "B", (1, 2): "f", (2, 1): "g", (None, 1): "hi"}
