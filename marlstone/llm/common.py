@@ -22,6 +22,14 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def absent(df: DataFrame, name: str) -> str:
+    """The name, with more underscores where the table has a column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def slices(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` bytes together; a longer text stands alone."""
     lo = size = 0

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, documents, spread_rank, word_count
+from marlstone.llm.common import absent, cut, documents, spread_rank, word_count
 
 #: round(2**31 / golden ratio), odd, so a period has each multiple of 2**-31 once.
 GOLDEN = 1_327_217_885
@@ -124,10 +124,11 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     whole = mix(rows).groupBy("uid", "id", "source", "size", "copy").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     copies = whole.groupBy("uid", "id", "source", "size").agg(F.count_if(2 * F.col("taken") >= F.col("size")).alias("_copies"))
     # Rows that agree in id, source and size are told apart by number only.
+    id_, source_, size_, nth, times, words, row, copy = (absent(df, c) for c in ("_id", "_source", "_size", "_nth", "_copies", "_words", "_row", "_copy"))
     mine = Window.partitionBy("id", "source", "size").orderBy(F.desc("_copies"), "uid")
-    copies = copies.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.row_number().over(mine).alias("_nth"), "_copies").where("_copies > 0")
-    theirs = Window.partitionBy(id_col, source_col, "_words").orderBy(text_col)
-    out = df.withColumn("_words", size).withColumn("_row", F.row_number().over(theirs))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nth"))
-    out = out.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    copies = copies.select(F.col("id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.row_number().over(mine).alias(nth), F.col("_copies").alias(times)).where(F.col(times) > 0)
+    theirs = Window.partitionBy(id_col, source_col, words).orderBy(text_col)
+    out = df.withColumn(words, size).withColumn(row, F.row_number().over(theirs))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & F.col(source_col).eqNullSafe(F.col(source_)) & (F.col(words) == F.col(size_)) & (F.col(row) == F.col(nth))
+    out = out.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return out.select(*[F.col(c) for c in df.columns])

@@ -11,6 +11,7 @@ pairs of a group.
 
 Null and empty texts have fingerprint zero and link like others. Repeated rows share a fingerprint. A row without an id
 links like others but never names a component; one that reaches no id has a null component. Other columns are not read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import as_bytes, cut, documents, slices
@@ -267,34 +268,3 @@ def hex64(c: Column) -> Column:
 def op3_simhash(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), hex64(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = 5) -> DataFrame:
-    """One row of each component, with all its columns: that of the least id; of rows with one id, one.
-
-    Rows without an id are represented by one of their component's rows only where no row of it has an id.
-    """
-    found = near_duplicates(df, id_col, text_col, radius, k)
-    named = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_id")).distinct()
-    rows = df.join(named, F.col(id_col) == F.col("_id"), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(text_col)
-    rows = rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    nameless = cut(found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_fp")))
-    if nameless.isEmpty():
-        return rows
-    marked = _marked(df.where(F.col(id_col).isNull()), text_col, k)
-    first = marked.join(nameless, "_fp", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_fp").orderBy(text_col)))
-    return rows.unionByName(first.where("_nth = 1").drop("_nth", "_fp"))
-
-
-def _marked(df: DataFrame, text_col: str, k: int) -> DataFrame:
-    """The rows with their fingerprint as `_fp`."""
-    at = df.columns.index(text_col)
-    schema = type(df.schema)([*df.schema.fields]).add("_fp", "long")
-
-    def run(frames):
-        for b in frames:
-            fp = pa.array(fingerprints_of(as_bytes(b.column(at)), k).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, "_fp"])
-
-    return df.mapInArrow(run, schema)
