@@ -48,10 +48,19 @@ def date_evidence(text: Column, iso: Column) -> Column:
     return F.regexp_like(iso, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & (F.regexp_like(text, full) | F.regexp_like(text, short))
 
 
-def find_in_context(text: Column, pattern: str, around: int = 90) -> Column:
+def date_context(text: Column, iso: Column) -> Column:
+    """The first mention of an ISO date, in full or else without its year, with 90 characters on each side; null if there is none."""
+    y, m, d = F.substring(iso, 1, 4), F.substring(iso, 6, 2).try_cast("int").cast("string"), F.substring(iso, 9, 2).try_cast("int").cast("string")
+    full = F.concat(y, F.lit(r"\s*[-./년]\s*0?"), m, F.lit(r"\s*[-./월]\s*0?"), d)
+    short = F.concat(F.lit(r"(?<![0-9])0?"), m, F.lit(r"\s*[./월]\s*0?"), d, F.lit("(?![0-9])"))
+    return F.when(F.regexp_like(iso, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.coalesce(find_in_context(text, full), find_in_context(text, short)))
+
+
+def find_in_context(text: Column, pattern: str | Column, around: int = 90) -> Column:
     """The first match with `around` characters on each side, white space collapsed; null without a match."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    size = F.length(F.regexp_substr(text, F.lit(pattern)))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    at = F.regexp_instr(text, pattern)
+    size = F.length(F.regexp_substr(text, pattern))
     lo = F.greatest(F.lit(1), at - around)
     cut = F.substr(text, lo, at + size + around - lo)
     return F.when(at > 0, F.trim(F.regexp_replace(cut, r"\s+", " ")))
@@ -65,7 +74,7 @@ def deadline_near(low: Column, labels: list[str], window: int = 80) -> Column:
         at = F.instr(low, label)
         bytes_before = F.octet_length(F.substr(low, F.lit(1), at - 1))
         near = F.substring(raw, bytes_before + 1, F.lit(window)).cast("string")  # a cut character matches nothing
-        hit = F.regexp_substr(near, F.lit(r"20[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}"))
+        hit = F.regexp_substr(near, F.lit(r"20[0-9]{2}[.-][01]?[0-9][.-][0-3]?[0-9]"))
         return F.when(at > 0, hit)
 
     return F.coalesce(*[one(x.lower()) for x in labels])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,9 +59,10 @@ def md_url(c: Column) -> Column:
 
 
 def any_of(c: Column, keywords: list[str]) -> Column:
-    """Whether a lowered text holds any of the keywords."""
-    pattern = "|".join("\\Q" + k.lower() + "\\E" for k in keywords)
-    return F.regexp_like(c, F.lit(pattern))
+    """Whether a lowered text holds any of the keywords; one that holds another keyword isn't looked for."""
+    low = [k.lower() for k in keywords]
+    least = [k for i, k in enumerate(low) if not any(o in k and (o != k or j < i) for j, o in enumerate(low) if j != i)]
+    return functools.reduce(lambda x, y: x | y, [F.contains(c, F.lit(k)) for k in least])
 
 
 #: The controlled vocabulary, in its order, and the fragments that imply each entry.
@@ -82,13 +85,21 @@ def ai_before_hangul(low: Column) -> Column:
 
 
 def classify(c: Column) -> Column:
-    """struct<categories, excluded, confidence>: exclusion words end it; else every category one of whose fragments occurs."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    hits = F.filter(F.array(*[F.when(any_of(low, words), F.lit(k)) for k, words in CATEGORY_WORDS.items()]), lambda x: x.isNotNull())
+    """struct<categories, excluded, confidence>: exclusion words end it; else every category one of whose fragments occurs.
+
+    The lowered text and the categories are each computed once, as elements of arrays that the next step reads.
+    """
     none = F.expr("CAST(array() AS array<string>)")
-    found = F.when(F.size(hits) > 0, hits).when(ai_before_hangul(low), F.array(F.lit("ai"))).otherwise(none)
-    cats = F.when(any_of(low, NON_INDUSTRY), none).otherwise(found)
-    return F.struct(cats.alias("categories"), (F.size(cats) == 0).alias("excluded"), F.when(F.size(cats) > 0, "high").otherwise("low").alias("confidence"))
+
+    def found(low: Column) -> Column:
+        hits = F.filter(F.array(*[F.when(any_of(low, words), F.lit(k)) for k, words in CATEGORY_WORDS.items()]), lambda x: x.isNotNull())
+        return F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, h).when(ai_before_hangul(low), F.array(F.lit("ai"))).otherwise(none))[0]
+
+    def allowed(low: Column) -> Column:
+        return F.transform(F.array(found(low)), lambda h: F.when((F.size(h) > 0) & any_of(low, NON_INDUSTRY), none).otherwise(h))[0]
+
+    cats = F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), allowed)
+    return F.transform(cats, lambda k: F.struct(k.alias("categories"), (F.size(k) == 0).alias("excluded"), F.when(F.size(k) > 0, "high").otherwise("low").alias("confidence")))[0]
 
 
 def cost_hint(low: Column) -> Column:
@@ -117,9 +128,9 @@ def norm_field(field: Column, v: Column) -> Column:
 
 
 def field_match(field: Column, want: Column, got: Column) -> Column:
+    """Whether an output agrees with what is wanted; a venue may have a hall or room behind it."""
     a, b = norm_field(field, F.coalesce(want, F.lit(""))), norm_field(field, F.coalesce(got, F.lit("")))
-    near = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
-    return (a == b) | ((field == "venue_name") & near)
+    return F.when((field == "venue_name") & (a != ""), F.contains(b, a)).otherwise(a == b)
 
 
 def bracket_prefix(c: Column) -> Column:

@@ -224,12 +224,14 @@ def schema_event(block: Column) -> Column:
 
 #: What an action's link says.
 ACTIONS = {
-    "register": ["사전등록", "참관등록", "참가등록", "register", "registration", "ticket"],
-    "exhibit": ["참가신청", "부스", "exhibit", "booth"],
-    "sponsor": ["후원", "스폰서", "sponsor"],
-    "match": ["매칭", "상담회", "matchmaking", "b2b"],
-    "startup": ["스타트업", "startup"],
+    "register": ["사전등록", "등록하기", "관람등록", "참관등록", "registration", "register", "ticket"],
+    "exhibit": ["전시참가", "부스", "exhibit", "exhibitor", "booth"],
+    "sponsor": ["스폰서", "후원", "sponsor", "sponsorship"],
+    "match": ["매치메이킹", "비즈니스 상담", "buyer meeting", "matchmaking"],
+    "startup": ["스타트업", "startup", "pitch", "demo day"],
 }
+REGISTRATION_LABELS = ["참가 신청 마감", "등록 마감", "registration deadline"]
+EXHIBITOR_LABELS = ["부스 신청 마감", "전시참가 마감", "exhibitor deadline"]
 
 
 def action_of(text: Column) -> Column:

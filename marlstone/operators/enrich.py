@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import dates
+from marlstone.functions import dates, urls, web
 from marlstone.functions import text as T
 from marlstone.functions.records import http_url
 
@@ -55,3 +55,20 @@ def with_provenance(sources: Column, changed: Column, url: Column, publisher: st
     """One more source where enrichment changed something."""
     one = F.struct(url.alias("url"), F.lit("organizer").alias("type"), F.lit(publisher).alias("publisher"), F.lit(None).cast("string").alias("retrieved_at"))
     return F.when(changed, F.concat(sources, F.array(one))).otherwise(sources)
+
+
+def page_actions(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
+    """One row for each page (key, url, html): what its anchors let one do, by the first group of words that an anchor's text
+    and address hold, the first address to register and to exhibit, what it costs, and the deadlines that it names.
+
+    Flags are true or null. Addresses that are not http(s) don't count.
+    """
+    p = web.pages(pages.select(key, url, html), html).withColumn("_low", F.lower(F.concat_ws(" ", "title", "body")))
+    own = p.select(key, T.cost_hint(F.col("_low")).alias("cost_hint"), dates.deadline_near(F.col("_low"), web.REGISTRATION_LABELS).alias("registration_deadline"), dates.deadline_near(F.col("_low"), web.EXHIBITOR_LABELS).alias("exhibitor_deadline"))
+    link = p.select(key, url, F.explode("links").alias("l")).where((F.col("l.text") != "") | (F.col("l.rel") == ""))  # not <link>
+    link = link.select(key, F.col("l.ord").alias("_ord"), urls.resolve(F.col(url), F.col("l.href")).alias("_to"), web.action_of(F.lower(F.concat_ws(" ", "l.text", "l.href"))).alias("_a")).where("_to IS NOT NULL AND _a IS NOT NULL")
+    first = lambda k: F.min_by(F.when(F.col("_a") == k, F.col("_to")), F.when(F.col("_a") == k, F.col("_ord")))
+    flag = lambda k: F.when(F.bool_or(F.col("_a") == k), F.lit(True))
+    flags = {"can_register": "register", "can_exhibit": "exhibit", "can_sponsor": "sponsor", "has_matchmaking": "match", "has_startup_program": "startup"}
+    found = link.groupBy(key).agg(*[flag(k).alias(c) for c, k in flags.items()], first("register").alias("register_url"), first("exhibit").alias("exhibit_url"))
+    return own.join(found, key, "left")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.dates import date_evidence, find_in_context
+from marlstone.functions.dates import date_context, date_evidence, find_in_context
 from marlstone.functions.text import any_of, field_match
 
 CLASSES = ("verified", "partial", "unverified", "wrong_type", "unreachable", "broken")
 #: Words around a date that say what it is for.
-DEADLINE_WORDS = ["마감", "까지", "deadline", "until", "due", "closes", "기한"]
-REGISTER_WORDS = ["등록", "참관", "참가자", "register", "registration", "attend"]
-EXHIBIT_WORDS = ["부스", "전시", "출품", "exhibit", "booth"]
+REGISTER_WORDS = ["등록", "참가 신청", "참가신청", "참관", "사전등록", "registration", "register"]
+EXHIBIT_WORDS = ["부스", "출품", "전시 신청", "전시신청", "참가업체", "exhibitor", "booth", "exhibit"]
+DEADLINE_WORDS = ["마감", "까지", "접수", "신청", "deadline", "due", "close"]
 
 
 def name_classes(rows: DataFrame, pages: DataFrame, key: str, page: str, value: str, text: str) -> DataFrame:
@@ -44,12 +44,43 @@ def name_classes_anywhere(rows: DataFrame, pages: DataFrame, key: str, value: st
     return all_rows.select(key, name.alias("class"))
 
 
-def deadline_class(page: Column, iso: Column, field: str) -> Column:
-    """A date with deadline words and the field's own words near it is verified; with only the other field's, wrong."""
-    own, other = (REGISTER_WORDS, EXHIBIT_WORDS) if field == "registration_deadline" else (EXHIBIT_WORDS, REGISTER_WORDS)
-    low = F.lower(F.coalesce(page, F.lit("")))
-    due = any_of(low, DEADLINE_WORDS)
-    return F.when(page.isNull(), "unreachable").when(~date_evidence(page, iso), "unverified").when(due & any_of(low, own), "verified").when(due & any_of(low, other), "wrong_type").otherwise("partial")
+def deadline_class(page: Column, iso: Column, field: Column | str) -> Column:
+    """What the words within 90 characters of a date's first mention on a page say of it: verified with deadline words and
+    the field's own ones, of the wrong type with the other field's only, else partial; null where there is no page."""
+    registers = (F.lit(field) if isinstance(field, str) else field) == "registration_deadline"
+
+    def judge(low: Column) -> Column:
+        due, reg, exh = any_of(low, DEADLINE_WORDS), any_of(low, REGISTER_WORDS), any_of(low, EXHIBIT_WORDS)
+        own, other = (registers & reg) | (~registers & exh), (registers & exh) | (~registers & reg)
+        return F.when(low.isNull(), "unverified").when(due & own, "verified").when(due & other, "wrong_type").otherwise("partial")
+
+    return F.when(page.isNotNull(), F.transform(F.array(F.lower(date_context(page, iso))), judge)[0])
+
+
+#: Of the classes of several pages the first of these counts.
+BETTER = ("verified", "wrong_type", "partial", "unverified")
+
+
+def best_class(classes: Column) -> Column:
+    """Aggregate: the class of a row over its pages; null classes are pages that were not reached."""
+    rank = F.min(F.array_position(F.array(*[F.lit(c) for c in BETTER]), classes))
+    return F.coalesce(F.get(F.array(*[F.lit(c) for c in BETTER]), (rank - 1).cast("int")), F.lit("unreachable"))
+
+
+def deadline_classes(rows: DataFrame, pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, class) of rows (key, page, field, value) over all pages (page, text) of theirs; text is null where a page was not reached."""
+    both = rows.join(pages.select(page, F.col("text").alias("_text")), page, "left")
+    return both.groupBy(key).agg(best_class(deadline_class(F.col("_text"), F.col("value"), F.col("field"))).alias("class"))
+
+
+def link_classes(rows: DataFrame, pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, class) of rows (key, page, value, status): an address that doesn't answer with 200 to 299 is broken, one that a
+    page of the row names is verified, any other is partial."""
+    both = rows.join(pages.select(page, F.col("text").alias("_text")), page, "left")
+    # The bare address is a part of the whole one.
+    named = F.coalesce(F.contains("_text", F.regexp_replace("value", "/+$", "")), F.lit(False))
+    answers = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    return both.groupBy(key).agg(F.when(~F.bool_or(answers), "broken").when(F.bool_or(named), "verified").otherwise("partial").alias("class"))
 
 
 def scored(gold: DataFrame, got: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -57,19 +57,15 @@ def budget_clamp(spark, d):
     return table(spark, d, "nation").select("n_nationkey", crawl.clamped(F.col("n_nationkey") - 3, "protocol_documents").alias("documents"))
 
 
-@query("opened_page_fill", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'kept' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS title, CASE WHEN page_id % 3 = 0 THEN 'kept too' ELSE 'call [phone removed]' END AS snippet FROM pages WHERE trim(regexp_extract(html, '<title>(.*?)</title>', 1)) = regexp_extract(html, '<title>(.*?)</title>', 1)")
+@query("opened_page_fill_whole")
+@query("opened_page_fill", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'kept' ELSE trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 3 = 0 THEN 'kept too' ELSE 'call [phone removed]' END AS snippet FROM pages")
 def opened_page_fill(spark, d):
     k, t = F.col("page_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    rows = table(spark, d, "pages").where(F.trim(t) == t).select("page_id", F.when(k % 2 == 0, "kept").otherwise(" ").alias("title"), F.when(k % 3 == 0, "kept too").alias("snippet"), t.alias("pt"), F.lit("call 010-1234-5678").alias("px"))
+    rows = table(spark, d, "pages").select("page_id", F.when(k % 2 == 0, "kept").otherwise(" ").alias("title"), F.when(k % 3 == 0, "kept too").alias("snippet"), t.alias("pt"), F.lit("call 010-1234-5678").alias("px"))
     return enrich.opened(rows, "title", "snippet", "pt", "px")
 
 
-@query("opened_page_fill_whole")
-def opened_page_fill_whole(spark, d):
-    """All pages; `opened_page_fill` and its SQL leave out titles with a blank at an end."""
-    k, t = F.col("page_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    rows = table(spark, d, "pages").select("page_id", F.when(k % 2 == 0, "kept").otherwise(" ").alias("title"), F.when(k % 3 == 0, "kept too").alias("snippet"), t.alias("pt"), F.lit("call 010-1234-5678").alias("px"))
-    return enrich.opened(rows, "title", "snippet", "pt", "px")
+opened_page_fill_whole = opened_page_fill
 
 
 @query("unmet_requirements", "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 2 = 0 THEN 'title' END, CASE WHEN page_id % 3 = 0 THEN 'location' END, CASE WHEN page_id % 5 = 0 THEN 'date' END], lambda x: x IS NOT NULL), ',') AS unmet FROM pages")

@@ -104,21 +104,47 @@ def link_resolution(spark, d):
     return full.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("link").alias("distinct_n"))
 
 
-@query("action_signals", """SELECT doc_id, CASE WHEN contains(low, 'register') OR contains(low, 'registration') OR contains(low, 'ticket') THEN 'register' WHEN contains(low, 'exhibit') OR contains(low, 'booth') THEN 'exhibit'
-  WHEN contains(low, 'sponsor') THEN 'sponsor' WHEN contains(low, 'matchmaking') OR contains(low, 'b2b') THEN 'match' WHEN contains(low, 'startup') THEN 'startup' END AS action
-  FROM (SELECT doc_id, lower(left(text, 60) || (['Registration now', 'a booth', 'our sponsors', 'x', 'startups B2B'])[doc_id % 5 + 1]) AS low FROM documents)""")
-def action_signals(spark, d):
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("Registration now", "a booth", "our sponsors", "x", "startups B2B")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", W.action_of(F.lower(F.concat(F.left("text", F.lit(60)), tail))).alias("action"))
+_TAIL = ("Registration now", "a booth", "our sponsors", "x", "startups pitch")
+_ACTION = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{k}'" for k, words in W.ACTIONS.items()) + " END"
 
 
 @query("action_signals_whole")
-def action_signals_whole(spark, d):
-    """Whole texts; `action_signals` and its SQL stay at their first 60 characters."""
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("Registration now", "a booth", "our sponsors", "x", "startups B2B")]), (F.col("doc_id") % 5 + 1).cast("int"))
+@query("action_signals", f"SELECT doc_id, {_ACTION} AS action FROM (SELECT doc_id, lower(text || ({list(_TAIL)})[doc_id % 5 + 1]) AS low FROM documents)")
+def action_signals(spark, d):
+    tail = F.element_at(F.array(*[F.lit(x) for x in _TAIL]), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", W.action_of(F.lower(F.concat("text", tail))).alias("action"))
 
 
+action_signals_whole = action_signals
+_RENAMED = (('/de"', '/register"'), ('/que"', '/Exhibit-2"'), ('/la"', '/sponsor"'), ('/the"', '/pitch"'), ('/und"', 'mailto:ticket"'), ('/y"', '/ticket"'))
+
+
+def _sql_renamed() -> str:
+    sql = "html"
+    for a, b in _RENAMED:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+@query(
+    "page_actions",
+    f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, {_sql_renamed()} AS html FROM pages),
+    q AS (SELECT page_id, site, unnest(range(1, len(h) + 1)) AS i, h, t FROM (SELECT page_id, site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM p)),
+    l AS (SELECT page_id, i, site || h[i] AS link, {_ACTION} AS action FROM (SELECT *, lower(t[i] || ' ' || h[i]) AS low FROM q) WHERE h[i] NOT LIKE 'mailto:%'),
+    g AS (SELECT page_id, bool_or(action = 'register') AS r, bool_or(action = 'exhibit') AS e, bool_or(action = 'sponsor') AS s, bool_or(action = 'match') AS m, bool_or(action = 'startup') AS u,
+      arg_min(link, i) FILTER (WHERE action = 'register') AS register_url, arg_min(link, i) FILTER (WHERE action = 'exhibit') AS exhibit_url FROM l GROUP BY 1)
+    SELECT page_id, CASE WHEN r THEN true END AS can_register, CASE WHEN e THEN true END AS can_exhibit, CASE WHEN s THEN true END AS can_sponsor, CASE WHEN m THEN true END AS has_matchmaking, CASE WHEN u THEN true END AS has_startup_program, register_url, exhibit_url
+    FROM p LEFT JOIN g USING (page_id)""",
+)
+def page_actions(spark, d):
+    from marlstone.operators.enrich import page_actions as extracted
+
+    html = F.col("html")
+    for a, b in _RENAMED:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return extracted(_pages(spark, d, "url", html.alias("html")), "page_id").drop("cost_hint", "registration_deadline", "exhibitor_deadline")
+
+
 @query("sitemap_locs", "SELECT n_nationkey, 'urlset' AS kind, unnest(['https://x.org/' || n_nationkey || '/a', 'https://x.org/' || n_nationkey || '/b']) AS loc FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'index', 'https://x.org/s' || n_nationkey || '.xml' FROM nation WHERE n_nationkey % 2 = 1")
 def sitemap_locs(spark, d):
     k = F.col("n_nationkey").cast("string")
@@ -352,15 +378,11 @@ def promotion_ids(spark, d):
     return p.withColumn("r", r).select("page_id", F.concat("slug", F.when(F.col("r") > 1, F.concat(F.lit("-"), F.col("r").cast("string"))).otherwise("")).alias("entry_id"))
 
 
-@query("fixture_search", "SELECT q.doc_id, g.k FROM (SELECT doc_id, lower(left(text, 200)) AS t FROM documents) q, (SELECT unnest(['the', 'der', 'qué', 'les ']) AS k) g WHERE contains(q.t, g.k)")
+@query("fixture_search_whole")
+@query("fixture_search", "SELECT q.doc_id, g.k FROM (SELECT doc_id, lower(text) AS t FROM documents) q, (SELECT unnest(['the', 'der', 'qué', 'les ']) AS k) g WHERE contains(q.t, g.k)")
 def fixture_search(spark, d):
     groups = F.array(*[F.lit(x) for x in ("the", "Der", "qué", "les ")])
-    low = F.lower(F.left("text", F.lit(200)))
-    return table(spark, d, "documents").select("doc_id", low.alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
+    return table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
 
 
-@query("fixture_search_whole")
-def fixture_search_whole(spark, d):
-    """Whole texts; `fixture_search` and its SQL stay at their first 200 characters."""
-    groups = F.array(*[F.lit(x) for x in ("the", "Der", "qué", "les ")])
-    return table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
+fixture_search_whole = fixture_search
