@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,55 +40,77 @@ def before_run(df: DataFrame, by: str, order: list[str], dated: Column, past: Co
     return d.withColumn("_stop", stop).where("_stop = 0").drop("_island", "_run", "_stop")
 
 
-def fixed_window_quota(df: DataFrame, client: str, at: Column, limit: int, seconds: int, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Requests with `allowed`, under a window that opens at a client's first request and reopens when it has passed.
+def folded(df: DataFrame, client: str, at: Column, keep: tuple[str, ...], judge: Callable[[], Callable[[float], bool]]) -> DataFrame:
+    """(client, kept columns, allowed): the requests of each client in order of time, then of the kept columns, each put to the
+    client's own judge, which `judge` makes anew.
 
-    A fold over each client's requests in time order; a client's requests are one array.
+    A task reads its clients one after the other in sorted batches and holds one client's state, never its history; so the
+    work is linear in the requests, and one client's requests, which follow from one another, are read by one task.
     """
-    rows = F.array_sort(F.collect_list(F.struct(at.cast("double").alias("t"), *keep)))
-    state = F.struct(F.lit(None).cast("double").alias("open"), F.lit(0).alias("n"), F.expr("CAST(array() AS array<boolean>)").alias("ok"))
+    rows = df.select(F.col(client), *keep, at.cast("double").alias("_t"))
+    kinds = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (client, *keep)), "allowed boolean"])
 
-    def step(acc, r):
-        anew = acc["open"].isNull() | (r["t"] - acc["open"] >= seconds)
-        n = F.when(anew, 1).otherwise(acc["n"] + 1)
-        return F.struct(F.when(anew, r["t"]).otherwise(acc["open"]).alias("open"), n.alias("n"), F.concat(acc["ok"], F.array(n <= limit)).alias("ok"))
+    def run(batches):
+        ask, whose = None, object()
+        for b in batches:
+            clients, times = b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            allowed = []
+            for c, t in zip(clients, times, strict=True):
+                if ask is None or c != whose:
+                    ask, whose = judge(), c
+                allowed.append(ask(t))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(allowed, pa.bool_())], names=[client, *keep, "allowed"])
 
-    g = df.groupBy(client).agg(rows.alias("_r"))
-    g = g.select(client, "_r", F.aggregate("_r", state, step, lambda a: a["ok"]).alias("_ok"))
-    return g.select(client, F.explode(F.arrays_zip("_r", "_ok")).alias("z")).select(client, *[F.col(f"z._r.{k}").alias(k) for k in keep], F.col("z._ok").alias("allowed"))
+    return rows.repartition(client).sortWithinPartitions(client, "_t", *keep).mapInArrow(run, kinds)
 
 
-def two_window_quota(df: DataFrame, client: str, at: Column, short: tuple[int, int], long: tuple[int, int], keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """As above with two windows of (limit, seconds); a request counts in both, and only if both allow it."""
-    rows = F.array_sort(F.collect_list(F.struct(at.cast("double").alias("t"), *keep)))
-    zero = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("a", "b")], F.lit(0).alias("na"), F.lit(0).alias("nb"), F.expr("CAST(array() AS array<boolean>)").alias("ok"))
+def _anchored(*windows: tuple[int, float]) -> Callable[[], Callable[[float], bool]]:
+    """Windows of (limit, seconds), each opened by a request and reopened by the first one after it has passed. A request
+    counts if all allow it."""
 
-    def step(acc, r):
-        ra = acc["a"].isNull() | (r["t"] - acc["a"] >= short[1])
-        rb = acc["b"].isNull() | (r["t"] - acc["b"] >= long[1])
-        na, nb = F.when(ra, 0).otherwise(acc["na"]), F.when(rb, 0).otherwise(acc["nb"])
-        ok = (na < short[0]) & (nb < long[0])
-        one = F.when(ok, 1).otherwise(0)
-        return F.struct(F.when(ra, r["t"]).otherwise(acc["a"]).alias("a"), F.when(rb, r["t"]).otherwise(acc["b"]).alias("b"), (na + one).alias("na"), (nb + one).alias("nb"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    def judge():
+        opened, count = [None] * len(windows), [0] * len(windows)
 
-    g = df.groupBy(client).agg(rows.alias("_r"))
-    g = g.select(client, "_r", F.aggregate("_r", zero, step, lambda a: a["ok"]).alias("_ok"))
-    return g.select(client, F.explode(F.arrays_zip("_r", "_ok")).alias("z")).select(client, *[F.col(f"z._r.{k}").alias(k) for k in keep], F.col("z._ok").alias("allowed"))
+        def ask(t: float) -> bool:
+            for i, (_, seconds) in enumerate(windows):
+                if opened[i] is None or t - opened[i] >= seconds:
+                    opened[i], count[i] = t, 0
+            ok = all(n < limit for n, (limit, _) in zip(count, windows, strict=True))
+            for i in range(len(windows)):
+                count[i] += ok
+            return ok
+
+        return ask
+
+    return judge
+
+
+def fixed_window_quota(df: DataFrame, client: str, at: Column, limit: int, seconds: int, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Requests with `allowed`, under a window that opens at a client's first request and reopens when it has passed."""
+    return folded(df, client, at, keep, _anchored((limit, seconds)))
+
+
+def two_window_quota(df: DataFrame, client: str, at: Column, short: tuple[int, int], long: tuple[int, int], keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """As above with two windows of (limit, seconds); a request counts in both, and only if both allow it."""
+    return folded(df, client, at, keep, _anchored(short, long))
 
 
 def token_bucket(df: DataFrame, client: str, at: Column, rate: float, burst: float, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Requests with `allowed`, under a bucket of `burst` tokens refilled continuously at `rate` a second."""
-    rows = F.array_sort(F.collect_list(F.struct(at.cast("double").alias("t"), *keep)))
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(float(burst)).alias("left"), F.expr("CAST(array() AS array<boolean>)").alias("ok"))
 
-    def step(acc, r):
-        have = F.when(acc["t"].isNull(), F.lit(float(burst))).otherwise(F.least(F.lit(float(burst)), acc["left"] + (r["t"] - acc["t"]) * rate))
-        ok = have >= 1.0
-        return F.struct(r["t"].alias("t"), (have - F.when(ok, 1.0).otherwise(0.0)).alias("left"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    def judge():
+        last, left = None, float(burst)
+
+        def ask(t: float) -> bool:
+            nonlocal last, left
+            have = float(burst) if last is None else min(float(burst), left + (t - last) * rate)
+            ok = have >= 1.0
+            last, left = t, have - ok
+            return ok
+
+        return ask
 
-    g = df.groupBy(client).agg(rows.alias("_r"))
-    g = g.select(client, "_r", F.aggregate("_r", zero, step, lambda a: a["ok"]).alias("_ok"))
-    return g.select(client, F.explode(F.arrays_zip("_r", "_ok")).alias("z")).select(client, *[F.col(f"z._r.{k}").alias(k) for k in keep], F.col("z._ok").alias("allowed"))
+    return folded(df, client, at, keep, judge)
 
 
 def within_budget(df: DataFrame, client: str, order: list[str], cost: Column, limit: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,34 +20,66 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 
 class Versions:
-    """A table published by whole versions in one folder; a version is complete before it becomes current.
+    """A table published by whole versions in one folder; a version counts once its marker has been written after it.
 
-    A micro-batch that is run again after a failure writes its own version again, so applying it is idempotent.
+    A marker names the stream and micro-batch that the version comes from. A micro-batch that is run again, in this process
+    or another one, reads the version that it had read before and writes its own one anew; so applying it is idempotent,
+    nothing is read from a folder that is being written, and a new process goes on from the last version.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.current = spark, folder, None
-
-    def read(self) -> DataFrame | None:
-        return None if self.current is None else self.spark.read.parquet(f"{self.folder}/{self.current}")
-
-    def publish(self, df: DataFrame, version: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{version}")
-        self.current = version
+        self.spark, self.folder = spark, folder
+
+    def _markers(self) -> list:
+        """A row for each published version; their number is that of micro-batches, not of records."""
+        try:
+            return self.spark.read.schema("version long, stream string, batch long").parquet(f"{self.folder}/published").orderBy("version").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def place(self, stream: str, batch: int) -> tuple[int | None, int]:
+        """(version to read, version to write) of a micro-batch."""
+        known = self._markers()
+        mine = next((m.version for m in known if (m.stream, m.batch) == (stream, batch)), None)
+        if mine is None:
+            mine = known[-1].version + 1 if known else 0
+        return next((m.version for m in reversed(known) if m.version < mine), None), mine
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """A version, or the last one; None if there is none."""
+        if version is None:
+            known = self._markers()
+            if not known:
+                return None
+            version = known[-1].version
+        return self.spark.read.parquet(f"{self.folder}/v={version}")
+
+    def publish(self, df: DataFrame, version: int, stream: str = "", batch: int = 0) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        marker = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(stream).alias("stream"), F.lit(batch).cast("long").alias("batch"))
+        marker.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/published/at={version}")
 
 
 def merge_stream(stream: DataFrame, store: Versions, key: str, fields: list[str], order: str, now: str, checkpoint: str | None = None) -> None:
-    """Merges a stream of records into a store, batch by batch; records equal to the stored ones change nothing."""
+    """Merges a stream of records into a store, batch by batch; records equal to the stored ones change nothing.
+
+    The checkpoint's folder names the stream, so that its micro-batches are known again after a restart.
+    """
+    folder = checkpoint or f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def each(batch: DataFrame, number: int) -> None:
+        old, new = store.place(folder, number)
         inc = merge.hashed(merge.latest(batch, key, order).select(key, *fields), fields)
-        prev = store.read()
-        if prev is None:
+        if old is None:
             prev = inc.limit(0).withColumns({c: F.lit(None).cast("string") for c in ("created_at", "updated_at", "last_checked_at", "update_state")})
+        else:
+            prev = store.read(old)
         both = merge.joined(prev, inc, key)
-        store.publish(merge.snapshot(both, key, fields, F.lit(now), F.lit(now)), f"v{number}")
+        store.publish(merge.snapshot(both, key, fields, F.lit(now), F.lit(now)), new, folder, number)
 
-    drain(stream, each, checkpoint)
+    drain(stream, each, folder)
 
 
 def append_once(stream: DataFrame, store: str, checkpoint: str | None = None) -> None:
