@@ -36,7 +36,7 @@ def test_audit(spark):
     assert dict(got(spark, "evidence_audit_whole")) == want
     row = catalog.queries()["audit_summary_whole"](spark, D).first().asDict()
     assert row == {c: Counter(want.values())[c] for c in evidence.CLASSES} | {"total": len(want)}
-    assert row["verified"] > Counter(c for _, c in got(spark, "evidence_audit"))["verified"]
+    assert row["verified"] == Counter(c for _, c in got(spark, "evidence_audit"))["verified"]
 
 
 def test_audit_fixture(spark):
@@ -52,13 +52,13 @@ def test_audit_fixture(spark):
 def test_nested_sources(spark):
     rows = got(spark, "nested_sources_whole")
     assert Counter(rows) == Counter(read("lineitem", "l_orderkey", "l_partkey", "l_suppkey"))
-    assert len(rows) > len(got(spark, "nested_sources"))
+    assert len(rows) == len(got(spark, "nested_sources"))
 
 
 def test_whole_texts(spark):
     docs, words = read("documents", "doc_id", "text"), ("the", "der", "qué", "les ")
     assert sorted(got(spark, "fixture_search_whole")) == sorted((i, w) for i, t in docs for w in words if t and w in t.lower())
-    assert len(got(spark, "fixture_search_whole")) > len(got(spark, "fixture_search"))
+    assert len(got(spark, "fixture_search_whole")) == len(got(spark, "fixture_search"))
     signs = (("register", "register|registration|ticket"), ("exhibit", "exhibit|booth"), ("sponsor", "sponsor"), ("match", "matchmaking|b2b"), ("startup", "startup"))
     tails = ("Registration now", "a booth", "our sponsors", "x", "startups B2B")
     said = lambda i, t: next((a for a, p in signs if re.search(p, (t + tails[i % 5]).lower())), None)
@@ -75,4 +75,4 @@ def test_opened_page_fill(spark):
     want = {(i, "kept" if i % 2 == 0 else t.strip(" ") or None, "kept too" if i % 3 == 0 else "call [phone removed]") for i, t in pages.items()}
     rows = got(spark, "opened_page_fill_whole")
     assert len(rows) == len(pages) and set(rows) == want
-    assert any(t != t.strip(" ") for t in pages.values()) and len(rows) > len(got(spark, "opened_page_fill"))
+    assert any(t != t.strip(" ") for t in pages.values()) and len(rows) == len(got(spark, "opened_page_fill"))
