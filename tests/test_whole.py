@@ -59,8 +59,8 @@ def test_whole_texts(spark):
     docs, words = read("documents", "doc_id", "text"), ("the", "der", "qué", "les ")
     assert sorted(got(spark, "fixture_search_whole")) == sorted((i, w) for i, t in docs for w in words if t and w in t.lower())
     assert len(got(spark, "fixture_search_whole")) == len(got(spark, "fixture_search"))
-    signs = (("register", "register|registration|ticket"), ("exhibit", "exhibit|booth"), ("sponsor", "sponsor"), ("match", "matchmaking|b2b"), ("startup", "startup"))
-    tails = ("Registration now", "a booth", "our sponsors", "x", "startups B2B")
+    signs = (("register", "register|registration|ticket"), ("exhibit", "exhibit|booth"), ("sponsor", "sponsor"), ("match", "matchmaking|buyer meeting"), ("startup", "startup|pitch|demo day"))
+    tails = ("Registration now", "a booth", "our sponsors", "x", "startups pitch")
     said = lambda i, t: next((a for a, p in signs if re.search(p, (t + tails[i % 5]).lower())), None)
     assert dict(got(spark, "action_signals_whole")) == {i: said(i, t) for i, t in docs}
 
