@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import strip_contacts
+
 #: Names that never lead to a public host, and reserved address blocks.
 INTERNAL = ("localhost", "local", "internal", "home", "lan", "test", "invalid")
 RESERVED = [ipaddress.ip_network(n) for n in ("0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/24", "192.0.2.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "64:ff9b::/96", "100::/64", "2001:db8::/32")]
@@ -36,6 +38,34 @@ def canonical_url(raw: str | None) -> str | None:
     return urllib.parse.urlunsplit((p.scheme, host + (f":{port}" if port else ""), path, p.query, ""))
 
 
+def candidate_url(raw: str | None) -> str | None:
+    """As `canonical_url`, but the decoded path is cleaned and written again, an empty query stays, and a host that is
+    local or no public address gives null."""
+    raw = (raw or "").strip()
+    try:
+        p = urllib.parse.urlsplit(raw)
+        host, port = (p.hostname or "").lower(), p.port
+    except ValueError:
+        return None
+    if p.scheme not in ("http", "https") or not host or "@" in p.netloc or _BAD_ESCAPE.search(p.path) or host == "localhost" or host.endswith(".localhost"):
+        return None
+    try:
+        ip = ipaddress.ip_address(host)
+        if blocked_ip(host) or str(ip) == "255.255.255.255":
+            return None
+    except ValueError:
+        pass
+    if (p.scheme, port) in (("http", 80), ("https", 443)):
+        port = None
+    path = urllib.parse.unquote(p.path, errors="surrogateescape")
+    if path:
+        clean = posixpath.normpath(re.sub("/+", "/", path))
+        path = urllib.parse.quote(clean + "/" * (path.endswith("/") and clean != "/"), safe="$&+,/:;=@", errors="surrogateescape")
+    bare = raw.split("#", 1)[0]
+    host = f"[{host}]" if ":" in host else host
+    return f"{p.scheme}://{host}{f':{port}' if port else ''}{path}" + ("?" + p.query if p.query or bare.endswith("?") else "")
+
+
 def allowed_url(raw: str | None) -> bool:
     """Whether an address may be fetched: canonical, and neither an internal name nor a private or reserved address."""
     url = canonical_url(raw)
@@ -86,6 +116,11 @@ def canonicalize(c: Column) -> Column:
     return _udf(canonical_url, "string")(c)
 
 
+def candidate(c: Column) -> Column:
+    """The canonical address of a candidate; null also where it looks like a mail address or telephone number."""
+    return F.when(strip_contacts(F.trim(c)) == F.trim(c), _udf(candidate_url, "string")(c))
+
+
 def is_allowed(c: Column) -> Column:
     return _udf(allowed_url, "boolean")(c)
 
