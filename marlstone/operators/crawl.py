@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.urls import canonicalize, is_allowed
 from marlstone.operators.graph import reach
 from marlstone.operators.sequence import first_seen
 
 #: Ceilings of one crawl.
-LIMITS = {"depth": 2, "protocol_documents": 12, "pages": 24, "candidates": 30, "attempts": 64, "bytes": 6 << 20, "seconds": 60}
+LIMITS = {"seeds": 8, "depth": 2, "protocol_documents": 12, "pages": 24, "candidates": 30, "attempts": 64, "bytes": 6 << 20, "seconds": 60}
 
 
 def clamped(option: Column, name: str) -> Column:
@@ -47,3 +48,25 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = LIM
     got = reach(edges.select("src", "dst"), seeds, depth).withColumnRenamed("node", "url")
     said = first_seen(edges.where("text <> ''").select(F.col("dst").alias("url"), "ord", "text"), ["url"], ["ord", "text"]).select("url", "text")
     return got.join(pages, "url", "left").join(said, "url", "left").select("url", "depth", F.coalesce(F.nullif("title", F.lit("")), "text").alias("title"))
+
+
+def seed_catalogue(seeds: DataFrame, catalogue: str, most: int = LIMITS["seeds"]) -> DataFrame:
+    """(catalogue, error, seeds) of rows (catalogue, ord, name, url): a catalogue has one seed to `most`, each with a name
+    of its own and an address that may be fetched; names come without outer blanks, addresses in canonical form."""
+    name, url = F.trim("name"), canonicalize(F.col("url"))
+    good = F.coalesce((name != "") & url.isNotNull() & is_allowed(F.col("url")), F.lit(False))
+    row = F.struct("ord", name.alias("name"), url.alias("url"), good.alias("good"))
+    got = seeds.groupBy(catalogue).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(name).alias("names"), F.bool_and(good).alias("good"), F.array_sort(F.collect_list(row)).alias("all"))
+    error = F.when(F.col("n") > most, "too_many").when(~F.col("good"), "invalid_seed").when(F.col("names") < F.col("n"), "repeated_name")
+    kept = F.transform("all", lambda s: F.struct(s["name"].alias("name"), s["url"].alias("url")))
+    return got.select(catalogue, error.alias("error"), F.when(error.isNull(), kept).alias("seeds"))
+
+
+def paced(requests: DataFrame, host: str, at: str, order: str, interval: Column) -> DataFrame:
+    """The rows with `starts`, the second at which a host's request may begin: in order, never before it is made and never
+    less than `interval` seconds, the same for all of a host, after the one before. A null interval is 0."""
+    step = F.coalesce(interval, F.lit(0)).cast("double")
+    by = Window.partitionBy(host).orderBy(at, order)
+    nth = F.row_number().over(by) * step
+    ahead = F.max(F.col(at).cast("double") - F.col("_nth")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("_nth", nth).withColumn("starts", F.col("_nth") + ahead).drop("_nth")

@@ -9,8 +9,8 @@ from marlstone.functions import text as T
 from marlstone.functions.urls import candidate
 from marlstone.functions.web import last_object
 
-#: Code points of a reason or query and of a candidate's metadata, calls of a session, tokens of a session and of a call.
-REASON, METADATA, CALLS, TOKENS, PER_CALL = 500, 300, 8, 4000, 500
+#: Code points of a reason or query and of a candidate's metadata, calls and tokens of a session.
+REASON, METADATA, CALLS, TOKENS = 500, 300, 8, 4000
 ACTIONS = ("search", "open", "accept", "done")
 
 
@@ -50,7 +50,7 @@ def provenance(df: DataFrame, url: str, record: str) -> DataFrame:
     return df.withColumn(record, F.when(F.col(record).isNotNull() & good & some, shown))
 
 
-def reservations(calls: DataFrame, session: str, order: str, most: int = CALLS, tokens: int = TOKENS, per_call: int = PER_CALL) -> DataFrame:
+def reservations(calls: DataFrame, session: str, order: str, per_call: int, most: int = CALLS, tokens: int = TOKENS) -> DataFrame:
     """The rows with `reserved`, the tokens set aside before a call, null where it isn't made, and `refused`, why not:
     calls of a session are made in order, `most` of them at most, each with what is left of `tokens`."""
     before = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1

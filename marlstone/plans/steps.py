@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions.urls import candidate
-from marlstone.operators import steps
+from marlstone.operators import crawl, steps
 from marlstone.plans.registry import Registry
 from marlstone.sources.tables import table
 
@@ -63,7 +63,7 @@ def model_actions(spark, d):
     "SELECT event_id, CASE WHEN n >= 8 THEN 'model_call_budget' WHEN 4000 - n * 700 <= 0 THEN 'completion_token_budget' END AS refused, CASE WHEN n < 8 AND 4000 - n * 700 > 0 THEN least(4000 - n * 700, 700) END AS reserved FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)",
 )
 def model_budget(spark, d):
-    got = steps.reservations(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", per_call=700)
+    got = steps.reservations(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 700)
     return got.select("event_id", "refused", F.col("reserved").cast("long").alias("reserved"))
 
 
@@ -76,3 +76,27 @@ def session_end(spark, d):
     error = F.when((F.col("event_type") == "click") & (k % 2 == 0), "deadline_exceeded").when(k % 2 == 0, "other")
     cut = F.when(F.col("value") > 50, F.array(F.lit("pages"), F.lit("completion_token_budget"))).otherwise(F.array(F.lit("pages")))
     return table(spark, d, "events").select("event_id", steps.terminal_reason(error, cut, k % 3 == 0).alias("reason"))
+
+
+@query(
+    "seed_catalogues",
+    """SELECT s_nationkey AS catalogue, CASE WHEN count(*) > 8 THEN 'too_many' WHEN NOT bool_and(s_suppkey % 23 <> 0) THEN 'invalid_seed' WHEN count(DISTINCT s_suppkey % 29) < count(*) THEN 'repeated_name' END AS error,
+    CASE WHEN error IS NULL THEN string_agg('n' || s_suppkey % 29 || '=https://venue.org/' || s_suppkey, ',' ORDER BY s_suppkey) END AS seeds FROM supplier GROUP BY s_nationkey""",
+)
+def seed_catalogues(spark, d):
+    k = F.col("s_suppkey")
+    at = F.concat(F.when(k % 23 == 0, "https://127.0.0.1/").otherwise("HTTPS://Venue.org:443/./"), k.cast("string"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("catalogue"), k.alias("ord"), F.concat(F.lit(" n"), (k % 29).cast("string")).alias("name"), at.alias("url"))
+    got = crawl.seed_catalogue(rows, "catalogue")
+    return got.select("catalogue", "error", F.when(F.col("error").isNull(), F.array_join(F.transform("seeds", lambda s: F.concat_ws("=", s["name"], s["url"])), ",")).alias("seeds"))
+
+
+@query(
+    "host_pacing",
+    """WITH r AS (SELECT user_id, event_id, (event_id * 7919 % 5000) // 10 AS made, 2 + user_id % 4 AS step FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY made, event_id) * step AS nth FROM r)
+    SELECT event_id, (nth + max(made - nth) OVER (PARTITION BY user_id ORDER BY made, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS starts FROM n""",
+)
+def host_pacing(spark, d):
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.floor((k * 7919 % 5000) / 10).alias("at"))
+    return crawl.paced(rows, "user_id", "at", "event_id", 2 + F.col("user_id") % 4).select("event_id", F.col("starts").cast("long").alias("starts"))

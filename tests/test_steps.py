@@ -21,5 +21,22 @@ def test_actions_and_provenance(spark):
     assert [r.p for r in steps.provenance(empty, "url", "p").collect()] == [None, None]
     assert steps.actions(spark.createDataFrame([], "id int, answer string"), "answer").count() == 0
     long = spark.createDataFrame([(1, i) for i in range(12)], "s int, at int")
-    out = {r["at"]: (r.reserved, r.refused) for r in steps.reservations(long, "s", "at", per_call=900).collect()}
+    out = {r["at"]: (r.reserved, r.refused) for r in steps.reservations(long, "s", "at", 900).collect()}
     assert out[0] == (900, None) and out[4] == (400, None) and out[5] == (None, "completion_token_budget") and out[8] == (None, "model_call_budget")
+
+
+def test_pacing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import crawl
+
+    r = random.Random(2)
+    rows = [(h, i, float(r.randint(0, 90))) for h in ("a", "b", None) for i in range(40)]
+    got = {(x.host, x.n): x.starts for x in crawl.paced(spark.createDataFrame(rows, "host string, n int, at double"), "host", "at", "n", F.when(F.col("host") == "a", 2.0).when(F.col("host") == "b", 5.0)).collect()}
+    for h, gap in (("a", 2), ("b", 5), (None, 0)):
+        before = None
+        for _, n, at in sorted((x for x in rows if x[0] == h), key=lambda x: (x[2], x[1])):
+            before = at if before is None else max(at, before + gap)
+            assert got[h, n] == before
