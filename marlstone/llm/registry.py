@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, htmltext, knn, mixing, packing, pii, quality, secrets, simhash, warc
+from marlstone.llm import chat, htmltext, knn, mixing, packing, pii, quality, resampling, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_secrets": secrets.op9_secrets,
         "op10_topk": knn.op10_topk,
+        "op11_resample": resampling.op11_resample,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op10_topk": knn.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op10_topk": knn.ORACLE, "op11_resample": resampling.ORACLE}
