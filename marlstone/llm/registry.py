@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, htmltext, knn, mixing, packing, pii, quality, resampling, secrets, simhash, warc
+from marlstone.llm import chat, htmltext, knn, licenses, mixing, packing, pii, quality, resampling, secrets, simhash, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_secrets": secrets.op9_secrets,
         "op10_topk": knn.op10_topk,
         "op11_resample": resampling.op11_resample,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_licenses": licenses.op13_licenses,
     }
 
 
