@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINKS = "array<struct<ord:int,href:string,rel:string,type:string,text:string>>"
+LINKS = "array<struct<ord:int,tag:string,href:string,rel:string,type:string,text:string>>"
 
 
 class _Page(HTMLParser):
@@ -31,9 +31,9 @@ class _Page(HTMLParser):
             self.in_title = True
         elif tag == "a" and a.get("href") is not None:
             self.open = len(self.links)
-            self.links.append([a["href"], (a.get("rel") or "").lower(), "", []])
+            self.links.append([tag, a["href"], (a.get("rel") or "").lower(), "", []])
         elif tag == "link" and a.get("href") is not None:
-            self.links.append([a["href"], (a.get("rel") or "").lower(), (a.get("type") or "").lower(), []])
+            self.links.append([tag, a["href"], (a.get("rel") or "").lower(), (a.get("type") or "").lower(), []])
         self.text.append(" ")
 
     def handle_endtag(self, tag):
@@ -51,14 +51,14 @@ class _Page(HTMLParser):
         elif not self.skip:
             self.text.append(data)
             if self.open is not None:
-                self.links[self.open][3].append(data)
+                self.links[self.open][4].append(data)
 
 
 def read_page(html: str | None) -> tuple[str, str, list[dict]]:
     p = _Page()
     p.feed(html or "")
     p.close()
-    links = [{"ord": i, "href": h, "rel": r, "type": t, "text": " ".join("".join(x).split())} for i, (h, r, t, x) in enumerate(p.links)]
+    links = [{"ord": i, "tag": g, "href": h, "rel": r, "type": t, "text": " ".join("".join(x).split())} for i, (g, h, r, t, x) in enumerate(p.links)]
     return " ".join("".join(p.title).split()), " ".join("".join(p.text).split()), links
 
 
@@ -182,9 +182,12 @@ def link_headers(c: Column) -> Column:
 
 
 def document_kind(rel: Column, kind: Column) -> Column:
-    """What a link leads to: sitemap, feed or page."""
-    feed = kind.isin("application/rss+xml", "application/atom+xml", "application/feed+json")
-    return F.when(F.contains(rel, F.lit("sitemap")), "sitemap").when(F.contains(rel, F.lit("alternate")) & feed, "feed").otherwise("page")
+    """What a link leads to, by the first telling word of its rel: sitemap, feed or page."""
+    feed = F.trim(F.lower(F.substring_index(kind, ";", 1))).isin("application/rss+xml", "application/atom+xml", "application/feed+json", "application/json")
+    words = F.split(F.trim(F.lower(rel)), r"\s+")
+    sitemap, alternate = F.array_position(words, F.lit("sitemap")), F.array_position(words, F.lit("alternate"))
+    is_feed = F.coalesce((alternate > 0) & feed, F.lit(False))
+    return F.when((sitemap > 0) & ~(is_feed & (alternate < sitemap)), "sitemap").when(is_feed, "feed").otherwise("page")
 
 
 def sitemap(xml: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import crawl, enrich
+from marlstone.functions import web
+from marlstone.operators import crawl, enrich, frontier
 from marlstone.plans.registry import Registry
 from marlstone.sources.tables import table
 
@@ -28,6 +29,32 @@ def crawl_frontier(spark, d):
     return crawl.crawl(pages, edges, spark.range(1).select(F.lit("p1").alias("url")), 3)
 
 
+#: A crawl of its own for every 25 pages, from the first four of them, with fewer bytes and attempts than the fixed values so that both run out.
+CRAWL_LIMITS = {"bytes": 200_000, "attempts": 40, "protocol_documents": 6, "pages": 16}
+
+
+def page_graph(spark, d):
+    """(documents, seeds) of crawls over `pages`: a link's address leads to the page that its digest names."""
+    p = table(spark, d, "pages").select("page_id", "html")
+    n = p.count()
+    k, name = F.col("page_id"), lambda c: F.concat(F.lit("p"), c.cast("string"))
+    to = lambda href: F.pmod(F.conv(F.substring(F.md5(href.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)).cast("long"))
+    links = F.transform(frontier.page_links(F.col("links")), lambda x: F.struct(name(to(x["href"])).alias("href"), (to(x["href"]) % 5 == 0).alias("protocol")))
+    docs = web.pages(p.withColumn("bytes", F.octet_length("html"))).select(name(k).alias("url"), (1 + k % 3).alias("attempts"), "bytes", (k % 7 != 6).alias("ok"), links.alias("links"))
+    seeds = p.where("page_id % 25 < 4").select(F.floor(k / 25).alias("crawl"), k.alias("ord"), name(k).alias("url"), (k % 4 == 3).alias("protocol"))
+    return docs, seeds
+
+
+@query("crawl_budgets")
+def crawl_budgets(spark, d):
+    return frontier.crawled(*page_graph(spark, d), CRAWL_LIMITS)
+
+
+@query("crawl_usage")
+def crawl_usage(spark, d):
+    return frontier.usage(crawl_budgets(spark, d), CRAWL_LIMITS)
+
+
 @query("document_routes", "SELECT n_nationkey, (['json_feed', 'sitemap', 'xml_feed', 'html', 'malformed'])[n_nationkey % 5 + 1] AS route FROM nation")
 def document_routes(spark, d):
     k = F.col("n_nationkey") % 5
