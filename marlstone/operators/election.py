@@ -20,3 +20,21 @@ def elect(df: DataFrame, id_col: str = "event_id", key_col: str = "content_key",
     best = ranked.where(has).groupBy(F.col(key_col).alias("_key")).agg(F.min(F.struct(-F.col("_rank"), F.col(id_col).alias("id")))["id"].alias("_winner"))
     out = ranked.join(best, has & (F.col(key_col) == F.col("_key")), "left")
     return out.withColumn("superseded", F.when(has, F.col(id_col) != F.col("_winner")).otherwise(keyless if keyless is not None else F.lit(False))).drop("_rank", "_key", "_winner")
+
+
+def reelect(stored: DataFrame, changes: DataFrame, rank: Column | None = None) -> DataFrame:
+    """(event_id, content_key, superseded, was) of the clusters that a batch touches, elected anew; was: the stored flag, null
+    for a row that had no key before.
+
+    stored: (event_id, content_key, superseded) of keyed rows, at least those of the touched keys; changes: (event_id,
+    old_key, new_key), one row for an id; blank keys are none. The old and the new key of every changed row are touched:
+    one has lost a row, the other has won one. Rows of other keys are dropped before anything is shuffled by the election. An
+    id that is stored without its `old_key` being named would stay in its old cluster, so the batch has to name it.
+    """
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    change = changes.select("event_id", some("old_key").alias("old_key"), some("new_key").alias("new_key"))
+    touched = change.select(F.explode(F.array("old_key", "new_key")).alias("content_key")).where("content_key IS NOT NULL").distinct()
+    there = stored.join(touched, "content_key", "left_semi").select("event_id", "content_key", F.col("superseded").alias("was"))
+    stay = there.join(change.select("event_id"), "event_id", "left_anti")
+    come = change.where("new_key IS NOT NULL").select("event_id", F.col("new_key").alias("content_key")).join(there.select("event_id", "was"), "event_id", "left")
+    return elect(stay.unionByName(come), rank=rank).select("event_id", "content_key", "superseded", "was")
