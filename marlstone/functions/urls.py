@@ -133,24 +133,35 @@ def to_client_key(c: Column) -> Column:
     return _udf(client_key, "string")(c)
 
 
+def resolved(base: str | None, link: str | None) -> str | None:
+    try:
+        u = urllib.parse.urljoin(base or "", (link or "").strip())
+        p = urllib.parse.urlsplit(u)
+        return u if p.scheme in ("http", "https") and p.netloc else None
+    except ValueError:
+        return None
+
+
 def resolve(base: Column, link: Column) -> Column:
     """The http(s) address that a link names on a page; null if it names none."""
 
     @F.pandas_udf("string")
     def run(b: pd.Series, h: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(b, h, strict=True):
-            try:
-                u = urllib.parse.urljoin(x or "", (y or "").strip())
-                p = urllib.parse.urlsplit(u)
-                out.append(u if p.scheme in ("http", "https") and p.netloc else None)
-            except ValueError:
-                out.append(None)
-        return pd.Series(out)
+        return pd.Series([resolved(x, y) for x, y in zip(b, h, strict=True)])
 
     return run(base, link)
 
 
+def resolve_all(base: Column, links: Column) -> Column:
+    """The same for each of a page's links; an empty link names nothing."""
+
+    @F.pandas_udf("array<string>")
+    def run(b: pd.Series, hs: pd.Series) -> pd.Series:
+        return pd.Series([[resolved(x, y) if y and y.strip() else None for y in (() if h is None else h)] for x, h in zip(b, hs, strict=True)])
+
+    return run(base, links)
+
+
 def host(c: Column) -> Column:
     return F.lower(F.try_parse_url(c, F.lit("HOST")))
 

@@ -63,12 +63,20 @@ def page_actions(pages: DataFrame, key: str, url: str = "url", html: str = "html
 
     Flags are true or null. Addresses that are not http(s) don't count.
     """
-    p = web.pages(pages.select(key, url, html), html).withColumn("_low", F.lower(F.concat_ws(" ", "title", "body")))
-    own = p.select(key, T.cost_hint(F.col("_low")).alias("cost_hint"), dates.deadline_near(F.col("_low"), web.REGISTRATION_LABELS).alias("registration_deadline"), dates.deadline_near(F.col("_low"), web.EXHIBITOR_LABELS).alias("exhibitor_deadline"))
-    link = p.select(key, url, F.explode("links").alias("l")).where((F.col("l.text") != "") | (F.col("l.rel") == ""))  # not <link>
-    link = link.select(key, F.col("l.ord").alias("_ord"), urls.resolve(F.col(url), F.col("l.href")).alias("_to"), web.action_of(F.lower(F.concat_ws(" ", "l.text", "l.href"))).alias("_a")).where("_to IS NOT NULL AND _a IS NOT NULL")
-    first = lambda k: F.min_by(F.when(F.col("_a") == k, F.col("_to")), F.when(F.col("_a") == k, F.col("_ord")))
-    flag = lambda k: F.when(F.bool_or(F.col("_a") == k), F.lit(True))
+    p = web.pages(pages.select(key, url, html), html)
+    p = p.select(key, url, F.lower(F.concat_ws(" ", "title", "body")).alias("_low"), F.filter("links", lambda x: x["tag"] == "a").alias("_l"))
+    p = p.withColumn("_to", urls.resolve_all(F.col(url), F.transform("_l", lambda x: x["href"])))
+    said = lambda x: web.action_of(F.lower(F.concat_ws(" ", x["text"], F.trim(x["href"]))))
+    p = p.withColumn("_a", F.zip_with("_l", "_to", lambda x, to: F.struct(F.when(to.isNotNull(), said(x)).alias("kind"), to.alias("to"))))
+    of = lambda k: F.filter("_a", lambda a: a["kind"] == k)
+    has = lambda k: F.exists("_a", lambda a: a["kind"] == k)
     flags = {"can_register": "register", "can_exhibit": "exhibit", "can_sponsor": "sponsor", "has_matchmaking": "match", "has_startup_program": "startup"}
-    found = link.groupBy(key).agg(*[flag(k).alias(c) for c, k in flags.items()], first("register").alias("register_url"), first("exhibit").alias("exhibit_url"))
-    return own.join(found, key, "left")
+    return p.select(
+        key,
+        T.cost_hint(F.col("_low")).alias("cost_hint"),
+        dates.deadline_near(F.col("_low"), web.REGISTRATION_LABELS).alias("registration_deadline"),
+        dates.deadline_near(F.col("_low"), web.EXHIBITOR_LABELS).alias("exhibitor_deadline"),
+        *[F.when(has(k), F.lit(True)).alias(c) for c, k in flags.items()],
+        F.get(of("register"), F.lit(0))["to"].alias("register_url"),
+        F.get(of("exhibit"), F.lit(0))["to"].alias("exhibit_url"),
+    )

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.functions import variant
 from marlstone.functions.urls import candidate
 from marlstone.functions.web import last_object
 
 #: Code points of a reason or query and of a candidate's metadata, calls and tokens of a session.
 REASON, METADATA, CALLS, TOKENS = 500, 300, 8, 4000
 ACTIONS = ("search", "open", "accept", "done")
+ANSWER = {"action": "string", "query": "string", "url": "string", "selections": [{"url": "string", "reason": "string"}]}
 
 
 def redacted(c: Column, most: int) -> Column:
@@ -22,16 +24,18 @@ def redacted(c: Column, most: int) -> Column:
 def actions(answers: DataFrame, answer: str) -> DataFrame:
     """The rows with `kind`, `query`, `url`, `selections` and `dropped` of the last object of each answer.
 
-    `kind` is null for an answer that asks for nothing that can be done: no object, an unknown action, a search without
-    a query, an opening without an address, an acceptance without one address. Selections without an address are dropped
-    and counted."""
-    schema = "struct<action:string,query:string,url:string,selections:array<struct<url:string,reason:string>>>"
-    a = answers.withColumn("_a", F.from_json(last_object(F.col(answer)), schema))
-    query, url = redacted(F.coalesce("_a.query", F.lit("")), REASON), F.trim(F.coalesce("_a.url", F.lit("")))
-    given = F.coalesce("_a.selections", F.from_json(F.lit("[]"), "array<struct<url:string,reason:string>>"))
-    kept = F.filter(given, lambda s: F.trim(F.coalesce(s["url"], F.lit(""))) != "")
-    kept = F.transform(kept, lambda s: F.struct(F.trim(s["url"]).alias("url"), redacted(F.coalesce(s["reason"], F.lit("")), REASON).alias("reason")))
-    kind = F.col("_a.action")
+    `kind` is null for an answer that asks for nothing that can be done: no object, an object with an unknown field or a
+    value of another type than `ANSWER` has, an unknown action, a search without a query, an opening without an
+    address, an acceptance without one address. Selections without an address are dropped and counted."""
+
+    def read(v: Column) -> Column:
+        """An answer's fields, each read once; null where the answer is refused."""
+        chosen = F.transform(variant.items(v, "selections"), lambda s: F.struct(F.trim(variant.text(s, "url")).alias("url"), redacted(variant.text(s, "reason"), REASON).alias("reason")))
+        return F.when(v.isNotNull(), F.struct(variant.text(v, "action").alias("action"), redacted(variant.text(v, "query"), REASON).alias("query"), F.trim(variant.text(v, "url")).alias("url"), chosen.alias("given")))
+
+    a = answers.withColumn("_a", variant.once(variant.strict(last_object(F.col(answer)), ANSWER), read))
+    a = a.withColumn("_k", F.filter("_a.given", lambda s: s["url"] != ""))
+    kind, query, url, given, kept = (F.col(c) for c in ("_a.action", "_a.query", "_a.url", "_a.given", "_k"))
     good = F.when(kind == "search", query != "").when(kind == "open", url != "").when(kind == "accept", F.size(kept) > 0).otherwise(kind == "done")
     of = lambda name, c: F.when(good & (kind == name), c).alias({"search": "query", "open": "url"}.get(name, name))
     return a.select(*answers.columns, F.when(good, kind).alias("kind"), of("search", query), of("open", url), F.when(good & (kind == "accept"), kept).alias("selections"), F.when(good & (kind == "accept"), F.size(given) - F.size(kept)).alias("dropped"))

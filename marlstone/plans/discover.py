@@ -116,7 +116,7 @@ def action_signals(spark, d):
 
 
 action_signals_whole = action_signals
-_RENAMED = (('/de"', '/register"'), ('/que"', '/Exhibit-2"'), ('/la"', '/sponsor"'), ('/the"', '/pitch"'), ('/und"', 'mailto:ticket"'), ('/y"', '/ticket"'))
+_RENAMED = (('/de"', '/register"'), ('/que"', '/Exhibit-2"'), ('/la"', '/sponsor"'), ('/the"', '/pitch"'), ('/und"', 'mailto:ticket"'), ('/y"', '/ticket"'), ('<a href="/of">of</a>', '<a rel="noopener" href="/ticket-of"><img src="/x"></a>'))
 
 
 def _sql_renamed() -> str:
@@ -129,7 +129,7 @@ def _sql_renamed() -> str:
 @query(
     "page_actions",
     f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, {_sql_renamed()} AS html FROM pages),
-    q AS (SELECT page_id, site, unnest(range(1, len(h) + 1)) AS i, h, t FROM (SELECT page_id, site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM p)),
+    q AS (SELECT page_id, site, unnest(range(1, len(h) + 1)) AS i, h, t FROM (SELECT page_id, site, regexp_extract_all(html, '<a (?:rel="[^"]*" )?href="([^"]*)">(?:<img[^>]*>)?([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a (?:rel="[^"]*" )?href="([^"]*)">(?:<img[^>]*>)?([^<]*)</a>', 2) AS t FROM p)),
     l AS (SELECT page_id, i, site || h[i] AS link, {_ACTION} AS action FROM (SELECT *, lower(t[i] || ' ' || h[i]) AS low FROM q) WHERE h[i] NOT LIKE 'mailto:%'),
     g AS (SELECT page_id, bool_or(action = 'register') AS r, bool_or(action = 'exhibit') AS e, bool_or(action = 'sponsor') AS s, bool_or(action = 'match') AS m, bool_or(action = 'startup') AS u,
       arg_min(link, i) FILTER (WHERE action = 'register') AS register_url, arg_min(link, i) FILTER (WHERE action = 'exhibit') AS exhibit_url FROM l GROUP BY 1)

@@ -44,15 +44,40 @@ def candidate_provenance(spark, d):
     return out.select("page_id", F.when(F.col("p").isNotNull(), F.concat_ws("|", "p.provider", "p.seed_url", "p.raw_url")).alias("shown"))
 
 
-ANSWERS = ['so {"action": "search", "query": " call 010-1234-5678 now "}', '{"action":"open","url":" https://a.org/ "} ok', '{"action":"accept","selections":[{"url":""},{"url":"https://b.org/","reason":"good"},{"reason":"x"}]}', '{"action":"accept","selections":[{"url":" "}]}', '{"action":"done"}', '{"action":"leave"}', "nothing", '{"action":"search","query":" "}']
+#: Answers of a model in every shape that is taken or refused; {c} and {p} stand for an order's customer and priority.
+ANSWERS = [
+    'so {"action": "search", "query": " call 010-1234-5678 about {c} "}',
+    '{"action":"open","url":" https://a.org/{c} "} ok',
+    '{"action":"accept","selections":[{"url":""},{"url":"https://b.org/{c}","reason":"{p}"},{"reason":"x"}]}',
+    '{"action":"accept","selections":[{"url":" "}]}',
+    '{"action":"done"}',
+    '{"action":"leave"}',
+    "nothing {p}",
+    '{"action":"search","query":" "}',
+    '{"action":"search","query":"{c}","extra":1}',
+    '{"action":"open","url":5}',
+    '{"action":"accept","selections":[{"url":"https://b.org/{c}","score":1}]}',
+    '{"ACTION":"done","Selections":null,"query":null}',
+    '{"action":"search","query":["{c}"]}',
+    '{"action":"accept","selections":{"url":"https://b.org/{c}"}}',
+    '{"action":"accept","selections":[null,{"url":"https://b.org/{c}","reason":null}]}',
+    '{"action":"done"',
+]
 
 
 @query(
     "model_actions",
-    """SELECT o_orderkey, ([ 'search', 'open', 'accept', NULL, 'done', NULL, NULL, NULL])[o_orderkey % 8 + 1] AS kind, CASE o_orderkey % 8 WHEN 0 THEN 'call [phone removed] now' WHEN 1 THEN 'https://a.org/' WHEN 2 THEN 'https://b.org/ good 2' ELSE '' END AS said FROM orders""",
+    f"""WITH a AS (SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(replace(replace(({ANSWERS})[o_orderkey % {len(ANSWERS)} + 1], '{{c}}', o_custkey::VARCHAR), '{{p}}', o_orderpriority), '\\{{.*\\}}', 0), '') AS JSON) AS j FROM orders),
+    k AS (SELECT o_orderkey, j, list_filter(json_keys(j), lambda x: NOT (CASE lower(x) WHEN 'selections' THEN json_type(j, '$."' || x || '"') IN ('ARRAY', 'NULL') ELSE lower(x) IN ('action', 'query', 'url') AND json_type(j, '$."' || x || '"') IN ('VARCHAR', 'NULL') END)) AS bad,
+      coalesce(json_extract(j, '$.selections[*]'), []) AS s, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.ACTION')) AS action, trim(replace(coalesce(json_extract_string(j, '$.query'), ''), '010-1234-5678', '[phone removed]')) AS query, trim(coalesce(json_extract_string(j, '$.url'), '')) AS url FROM a),
+    b AS (SELECT *, list_filter(s, lambda e: NOT (json_type(e) = 'NULL' OR json_type(e) = 'OBJECT' AND len(list_filter(json_keys(e), lambda x: NOT (x IN ('url', 'reason') AND json_type(e, '$."' || x || '"') IN ('VARCHAR', 'NULL')))) = 0)) AS bad_s FROM k),
+    c AS (SELECT *, list_filter(list_transform(s, lambda e: trim(coalesce(json_extract_string(e, '$.url'), '')) || ' ' || coalesce(json_extract_string(e, '$.reason'), '')), lambda x: trim(x) <> '' AND x[1] <> ' ') AS kept FROM b),
+    d AS (SELECT *, CASE WHEN j IS NULL OR len(bad) > 0 OR len(bad_s) > 0 THEN NULL WHEN action = 'search' AND query <> '' THEN action WHEN action = 'open' AND url <> '' THEN action WHEN action = 'accept' AND len(kept) > 0 THEN action WHEN action = 'done' THEN action END AS kind FROM c)
+    SELECT o_orderkey, kind, CASE kind WHEN 'search' THEN query WHEN 'open' THEN url WHEN 'accept' THEN array_to_string(kept, ';') || ' ' || (len(s) - len(kept)) ELSE '' END AS said FROM d""",
 )
 def model_actions(spark, d):
     answer = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("o_orderkey") % len(ANSWERS) + 1).cast("int"))
+    answer = F.replace(F.replace(answer, F.lit("{c}"), F.col("o_custkey").cast("string")), F.lit("{p}"), F.col("o_orderpriority"))
     a = steps.actions(table(spark, d, "orders").select("o_orderkey", answer.alias("answer")), "answer")
     chosen = F.array_join(F.transform("selections", lambda s: F.concat_ws(" ", s["url"], s["reason"])), ";")
     return a.select("o_orderkey", "kind", F.coalesce("query", "url", F.concat_ws(" ", chosen, F.col("dropped").cast("string")), F.lit("")).alias("said"))
