@@ -36,7 +36,7 @@ def test_conforms_equals_a_plain_check(spark):
             return [some(depth - 1) for _ in range(rng.randrange(3))]
         return {rng.choice(["action", "N", "x", "OK", "list", "sub", "a", "b", "url", "tags", "more"]): some(depth - 1) for _ in range(rng.randrange(3))}
 
-    texts = [json.dumps({rng.choice(list(SHAPE)): some(3) for _ in range(rng.randrange(4))}) for _ in range(1500)] + ["[]", "null", "5", '"x"', "{", "{}x", ""]
+    texts = [json.dumps({rng.choice(list(SHAPE)): some(3) for _ in range(rng.randrange(4))}) for _ in range(1500)] + ["[]", "null", "5", '"x"', "{", "{}x", "", "{},{}", "{} {}", '{}] {}', '{},"5"] {}', " {} "]
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     got = {r.t: r.ok for r in df.select("t", V.strict(F.col("t"), SHAPE).isNotNull().alias("ok")).collect()}
 
@@ -47,7 +47,7 @@ def test_conforms_equals_a_plain_check(spark):
             return False
         return isinstance(v, dict) and fits(v, SHAPE)
 
-    assert got == {t: want(t) for t in [*texts, None]} and 100 < sum(got.values()) < len(got) - 100
+    assert got == {t: want(t) for t in [*texts, None]} and 30 < sum(got.values()) < len(got) - 30
 
 
 @pytest.mark.parametrize(
