@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("serving", "scalars", "integrate", "discover", "crawling", "walking", "steps", "audit", "stream", "upkeep")
+MODULES = ("serving", "scalars", "integrate", "discover", "crawling", "walking", "steps", "audit", "stream", "upkeep", "connectors")
 
 
 def _modules():

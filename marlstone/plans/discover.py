@@ -92,7 +92,18 @@ def page_links(spark, d):
     return W.pages(_pages(spark, d, "html")).select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.ord").cast("long").alias("ord"), "l.href", "l.text")
 
 
-@query("page_text")
+#: The body of a page: comments, title, scripts and styles gone, a space for each tag, the references that the pages have, one space for white space, contacts.
+_BODY = r"regexp_replace(html, '<!--.*?-->', '', 'gs')"
+for _a in ("title", "script", "style", "noscript", "template"):
+    _BODY = f"regexp_replace({_BODY}, '<{_a}[^>]*>.*?</{_a}>', ' ', 'gsi')"
+_BODY = rf"regexp_replace({_BODY}, '<[a-zA-Z/!][^>]*>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_a}', '{_b}')"
+_BODY = rf"trim(regexp_replace({_BODY}, '\s+', ' ', 'g'))"
+_BODY = rf"regexp_replace(regexp_replace({_BODY}, '[\w.+-]+@[\w-]+\.[\w.-]+', '[email removed]', 'g'), '0\d{{1,2}}[-\s]?\d{{3,4}}[-\s]?\d{{4}}', '[phone removed]', 'g')[1:1200]"
+
+
+@query("page_text", f"SELECT page_id, {_BODY} AS body FROM pages")
 def page_text(spark, d):
     return W.pages(_pages(spark, d, "html")).select("page_id", T.left_runes(T.strip_contacts(F.col("body")), 1200).alias("body"))
 

@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def opened(path: str):
+    """(file system, folder) of a path that every executor can reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def write_bodies(rows: DataFrame, folder: str, name: str, body: str) -> int:
+    """Writes each row's text to a file of its own below a shared folder; gives how many there are.
+
+    Files are written by the tasks and renamed at their end, so a task that is run again leaves the same files.
+    """
+
+    def run(frames):
+        import pyarrow as pa
+
+        system, root = opened(folder)
+        n = 0
+        for b in frames:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{root}/{file}"
+                system.create_dir(posixpath.dirname(at), recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
+                    f.write((text or "").encode())
+                system.move(part, at)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select(name, body).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     r = spark.read.option("multiLine", True)
     return (r.schema(schema) if schema else r).json(path)

@@ -10,8 +10,11 @@ import re
 import urllib.parse
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from marlstone.functions import web
+from marlstone.operators.sequence import first_seen
 from marlstone.sources.dom import Node, tree
 
 FIELDS = ("source_id", "event_id", "name", "name_ko", "name_en", "start_raw", "end_raw", "venue_name", "hall", "city", "organizer", "host", "publisher", "source_type", "homepage_url", "summary_text", "classify_text")
@@ -182,3 +185,37 @@ def showala_rows(html: str | None) -> tuple[list[dict], int, int]:
         found = re.search(r"idx=(\d+)", (li.first("a.ex_tit_a") or Node("", {}, None)).attrs.get("href", ""))
         rows.append({"idx": found.group(1) if found else "", "venue": place.line(("span",)) if place else "", "start": period(date.line(("span",)), "~")[0] if date else None})
     return rows, int(m.group(1)) if m else 0, int(m.group(2)) if m else 0
+
+
+#: What names an event among a board's posts, and the venue that an aggregator's rows are kept for.
+EVENT_TITLE = "(?i)행사|세미나|컨퍼런스|콘퍼런스|설명회|교류회|포럼|박람회|전시회|데모데이|성과공유회|tech[- ]?day|밋업|meetup"
+KINTEX = "(?i)kintex|킨텍스"
+
+
+def board_refs(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, event_id, title, ord) of the posts of each board page that name an event; of a repeated post the first counts."""
+    links = web.pages(pages.select(key, html), html).select(key, F.explode("links").alias("l")).where("l.tag = 'a'")
+    posts = links.select(key, F.col("l.ord").alias("ord"), F.regexp_extract("l.href", r"mode=VIEW&(?:amp;)?num=(\d+)", 1).alias("num"), F.col("l.text").alias("title"))
+    named = posts.where((F.col("num") != "") & (F.col("title") != "") & F.regexp_like("title", F.lit(EVENT_TITLE)))
+    return first_seen(named, [key, "num"], ["ord", "title"]).select(key, F.concat(F.lit("aiia-"), F.col("num")).alias("event_id"), "title", "ord")
+
+
+def at_kintex(venue: Column) -> Column:
+    return F.regexp_like(F.coalesce(venue, F.lit("")), F.lit(KINTEX))
+
+
+def listing(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, ord, idx, venue, start, next, total) of each row of an aggregator's listing pages; a page without rows gives none."""
+    import pandas as pd
+
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, h in zip(pdf[key], pdf[html], strict=True):
+                rows, following, total = showala_rows(h)
+                out += [(k, i, r["idx"], r["venue"], r["start"], following, total) for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[key, "ord", "idx", "venue", "start", "next", "total"])
+
+    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, ord int, idx string, venue string, start string, next int, total int")
