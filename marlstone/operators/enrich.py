@@ -80,3 +80,23 @@ def page_actions(pages: DataFrame, key: str, url: str = "url", html: str = "html
         F.get(of("register"), F.lit(0))["to"].alias("register_url"),
         F.get(of("exhibit"), F.lit(0))["to"].alias("exhibit_url"),
     )
+
+
+def merged(steps: DataFrame, key: str, rank: Column, origin: str, url: str, fields: list[str]) -> DataFrame:
+    """(key, fields, provenance, sources): field by field the value of the best-ranked origin that has one.
+
+    steps: one row for each thing said of a key, from parsed pages down to suggestions. A blank text is no value. Of equal
+    ranks the origin, then the address, then the value that comes first in the order of code points wins, so neither the
+    order of arrival nor repeated rows change anything. provenance: array of (field, origin, url), in the order of
+    `fields`; sources: the (origin, url) that gave a value, best rank first. All of it is minima, combined before the shuffle.
+    """
+
+    def said(f: str) -> Column:
+        value = F.nullif(F.trim(f), F.lit("")).isNotNull() if steps.schema[f].dataType.simpleString() == "string" else F.col(f).isNotNull()
+        return F.min(F.when(value, F.struct(rank.alias("rank"), F.col(origin).alias("origin"), F.col(url).alias("url"), F.col(f).alias("value")))).alias(f)
+
+    best = steps.groupBy(key).agg(*[said(f) for f in fields])
+    at = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"{f}.origin").alias("origin"), F.col(f"{f}.url").alias("url"))) for f in fields]))
+    by = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.col(f"{f}.rank").alias("rank"), F.col(f"{f}.origin").alias("origin"), F.col(f"{f}.url").alias("url"))) for f in fields]))
+    sources = F.transform(F.array_sort(F.array_distinct(by)), lambda s: F.struct(s["origin"].alias("origin"), s["url"].alias("url")))
+    return best.select(key, *[F.col(f"{f}.value").alias(f) for f in fields], at.alias("provenance"), sources.alias("sources"))

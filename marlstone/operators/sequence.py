@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order. An aggregate, so a very common key is combined before the shuffle."""
@@ -17,6 +19,18 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return got.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def numbered(df: DataFrame, key: str, order: list[str], into: str) -> DataFrame:
+    """Adds `into`, the place from 1 of each row among the rows of its key. Rows are dealt by ranges of key and order and ranked
+    inside them, so that no task holds more than a range of a very common key."""
+    dealt = cut(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    held = dealt.groupBy(F.col("_range").alias("_r"), F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    both = dealt.withColumn(into, nth).join(before, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")))
+    return both.withColumn(into, (F.col(into) + F.col("_before")).cast("long")).drop("_range", "_r", "_k", "_before")
+
+
 def keep_last(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
     """The last n rows of each source."""
     w = Window.partitionBy(source).orderBy(F.desc(order))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from marlstone.plans.registry import Registry
 from marlstone.session import shared_dir
-from marlstone.streaming import ingest
+from marlstone.streaming import ingest, sessions
 from marlstone.streaming.quota import OUT, window_quota
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
+@contextlib.contextmanager
+def rocksdb(spark):
+    """The state store that stateful operators with timers and maps need, for as long as a stream runs."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(store, before)
+
+
 def _stream(spark, d, name):
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
@@ -42,13 +55,31 @@ def stream_change_feed(spark, d):
     SELECT user_id, event_id, n <= 2 AS allowed FROM f""",
 )
 def stream_quota_window(spark, d):
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
     folder = f"{shared_dir(spark)}/quota-{uuid.uuid4().hex}"
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    with rocksdb(spark):
         ingest.append_once(window_quota(_stream(spark, d, "events").select("user_id", "event_id", t.alias("t")), 2, 86400), folder)
-    finally:
-        spark.conf.set(store, before)
     return spark.read.schema(OUT).parquet(folder).select("user_id", "event_id", "allowed")
+
+
+#: Seconds without a step after which a session ends.
+IDLE = 12 * 3600.0
+
+
+def session_steps(events):
+    """Steps of sessions out of events: three finds to an opening, of addresses that recur, most of them lacking something."""
+    k = F.col("event_id")
+    some = lambda c, m, r: F.when(k % m == r, F.concat(F.lit(c), k.cast("string")))
+    return events.select(
+        F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"), k.alias("n"), F.when(F.col("event_type") == "view", "opened").otherwise("found").alias("kind"),
+        F.concat(F.lit("https://c.org/"), (F.floor(F.col("value")) % 9).cast("string")).alias("url"), some("t", 2, 0).alias("title"), some("p", 3, 0).alias("place"), F.when(k % 5 != 0, "2026-05-01").alias("day"),
+    )
+
+
+@query("session_candidates")
+def session_candidates(spark, d):
+    """Outcomes of all steps and of expiries that a later step of the same session brought about."""
+    folder = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    with rocksdb(spark):
+        ingest.append_once(sessions.streamed(session_steps(_stream(spark, d, "events")), IDLE), folder)
+    return spark.read.schema(sessions.OUT).parquet(folder).select(*sessions.COLUMNS)

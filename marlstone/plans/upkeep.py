@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import caching, enrich, naming
 from marlstone.plans.registry import Registry
 from marlstone.session import shared_dir
 from marlstone.sources.tables import table
-from marlstone.streaming import upkeep
+from marlstone.streaming import ingest, upkeep
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -60,3 +61,70 @@ def source_commits(spark, d):
         report = batch.groupBy("source").agg(F.count("*").alias("discovered")).withColumn("finished", F.col("source") != cut_off)
         upkeep.commit_sources(store, batch, report, "id", "source", ["price"], f"2026-01-0{n + 1}", "orders", n, drop_to=0.5)
     return store.read().select("id", "source", "price", "update_state")
+
+
+@query(
+    "robots_cache",
+    """WITH RECURSIVE q AS (SELECT event_id, user_id % 60 AS host, epoch_us(ts) / 1000000.0::DOUBLE AS t, (event_id % 400)::DOUBLE AS took, event_id % 5 <> 0 AS ok FROM events),
+    m AS (SELECT host, t, arg_min(took, event_id) AS took, arg_min(ok, event_id) AS ok, row_number() OVER (PARTITION BY host ORDER BY t) AS r FROM q GROUP BY host, t),
+    f AS (SELECT host, r, t AS started, t + took AS ended, t + took + CASE WHEN ok THEN 86400 ELSE 0 END AS until, ok FROM m WHERE r = 1 UNION ALL
+      SELECT m.host, m.r, CASE WHEN m.t >= f.until AND m.t > f.started THEN m.t ELSE f.started END, CASE WHEN m.t >= f.until AND m.t > f.started THEN m.t + m.took ELSE f.ended END,
+        CASE WHEN m.t >= f.until AND m.t > f.started THEN m.t + m.took + CASE WHEN m.ok THEN 86400 ELSE 0 END ELSE f.until END, CASE WHEN m.t >= f.until AND m.t > f.started THEN m.ok ELSE f.ok END
+      FROM f JOIN m ON m.host = f.host AND m.r = f.r + 1)
+    SELECT q.event_id, round(f.started, 3) AS started, round(greatest(f.ended - q.t, 0), 3) AS waits, f.ok AS got FROM q JOIN m ON m.host = q.host AND m.t = q.t JOIN f ON f.host = m.host AND f.r = m.r""",
+)
+def robots_cache(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 60).alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (k % 400).cast("double").alias("took"), (k % 5 != 0).alias("ok"))
+    held = caching.fetches(e, "host", "t", "event_id", "took", "ok")
+    return caching.served(e, held, "host", "t").select("event_id", F.round("started", 3).alias("started"), F.round("waits", 3).alias("waits"), "got")
+
+
+_STEP = "l_linenumber % 4 AS rank, (['parsed', 'page', 'actions', 'model'])[l_linenumber % 4 + 1] AS origin, 'https://o.org/' || l_linenumber % 3 AS url, CASE WHEN l_quantity % 3 = 0 THEN l_returnflag WHEN l_quantity % 3 = 1 THEN ' ' END AS status, CASE WHEN l_partkey % 4 <> 0 THEN l_suppkey END AS venue, CASE WHEN l_partkey % 9 = 0 THEN l_linestatus END AS cost"
+
+
+@query(
+    "enrichment_precedence",
+    f"""WITH s AS (SELECT l_orderkey, {_STEP} FROM lineitem),
+    b AS (SELECT l_orderkey, min((rank, origin, url, status)) FILTER (trim(status) <> '') AS a, min((rank, origin, url, venue)) FILTER (venue IS NOT NULL) AS b, min((rank, origin, url, cost)) FILTER (cost IS NOT NULL) AS c FROM s GROUP BY 1)
+    SELECT l_orderkey, a[4] AS status, b[4] AS venue, c[4] AS cost, concat_ws(';', 'status:' || a[2] || ':' || a[3], 'venue:' || b[2] || ':' || b[3], 'cost:' || c[2] || ':' || c[3]) AS provenance,
+    array_to_string(list_transform(list_sort(list_distinct(list_filter([(a[1], a[2], a[3]), (b[1], b[2], b[3]), (c[1], c[2], c[3])], lambda x: x[1] IS NOT NULL))), lambda x: x[2] || ':' || x[3]), ';') AS sources FROM b""",
+)
+def enrichment_precedence(spark, d):
+    """What parsed pages, official pages, extracted actions and a model say of an order, folded by their rank."""
+    n = F.col("l_linenumber")
+    origin = F.element_at(F.array(*map(F.lit, ["parsed", "page", "actions", "model"])), (n % 4 + 1).cast("int"))
+    status = F.when(F.col("l_quantity") % 3 == 0, F.col("l_returnflag")).when(F.col("l_quantity") % 3 == 1, " ")
+    steps = table(spark, d, "lineitem").select(
+        "l_orderkey", (n % 4).alias("rank"), origin.alias("origin"), F.concat(F.lit("https://o.org/"), (n % 3).cast("string")).alias("url"), status.alias("status"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_suppkey")).alias("venue"), F.when(F.col("l_partkey") % 9 == 0, F.col("l_linestatus")).alias("cost")
+    )
+    got = enrich.merged(steps, "l_orderkey", F.col("rank"), "origin", "url", ["status", "venue", "cost"])
+    said = lambda a, *parts: F.array_join(F.transform(a, lambda x: F.concat_ws(":", *[x[p] for p in parts])), ";")
+    return got.select("l_orderkey", "status", "venue", "cost", said("provenance", "field", "origin", "url").alias("provenance"), said("sources", "origin", "url").alias("sources"))
+
+
+@query(
+    "free_suffixes",
+    """WITH p AS (SELECT doc_id, source || '-' || lang AS stem FROM documents), taken AS (SELECT DISTINCT stem AS n FROM p WHERE length(stem) % 2 = 0 UNION SELECT stem || '-' || (doc_id % 40 + 2) FROM p WHERE doc_id % 3 = 0),
+    new AS (SELECT doc_id, stem, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS r FROM p WHERE doc_id % 2 = 0),
+    free AS (SELECT stem, k, row_number() OVER (PARTITION BY stem ORDER BY k) AS r FROM (SELECT DISTINCT stem FROM new), LATERAL (SELECT unnest(range(1, (SELECT count(*) FROM p) + 50)) AS k) WHERE CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END NOT IN (SELECT n FROM taken))
+    SELECT doc_id, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END AS entry_id FROM new JOIN free USING (stem, r)""",
+)
+def free_suffixes(spark, d):
+    """Ids for every second document beside ids that are taken, with gaps between them."""
+    k, stem = F.col("doc_id"), F.concat_ws("-", "source", "lang")
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", stem.alias("stem"))
+    taken = docs.where(F.length("stem") % 2 == 0).select("stem").union(docs.where(k % 3 == 0).select(F.concat_ws("-", "stem", (k % 40 + 2).cast("string"))))
+    return naming.free_names(docs.where(k % 2 == 0), taken, "stem", ["doc_id"], "entry_id").select("doc_id", "entry_id")
+
+
+@query(
+    "observed_counts",
+    """WITH d AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P'), a AS (SELECT DISTINCT o_custkey FROM d WHERE o_custkey % 3 <> 0)
+    SELECT (SELECT count(*) FROM orders) AS raw, (SELECT count(*) FROM orders) - (SELECT count(*) FROM d) AS dropped, (SELECT count(*) FROM d) - (SELECT count(*) FROM a) AS repeated, (SELECT count(*) FROM a) AS added""",
+)
+def observed_counts(spark, d):
+    """Counts of a write of the first good order of each customer that isn't stored yet, without a second job."""
+    stored = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    counts = ingest.add_missing(stored, table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"], F.col("o_orderstatus") != "P", folder(spark, "added"))
+    return spark.createDataFrame([counts], "raw long, dropped long, repeated long, added long")

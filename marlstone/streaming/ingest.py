@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import merge
+from marlstone.operators.sequence import first_seen
 from marlstone.session import shared_dir
 
 
@@ -89,3 +91,35 @@ def append_once(stream: DataFrame, store: str, checkpoint: str | None = None) ->
         batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     drain(stream, each, checkpoint)
+
+
+def _seen(rows: Observation) -> int:
+    """Rows that an observation has counted; none where the optimiser knew that there are none and left it out of the plan."""
+    try:
+        return rows.get.get("n", 0)
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return 0
+
+
+def add_missing(stored: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str], good: Column, folder: str) -> dict[str, int]:
+    """Writes to `folder` the rows of `incoming` that are good and whose key isn't stored, the first of each key in `order`; gives
+    the counts raw, dropped (not good), repeated (of a key already there) and added.
+
+    The counts are observed on the way while the rows are written: no second job, and no second scan. An executor that
+    is lost may make Spark count rows of a repeated task once more in the observation, never in what is written. Null `good` is not good.
+    """
+    raw, kept, added = (Observation() for _ in range(3))
+    n = F.count(F.lit(1)).alias("n")
+    rows = incoming.observe(raw, n).where(F.coalesce(good, F.lit(False))).observe(kept, n)
+    rows = first_seen(rows, key, order)
+    if stored is not None:
+        same = stored.select(*[F.col(k).alias(f"_{k}") for k in key])
+        on = F.lit(True)
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(same, on, "left_anti")
+    rows.observe(added, n).write.mode("overwrite").parquet(folder)
+    got = {k: _seen(o) for k, o in (("raw", raw), ("kept", kept), ("added", added))}
+    return {"raw": got["raw"], "dropped": got["raw"] - got["kept"], "repeated": got["kept"] - got["added"], "added": got["added"]}
