@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.dates import date_context, date_evidence, find_in_context
 from marlstone.functions.text import any_of, field_match
+from marlstone.session import cut
 
 CLASSES = ("verified", "partial", "unverified", "wrong_type", "unreachable", "broken")
 #: Words around a date that say what it is for.
@@ -27,21 +29,62 @@ def name_classes(rows: DataFrame, pages: DataFrame, key: str, page: str, value:
     return rows.select(key).join(best, key, "left").select(key, name.alias("class"))
 
 
-def name_classes_anywhere(rows: DataFrame, pages: DataFrame, key: str, value: str, text: str) -> DataFrame:
-    """(key, class) as `name_classes`, but over all pages. A page that holds a value or all its words holds the longest of
-    its words, so only such pairs leave the join; without any page a row is unreachable."""
+def _mentions(pages: DataFrame, items: list[tuple[str, list[str]]]) -> DataFrame:
+    """(_v, _r) of the items (value, its words) that the pages (_t) hold: 2 the value, 1 all its words.
+
+    One automaton of all values and words goes over each text once; an item is looked at only where its longest word
+    stands. A task keeps the best rank of each item, so it hands on at most one row for an item.
+    """
+
+    def run(frames):
+        import ahocorasick
+
+        patterns: dict[str, int] = {}
+        of = lambda p: patterns.setdefault(p, len(patterns))
+        coded = [(of(v), [of(w) for w in words]) for v, words in items]
+        by_anchor: dict[int, list[int]] = {}
+        for i, (v, words) in enumerate(items):
+            by_anchor.setdefault(of(max(words, key=len)) if words else coded[i][0], []).append(i)
+        automaton = ahocorasick.Automaton()
+        for p, n in patterns.items():
+            automaton.add_word(p, n)
+        automaton.make_automaton()
+        best = [0] * len(items)
+        for b in frames:
+            for t in b.column(0).to_pylist():
+                there = {n for _, n in automaton.iter(t)} if t and patterns else ()
+                for n in there:
+                    for i in by_anchor.get(n, ()):
+                        v, words = coded[i]
+                        if best[i] < 2:
+                            best[i] = 2 if v in there else max(best[i], int(bool(words) and all(w in there for w in words)))
+        hit = [i for i, r in enumerate(best) if r]
+        yield pa.RecordBatch.from_arrays([pa.array([items[i][0] for i in hit], pa.string()), pa.array([best[i] for i in hit], pa.int32())], names=["_v", "_r"])
+
+    return pages.mapInArrow(run, "_v string, _r int").groupBy("_v").agg(F.max("_r").alias("_r"))
+
+
+#: Items that are looked for in one pass over the pages.
+ITEMS = 50_000
+
+
+def name_classes_anywhere(rows: DataFrame, pages: DataFrame, key: str, value: str, text: str, block: int = ITEMS) -> DataFrame:
+    """(key, class) as `name_classes`, but over all pages; without any page a row is unreachable. A blank value is never found.
+
+    The values are a set of queries: each pass over the pages looks for up to `block` distinct ones, all at once.
+    """
     flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    v = rows.select(key, F.trim(flat(F.col(value))).alias("_v"))
-    w = v.select(key, "_v", F.filter(F.split("_v", "[^a-z0-9]+"), lambda w: F.length(w) > 2).alias("_w"))
-    longest = F.array_sort("_w", lambda a, b: F.length(b) - F.length(a))
-    r = w.select(key, "_v", "_w", F.coalesce(F.get(longest, F.lit(0)), F.col("_v")).alias("_a")).where("_a != ''")
-    j = r.join(pages.select(flat(F.col(text)).alias("_t")), F.contains("_t", "_a"))
-    rank = F.when(F.contains("_t", F.col("_v")), 2).when((F.size("_w") > 0) & F.forall("_w", lambda w: F.contains(F.col("_t"), w)), 1).otherwise(0)
-    best = j.select(key, rank.alias("_r")).groupBy(key).agg(F.max("_r").alias("_r"))
-    some = pages.limit(1).select(F.lit(0).alias("_some"))
-    all_rows = rows.select(key).join(best, key, "left").join(some, F.lit(True), "left")
-    name = F.when(F.col("_r") == 2, "verified").when(F.col("_r") == 1, "partial").when(F.col("_some") == 0, "unverified").otherwise("unreachable")
-    return all_rows.select(key, name.alias("class"))
+    v = cut(rows.select(key, F.trim(flat(F.col(value))).alias("_v")))
+    asked = v.where("_v <> ''").select("_v").distinct().select("_v", F.filter(F.split("_v", "[^a-z0-9]+"), lambda w: F.length(w) > 2).alias("_w"))
+    passes = max(1, -(-asked.count() // block))
+    found = None
+    for k in range(passes):
+        items = [(r["_v"], list(r["_w"])) for r in asked.where(F.pmod(F.xxhash64("_v"), F.lit(passes)) == k).collect()]
+        got = _mentions(pages.select(flat(F.col(text)).alias("_t")), items)
+        found = got if found is None else found.unionByName(got)
+    some = pages.limit(1).count() > 0
+    name = F.when(F.col("_r") == 2, "verified").when(F.col("_r") == 1, "partial").otherwise("unverified" if some else "unreachable")
+    return v.join(found, "_v", "left").select(key, name.alias("class"))
 
 
 def deadline_class(page: Column, iso: Column, field: Column | str) -> Column:

@@ -54,26 +54,28 @@ def before_run(df: DataFrame, by: str, order: list[str], dated: Column, past: Co
     return d.withColumn("_stop", stop).where("_stop = 0").drop("_island", "_run", "_stop")
 
 
-def folded(df: DataFrame, client: str, at: Column, keep: tuple[str, ...], judge: Callable[[], Callable[[float], bool]]) -> DataFrame:
-    """(client, kept columns, allowed): the requests of each client in order of time, then of the kept columns, each put to the
-    client's own judge, which `judge` makes anew.
+def folded(df: DataFrame, client: str, at: Column, keep: tuple[str, ...], judge: Callable[[], Callable[..., bool | None]], facts: tuple[str, ...] = (), into: str = "allowed") -> DataFrame:
+    """(client, kept columns, `into`): the requests of each client in order of time, then of the kept columns, each put with
+    its time and `facts` to the client's own judge, which `judge` makes anew.
 
     A task reads its clients one after the other in sorted batches and holds one client's state, never its history; so the
     work is linear in the requests, and one client's requests, which follow from one another, are read by one task.
     """
-    rows = df.select(F.col(client), *keep, at.cast("double").alias("_t"))
-    kinds = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (client, *keep)), "allowed boolean"])
+    rows = df.select(F.col(client), *keep, *[F.col(c).alias(f"_f{i}") for i, c in enumerate(facts)], at.cast("double").alias("_t"))
+    kinds = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (client, *keep)), f"`{into}` boolean"])
+    n = 1 + len(keep)
 
     def run(batches):
         ask, whose = None, object()
         for b in batches:
             clients, times = b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            more = zip(*[b.column(i).to_pylist() for i in range(n, n + len(facts))], strict=True) if facts else [()] * len(times)
             allowed = []
-            for c, t in zip(clients, times, strict=True):
+            for c, t, f in zip(clients, times, more, strict=True):
                 if ask is None or c != whose:
                     ask, whose = judge(), c
-                allowed.append(ask(t))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(allowed, pa.bool_())], names=[client, *keep, "allowed"])
+                allowed.append(ask(t, *f))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(allowed, pa.bool_())], names=[client, *keep, into])
 
     return rows.repartition(client).sortWithinPartitions(client, "_t", *keep).mapInArrow(run, kinds)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.sequence import before_run, first_seen
+from marlstone.operators.sequence import before_run, first_seen, folded
 from marlstone.session import cut
 
 #: Bounds of the walks.
@@ -84,20 +84,25 @@ def slots(found: DataFrame, crawl: str, order: str, seeds: int, most: int = 30)
     """(crawl, order, stored) of a crawl's steps: whether a found candidate is stored, null for steps that are none.
 
     found: (crawl, order, seed, candidate, outcome). Every seed that has no outcome yet keeps a place, so others are
-    stored below `most` less the seeds that are open, and seeds below `most`. A crawl's steps follow from one another and are
-    bounded by its budgets (64 fetches of 96 links), so they are folded as one array.
+    stored below `most` less the seeds that are open, and seeds below `most`. A crawl's steps follow from one another; they are
+    read in order by one task that holds two counts, so their number doesn't matter. Null flags are false.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("candidate", F.lit(False)).alias("candidate"), F.coalesce("outcome", F.lit(False)).alias("outcome"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("done"), F.array().cast(f"array<struct<at:{found.schema[order].dataType.simpleString()},stored:boolean>>").alias("out"))
 
-    def step(acc, x):
-        done = acc["done"] + x["outcome"].cast("int")
-        limit = F.when(x["seed"], F.lit(most)).otherwise(F.greatest(most - F.greatest(seeds - done, F.lit(0)), F.lit(0)))
-        stored = F.when(x["candidate"], acc["n"] < limit)
-        return F.struct((acc["n"] + F.coalesce(stored.cast("int"), F.lit(0))).alias("n"), done.alias("done"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), stored.alias("stored")))).alias("out"))
+    def judge():
+        n = done = 0
 
-    got = found.groupBy(crawl).agg(steps.alias("_s")).select(crawl, F.inline(F.aggregate("_s", start, step)["out"]))
-    return got.withColumnRenamed("at", order)
+        def ask(_: float, seed: bool | None, candidate: bool | None, outcome: bool | None) -> bool | None:
+            nonlocal n, done
+            done += bool(outcome)
+            if not candidate:
+                return None
+            stored = n < (most if seed else max(most - max(seeds - done, 0), 0))
+            n += stored
+            return stored
+
+        return ask
+
+    return folded(found, crawl, F.lit(0.0), (order,), judge, ("seed", "candidate", "outcome"), "stored")
 
 
 def link_headers_within(values: Column, most: int = 16, size: int = 8 << 10) -> Column:

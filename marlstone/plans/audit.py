@@ -42,14 +42,12 @@ s AS (SELECT item_id, max(CASE WHEN needle <> '' AND contains(hay, needle) THEN
 c AS (SELECT r.item_id, CASE s.rank WHEN 2 THEN 'verified' WHEN 1 THEN 'partial' WHEN 0 THEN 'unverified' ELSE 'unreachable' END AS class FROM r LEFT JOIN s USING (item_id))"""
 
 
-@query("evidence_audit_whole")
 @query("evidence_audit", f"{_EV} SELECT item_id, class FROM c")
 def evidence_audit(spark, d):
     """The benchmark's items, a set of queries, against all documents, on whole texts."""
     return evidence.name_classes_anywhere(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "text")
 
 
-@query("audit_summary_whole")
 @query("audit_summary", f"{_EV} SELECT count(*) FILTER (WHERE class = 'verified') AS verified, count(*) FILTER (WHERE class = 'partial') AS partial, count(*) FILTER (WHERE class = 'unverified') AS unverified, count(*) FILTER (WHERE class = 'wrong_type') AS wrong_type, count(*) FILTER (WHERE class = 'unreachable') AS unreachable, count(*) FILTER (WHERE class = 'broken') AS broken, count(*) AS total FROM c")
 def audit_summary(spark, d):
     from marlstone.operators.discovery import histogram
@@ -57,9 +55,6 @@ def audit_summary(spark, d):
     return histogram(evidence_audit(spark, d), [], "class", evidence.CLASSES)
 
 
-evidence_audit_whole, audit_summary_whole = evidence_audit, audit_summary
-
-
 def _sql_any(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 

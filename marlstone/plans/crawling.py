@@ -84,7 +84,6 @@ def budget_clamp(spark, d):
     return table(spark, d, "nation").select("n_nationkey", crawl.clamped(F.col("n_nationkey") - 3, "protocol_documents").alias("documents"))
 
 
-@query("opened_page_fill_whole")
 @query("opened_page_fill", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'kept' ELSE trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 3 = 0 THEN 'kept too' ELSE 'call [phone removed]' END AS snippet FROM pages")
 def opened_page_fill(spark, d):
     k, t = F.col("page_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1)
@@ -92,8 +91,6 @@ def opened_page_fill(spark, d):
     return enrich.opened(rows, "title", "snippet", "pt", "px")
 
 
-opened_page_fill_whole = opened_page_fill
-
 
 @query("unmet_requirements", "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 2 = 0 THEN 'title' END, CASE WHEN page_id % 3 = 0 THEN 'location' END, CASE WHEN page_id % 5 = 0 THEN 'date' END], lambda x: x IS NOT NULL), ',') AS unmet FROM pages")
 def unmet_requirements(spark, d):

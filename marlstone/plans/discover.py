@@ -119,14 +119,11 @@ _TAIL = ("Registration now", "a booth", "our sponsors", "x", "startups pitch")
 _ACTION = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{k}'" for k, words in W.ACTIONS.items()) + " END"
 
 
-@query("action_signals_whole")
 @query("action_signals", f"SELECT doc_id, {_ACTION} AS action FROM (SELECT doc_id, lower(text || ({list(_TAIL)})[doc_id % 5 + 1]) AS low FROM documents)")
 def action_signals(spark, d):
     tail = F.element_at(F.array(*[F.lit(x) for x in _TAIL]), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", W.action_of(F.lower(F.concat("text", tail))).alias("action"))
 
-
-action_signals_whole = action_signals
 _RENAMED = (('/de"', '/register"'), ('/que"', '/Exhibit-2"'), ('/la"', '/sponsor"'), ('/the"', '/pitch"'), ('/und"', 'mailto:ticket"'), ('/y"', '/ticket"'), ('<a href="/of">of</a>', '<a rel="noopener" href="/ticket-of"><img src="/x"></a>'))
 
 
@@ -389,11 +386,8 @@ def promotion_ids(spark, d):
     return p.withColumn("r", r).select("page_id", F.concat("slug", F.when(F.col("r") > 1, F.concat(F.lit("-"), F.col("r").cast("string"))).otherwise("")).alias("entry_id"))
 
 
-@query("fixture_search_whole")
 @query("fixture_search", "SELECT q.doc_id, g.k FROM (SELECT doc_id, lower(text) AS t FROM documents) q, (SELECT unnest(['the', 'der', 'qué', 'les ']) AS k) g WHERE contains(q.t, g.k)")
 def fixture_search(spark, d):
     groups = F.array(*[F.lit(x) for x in ("the", "Der", "qué", "les ")])
     return table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).select("doc_id", F.explode(F.filter(F.transform(groups, lambda k: F.lower(k)), lambda k: F.contains(F.col("t"), k))).alias("k"))
 
-
-fixture_search_whole = fixture_search

@@ -151,15 +151,15 @@ def defaults_enum(spark, d):
 @query(
     "latin_name",
     r"""SELECT doc_id, lt > 0 AND 2 * ac >= lt AND lower(trim(nm)) <> lower(trim(source)) AS latin FROM (
-        SELECT doc_id, source, text[1:40] AS nm, length(regexp_replace(text[1:40], '[^\p{L}]', '', 'g')) AS lt, length(regexp_replace(text[1:40], '[^A-Za-z]', '', 'g')) AS ac FROM documents)""",
+        SELECT doc_id, source, text AS nm, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS lt, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ac FROM documents)""",
 )
 def latin_name(spark, d):
-    return _docs(spark, d, T.latin_name(F.substring("text", 1, 40), F.col("source")).alias("latin"))
+    return _docs(spark, d, T.latin_name(F.col("text"), F.col("source")).alias("latin"))
 
 
-@query("organizer_prefix", r"""SELECT doc_id, nullif(trim(regexp_extract('[' || source || '] ' || text[1:20], '^\[([^\[\]]{1,40})\]', 1)), '') AS organizer FROM documents""")
+@query("organizer_prefix", r"""SELECT doc_id, nullif(trim(regexp_extract('[' || source || '] ' || text, '^\[([^\[\]]{1,40})\]', 1)), '') AS organizer FROM documents""")
 def organizer_prefix(spark, d):
-    return _docs(spark, d, T.bracket_prefix(F.concat(F.lit("["), "source", F.lit("] "), F.substring("text", 1, 20))).alias("organizer"))
+    return _docs(spark, d, T.bracket_prefix(F.concat(F.lit("["), "source", F.lit("] "), F.col("text"))).alias("organizer"))
 
 
 @query(

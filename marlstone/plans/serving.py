@@ -87,15 +87,12 @@ def point_lookup(spark, d):
     return table(spark, d, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_totalprice").limit(1)
 
 
-@query("nested_sources_whole")
 @query("nested_sources", "SELECT l_orderkey AS o_orderkey, l_partkey, l_suppkey FROM lineitem")
 def nested_sources(spark, d):
     nested = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("sources"))
     return nested.select("o_orderkey", F.inline("sources"))
 
 
-nested_sources_whole = nested_sources
-
 
 @query("event_type_facet", "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1")
 def event_type_facet(spark, d):

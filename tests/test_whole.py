@@ -33,8 +33,8 @@ def classes(items, texts):
 
 def test_audit(spark):
     want = classes(read("benchmark", "item_id", "text"), [t for (t,) in read("documents", "text")])
-    assert dict(got(spark, "evidence_audit_whole")) == want
-    row = catalog.queries()["audit_summary_whole"](spark, D).first().asDict()
+    assert dict(got(spark, "evidence_audit")) == want
+    row = catalog.queries()["audit_summary"](spark, D).first().asDict()
     assert row == {c: Counter(want.values())[c] for c in evidence.CLASSES} | {"total": len(want)}
     assert row["verified"] == Counter(c for _, c in got(spark, "evidence_audit"))["verified"]
 
@@ -50,29 +50,28 @@ def test_audit_fixture(spark):
 
 
 def test_nested_sources(spark):
-    rows = got(spark, "nested_sources_whole")
+    rows = got(spark, "nested_sources")
     assert Counter(rows) == Counter(read("lineitem", "l_orderkey", "l_partkey", "l_suppkey"))
     assert len(rows) == len(got(spark, "nested_sources"))
 
 
 def test_whole_texts(spark):
     docs, words = read("documents", "doc_id", "text"), ("the", "der", "qué", "les ")
-    assert sorted(got(spark, "fixture_search_whole")) == sorted((i, w) for i, t in docs for w in words if t and w in t.lower())
-    assert len(got(spark, "fixture_search_whole")) == len(got(spark, "fixture_search"))
+    assert sorted(got(spark, "fixture_search")) == sorted((i, w) for i, t in docs for w in words if t and w in t.lower())
     signs = (("register", "register|registration|ticket"), ("exhibit", "exhibit|booth"), ("sponsor", "sponsor"), ("match", "matchmaking|buyer meeting"), ("startup", "startup|pitch|demo day"))
     tails = ("Registration now", "a booth", "our sponsors", "x", "startups pitch")
     said = lambda i, t: next((a for a, p in signs if re.search(p, (t + tails[i % 5]).lower())), None)
-    assert dict(got(spark, "action_signals_whole")) == {i: said(i, t) for i, t in docs}
+    assert dict(got(spark, "action_signals")) == {i: said(i, t) for i, t in docs}
 
 
 def test_action_past_the_beginning(spark, tmp_path):
     spark.createDataFrame([(3, "far " * 40 + "Sponsors")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in catalog.queries()["action_signals_whole"](spark, str(tmp_path)).collect()] == [(3, "sponsor")]
+    assert [tuple(r) for r in catalog.queries()["action_signals"](spark, str(tmp_path)).collect()] == [(3, "sponsor")]
 
 
 def test_opened_page_fill(spark):
     pages = {i: (re.search("<title>(.*?)</title>", h) or [0, ""])[1] for i, h in read("pages", "page_id", "html")}
     want = {(i, "kept" if i % 2 == 0 else t.strip(" ") or None, "kept too" if i % 3 == 0 else "call [phone removed]") for i, t in pages.items()}
-    rows = got(spark, "opened_page_fill_whole")
+    rows = got(spark, "opened_page_fill")
     assert len(rows) == len(pages) and set(rows) == want
     assert any(t != t.strip(" ") for t in pages.values()) and len(rows) == len(got(spark, "opened_page_fill"))
