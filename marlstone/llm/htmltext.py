@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -182,7 +183,9 @@ def place_of(tag: str, attributes: str) -> tuple[str | None, str | None]:
 def blocks(page: str) -> list[tuple[str, int, str, str, bool, bool]]:
     """(text, words in links, place, tag, inside an article, hinted at something else) of each block with text, in page order."""
     out, parts = [], []
-    stack: list[tuple[str, str | None, str | None]] = []
+    # Each open element knows its tag, the place it is in, whether it is inside an article, and whether a name hints at something else.
+    stack: list[tuple[str, str | None, bool, bool]] = []
+    held: Counter = Counter()
     link = links = 0
     place, tag_now, inside, hint = "none", "", False, False
 
@@ -197,11 +200,18 @@ def blocks(page: str) -> list[tuple[str, int, str, str, bool, bool]]:
 
     def look():
         nonlocal place, tag_now, inside, hint
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1]), 0)
-        place = stack[at][1] or "none" if stack else "none"
-        hint = any(h for _, _, h in stack[at:])
-        inside = any(p == "main" for _, p, _ in stack)
-        tag_now = stack[-1][0] if stack else ""
+        tag_now, place, inside, hint = stack[-1] if stack else ("", None, False, False)
+        place = place or "none"
+
+    def push(tag, own, hinted):
+        _, of, within, hints = stack[-1] if stack else ("", None, False, False)
+        stack.append((tag, own or of, within or own == "main", bool(hinted) if own else hints or bool(hinted)))
+        held[tag] += 1
+
+    def pop(down_to):
+        for tag, *_ in stack[down_to:]:
+            held[tag] -= 1
+        del stack[down_to:]
 
     def add(text):
         nonlocal links
@@ -226,21 +236,23 @@ def blocks(page: str) -> list[tuple[str, int, str, str, bool, bool]]:
             flush()
             link = 0
             if closing:
-                if any(t == tag for t, *_ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if held[tag]:
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    pop(k)
             elif tag not in VOID:
                 group = CLOSES.get(tag)
                 if group:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] in group:
-                            del stack[k:]
+                            pop(k)
                             break
                         if stack[k][0] not in CLOSES:
                             break
                 elif stack and stack[-1][0] in CLOSES["p"]:
-                    stack.pop()
-                stack.append((tag, *place_of(tag, attributes)))
+                    pop(len(stack) - 1)
+                push(tag, *place_of(tag, attributes))
             look()
     if end < len(page):
         add(page[end:])
@@ -248,6 +260,10 @@ def blocks(page: str) -> list[tuple[str, int, str, str, bool, bool]]:
     return out
 
 
+#: The columns of link densities among the features.
+DENSITIES = slice(3, 6)
+
+
 def features(page_blocks) -> np.ndarray:
     """A row for each block: words and link density of it and its neighbours, its place, its tag, whether the page names
     its main part, whether a name hints at something else, and whether the block speaks of rights. At least one block."""
@@ -368,12 +384,26 @@ def model() -> dict:
     return boosting.fit(np.concatenate(x), np.array(y, float), trees=1, depth=9, rate=1.0, least=4)[0]
 
 
+#: What may stand in an article and be all links.
+TEXT_TAGS = frozenset(("p", "blockquote", "pre", "dd", "dt", "td", "th", "figcaption", *HEADINGS))
+
+
+def kept(found: list[tuple], tree: dict) -> np.ndarray:
+    """Which blocks are main text. A paragraph of an article that only its links speak against is."""
+    x = features(found)
+    keep = boosting._apply(tree, x) > 0
+    again = np.array([not k and b[2] == "main" and b[4] and not b[5] and b[3] in TEXT_TAGS for k, b in zip(keep, found, strict=True)])
+    if again.any():
+        x[:, DENSITIES] = 0
+        keep |= again & (boosting._apply(tree, x) > 0)
+    return keep
+
+
 def main_text(page: str, tree: dict) -> str:
     found = blocks(page)
     if not found:
         return ""
-    keep = boosting._apply(tree, features(found)) > 0
-    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    return "\n\n".join(b[0] for b, k in zip(found, kept(found, tree), strict=True) if k)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -62,3 +62,28 @@ def test_broken_tags_take_linear_time():
         got = htmltext.main_text(page, tree)
         assert time.process_time() - began < 20, unit
         assert isinstance(got, str)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    from marlstone.llm import htmltext
+
+    tree = htmltext.model()
+    began = time.time()
+    for open_, close in (("<div>", "</div>"), ("<div class='a b'>", "</div>"), ("<section>", ""), ("<ul><li>", "</b></x>"), ("<div></x>", "")):
+        n = 1_000_000 // len(open_ + close)
+        assert isinstance(htmltext.main_text("<article>" + open_ * n + "<p>A text of some words that stands deep inside.</p>" + close * n, tree), str)
+    assert time.time() - began < 30
+
+
+def test_paragraphs_of_links_in_an_article_stay():
+    from marlstone.llm import htmltext
+
+    tree = htmltext.model()
+    prose = "<p>The first of some paragraphs, with words enough to be told apart from all the rest of a page.</p>"
+    for links in ('<p>Visit <a>one</a> <a>two</a></p>', '<p>See <a href="x>link</a> now</p>', '<p><a href="/x">All of this paragraph is a link to somewhere</a></p>'):
+        got = htmltext.main_text(f"<body><nav><ul><li><a href=a>Home</a></li></ul></nav><article><h1>Title</h1>{prose}{links}{prose}</article><footer><p><a href=b>Terms</a></p></footer>", tree)
+        assert len(got.split("\n\n")) == 4 and "Home" not in got and "Terms" not in got
+    menu = f'<article><h1>T</h1>{prose}<nav><p><a href="/a">Next</a></p></nav><div class="share"><p><a href="/b">Share this</a></p></div></article>'
+    assert "Next" not in htmltext.main_text(menu, tree) and "Share" not in htmltext.main_text(menu, tree)
