@@ -8,13 +8,18 @@ features come from the same expressions.
 
 Positions come from splitting a text at a pattern's matches, so each text is read once per pattern, and never leaves its
 row: no shuffle. Patterns are possessive and anchored at run starts, which keeps them linear on texts without spaces.
+Positions are running sums, and overlaps are found by running maxima over sorted moments, so that a text of very many
+matches costs no more for each of them.
 
-Null and empty texts have no spans. Repeated rows are read each by itself. Other columns are not read.
+Null and empty texts have no spans. Repeated rows are read each by itself. Of findings that overlap, equally far above
+their thresholds, the one that starts first stays, then the kind listed first. An empty table gives an empty one. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -62,6 +67,85 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "number": NU
 MATCHES = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
 
+#: Elements that are summed up together; an array is copied once for each.
+BLOCK = 64
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed only once, also where `use` reads it for every element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, weight: Callable[[Column], Column], how: str) -> Column:
+    """array<bigint>: for each element the sum or maximum ("sum", "max") of the weights up to it, in linear time.
+
+    Blocks are added up first, then the blocks' totals, then each block from what stands before it: only arrays of a
+    block, and one of the totals, are grown by appending. Maxima of nothing are -1.
+    """
+    none, empty = F.lit(0 if how == "sum" else -1).cast("long"), F.expr("CAST(array() AS array<bigint>)")
+    plus = (lambda a, x: a + x) if how == "sum" else F.greatest
+    state = lambda v: F.struct(v.alias("v"), empty.alias("out"))
+    grown = lambda acc, v, x: F.struct(x.alias("v"), F.concat(acc["out"], F.array(v)).alias("out"))
+
+    def blocks(a: Column) -> Column:
+        part = lambda j: F.slice(a, j * BLOCK + 1, F.lit(BLOCK))
+        every = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0)))
+        total = lambda j: F.aggregate(part(j), none, lambda acc, x: plus(acc, weight(x).cast("long")))
+        before = F.aggregate(F.transform(every, total), state(none), lambda acc, x: grown(acc, acc["v"], plus(acc["v"], x)), lambda acc: acc["out"])
+
+        def step(acc: Column, x: Column) -> Column:
+            v = plus(acc["v"], weight(x).cast("long"))
+            return grown(acc, v, v)
+
+        inside = lambda j, b: F.aggregate(part(j), state(F.get(b, j)), step, lambda acc: acc["out"])
+        return once(before, lambda b: F.flatten(F.transform(every, lambda j: inside(j, b))))
+
+    return once(items, blocks)
+
+
+def at_moments(asked: Column, held: Column, at: Callable[[Column], Column], of: Callable[[Column], tuple[Column, Column]], how: str, same: bool) -> Column:
+    """array<bigint>: for each element of `asked` the running sum or maximum, at its place `at`, of the (place, weight) that `of`
+    gives for the elements of `held`; what stands at that very place counts if `same`."""
+    late = 0 if same else 2
+    none = F.lit(0 if how == "sum" else -1).cast("long")
+    moment = lambda place, order, i, w: F.struct(place.cast("long").alias("at"), F.lit(order).alias("order"), i.cast("long").alias("i"), w.cast("long").alias("w"))
+    every = F.concat(F.transform(asked, lambda x, i: moment(at(x), 1, i, none)), F.transform(held, lambda x, i: moment(of(x)[0], late, i, of(x)[1])))
+
+    def read(m: Column) -> Column:
+        found = F.zip_with(m, running(m, lambda x: x["w"], how), lambda x, v: F.struct(x["i"].alias("i"), x["order"].alias("order"), v.alias("v")))
+        return F.transform(F.sort_array(F.filter(found, lambda x: x["order"] == 1)), lambda x: x["v"])
+
+    return once(F.sort_array(every), read)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that none of the others overlaps: of those that start before a span's end, the furthest end isn't past its start."""
+    reach = at_moments(spans, others, lambda c: c["end"], lambda b: (b["start"], b["end"]), "max", False)
+    free = F.filter(F.zip_with(spans, reach, lambda c, r: F.struct(c.alias("c"), r.alias("r"))), lambda x: x["r"] <= x["c"]["start"])
+    return F.when(F.size(others) == 0, spans).otherwise(F.transform(free, lambda x: x["c"]))
+
+
+def strongest(spans: Column) -> Column:
+    """The spans (start, kind, end, margin) that no overlapping one beats by margin, then by start and kind, sorted.
+
+    In order of their starts, all that may overlap a span stand between the first whose running furthest end is past the
+    span's start and the last that starts before its end. Candidates have bounded lengths, so these are few.
+    """
+
+    def pick(s: Column) -> Column:
+        def within(ends: Column) -> Column:
+            before = at_moments(s, ends, lambda c: c["start"], lambda e: (e, F.lit(1)), "sum", True)
+            upto = at_moments(s, s, lambda c: c["end"], lambda o: (o["start"], F.lit(1)), "sum", False)
+            return F.zip_with(before, upto, lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")))
+
+        beats = lambda o, c: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (F.struct(o["margin"], -o["start"], -o["kind"]) > F.struct(c["margin"], -c["start"], -c["kind"]))
+        stays = lambda x: ~F.exists(F.slice(s, x["w"]["lo"] + 1, F.greatest(x["w"]["hi"] - x["w"]["lo"], F.lit(0))), lambda o: beats(o, x["c"]))
+        both = F.zip_with(s, once(running(s, lambda c: c["end"], "max"), within), lambda c, w: F.struct(c.alias("c"), w.alias("w")))
+        return F.transform(F.filter(both, stays), lambda x: x["c"])
+
+    return F.when(F.size(spans) < 2, spans).otherwise(once(F.sort_array(spans), pick))
+
+
 def _located(df: DataFrame) -> DataFrame:
     """Replaces `text` by a column for each pattern: its matches as array<struct<start, end, value, before, after>>.
 
@@ -74,17 +158,16 @@ def _located(df: DataFrame) -> DataFrame:
         has = NEEDS[name](text)
         cuts += [F.when(has, F.split(text, pattern, -1)).otherwise(none).alias(f"g_{name}"), F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"v_{name}")]
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["value"])
-        one = F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(24)).alias("before"), F.left(x["after"], F.lit(8)).alias("after"))
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
-
     def found(name: str) -> Column:
         gaps = F.col(f"g_{name}")
         zipped = F.arrays_zip(gaps.alias("gap"), F.col(f"v_{name}").alias("value"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS {MATCHES})").alias("out"))
-        every = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+        def placed(x: Column, end: Column) -> Column:
+            start = end - F.length(x["value"])
+            return F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(24)).alias("before"), F.left(x["after"], F.lit(8)).alias("after"))
+
+        ends = lambda z: running(z, lambda x: F.length(x["gap"]) + F.length(x["value"]), "sum")
+        every = once(F.filter(zipped, lambda x: x["value"].isNotNull()), lambda z: F.zip_with(z, ends(z), placed))
         return F.when(F.size(f"v_{name}") > 0, every).otherwise(F.expr(f"CAST(array() AS {MATCHES})"))
 
     return df.select(*others, *cuts).select(*others, *[found(n).alias(f"m_{n}") for n in PATTERNS])
@@ -126,7 +209,8 @@ def base() -> Column:
 FEATURES = ("kind", "digits", "length", "marks", "groups", "longest", "shortest", "parens", "luhn", "dots", "hyphens", "spaces", "cue", "against", "tight_before", "tight_after", "phone_shape", "card_shape", "date_shape", "at_bracket", "dot_word", "known_end", "colons", "hex_letter", "pair_shape")
 
 
-def _features(kind: str, x: Column) -> list[Column]:
+def features(x: Column) -> Column:
+    """The features of a candidate (start, kind, end, value, before, after), in the order of `FEATURES`."""
     v, before, after = x["value"], x["before"], x["after"]
 
     def flag(c: Column) -> Column:
@@ -137,8 +221,9 @@ def _features(kind: str, x: Column) -> list[Column]:
 
     digits = _digits(v)
     sizes = F.transform(F.filter(F.split(v, "[^0-9]+"), lambda g: F.length(g) > 0), lambda g: F.length(g))
-    return [
-        F.lit(float(KINDS.index(kind))),
+    cue = F.coalesce(*[F.when(x["kind"] == i, like(before, CUES[k])) for i, k in enumerate(KINDS)])
+    every = [
+        x["kind"].cast("double"),
         F.length(digits).cast("double"),
         F.length(v).cast("double"),
         F.length(F.regexp_replace(v, "[0-9A-Za-z]", "")).cast("double"),
@@ -150,7 +235,7 @@ def _features(kind: str, x: Column) -> list[Column]:
         like(v, r"[0-9]\.[0-9]"),
         like(v, "-"),
         like(v, " "),
-        like(before, CUES[kind]),
+        cue,
         like(before, AGAINST),
         like(before, r"[0-9A-Za-z@_/$€£#=.,-]$"),
         like(after, r"^[0-9A-Za-z@_/%€:-]|^[.,][0-9]"),
@@ -164,14 +249,15 @@ def _features(kind: str, x: Column) -> list[Column]:
         like(v, "[A-Fa-f]"),
         like(v, r"^\(?0[0-9](?:[ .-][0-9]{2}){4}$|^0[0-9]{2,4}[ /-][0-9]{5,8}$"),
     ]
+    return F.array(*every)
 
 
 def candidates() -> Column:
-    """What the further generators propose in a located text: array<struct<start, kind, end, f>>, f the features."""
+    """What the further generators propose in a located text: array<struct<start, kind, end, value, before, after>>."""
 
     def proposed(name: str, kind: str, fits) -> Column:
         ok = F.filter(f"m_{name}", lambda x: fits(x["value"]))
-        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), F.array(*_features(kind, x)).alias("f")))
+        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), *[x[c].alias(c) for c in ("value", "before", "after")]))
 
     return F.concat(
         proposed("written", "email", lambda v: ~F.regexp_like(v, F.lit(r"^[^ ]*[0-9A-Za-z._%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))),
@@ -241,7 +327,7 @@ def _model(spark: SparkSession) -> tuple[list[dict], list[float]]:
     part = F.split("line", "\t")
     rows = rows.select("n", part[0].cast("int").alias("y"), part[1].cast("int").alias("a"), part[2].cast("int").alias("b"), part[3].alias("text"))
     c = _located(rows).select("n", "y", "a", "b", F.explode(candidates()).alias("c")).where("c.end > a AND c.start < b")
-    got = sorted(c.select("n", (F.col("y") == 1) & (F.col("c.start") <= F.col("a")) & (F.col("c.end") >= F.col("b")), "c.kind", "c.f").collect(), key=lambda r: (r[0], r[2], tuple(r[3])))
+    got = sorted(c.select("n", (F.col("y") == 1) & (F.col("c.start") <= F.col("a")) & (F.col("c.end") >= F.col("b")), "c.kind", features(F.col("c"))).collect(), key=lambda r: (r[0], r[2], tuple(r[3])))
     x, y = np.array([r[3] for r in got]), np.array([float(r[1]) for r in got])
     kind = np.array([r[2] for r in got])
     # A candidate of another kind than what stands there is no finding.
@@ -270,13 +356,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     trees, cuts = _model(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _located(rows).select("id", base().alias("base"), candidates().alias("c"))
-    fresh = F.filter("c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    scored = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), (boosting.expression(trees, c["f"]) - F.element_at(F.array(*[F.lit(t) for t in cuts]), c["kind"] + 1)).alias("margin")))
-    rows = rows.select("id", F.array_sort("base").alias("base"), F.filter(scored, lambda c: c["margin"] > 0).alias("c"))
+    fresh = apart(F.col("c"), F.col("base"))
+    margin = lambda c: once(features(c), lambda f: boosting.expression(trees, f)) - F.element_at(F.array(*[F.lit(t) for t in cuts]), c["kind"] + 1)
+    scored = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), margin(c).alias("margin")))
+    rows = rows.select("id", F.sort_array("base").alias("base"), F.filter(scored, lambda c: c["margin"] > 0).alias("c"))
     # Of overlapping findings the one furthest above its threshold stays.
-    best = F.filter("c", lambda c: ~F.exists("c", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (F.struct(o["margin"], -o["start"], -o["kind"]) > F.struct(c["margin"], -c["start"], -c["kind"]))))
+    best = strongest(F.col("c"))
     added = F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return rows.select("id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return rows.select("id", "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
