@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from marlstone.llm.quality import BASE, BYTE, inverse, powers, prefix
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+#: Steps of the search for fewer sequences, unless a caller asks for other ones or for a proof.
+EFFORT = 5_000
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------------
@@ -218,7 +221,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 @dataclass
 class Plan:
     """Entry i places the pieces of `length[i]` with rank from `first[i]` on: `each[i]` to a sequence, from sequence
-    `sequence[i]` and offset `offset[i]` on. Entries are ordered by length and rank. No packing has fewer sequences than
+    `sequence[i]` and offset `offset[i]` on, in `times[i]` sequences. Entries are ordered by length and rank. No packing has fewer sequences than
     `bound`; proved: nor fewer than this one."""
 
     sequences: int = 0
@@ -229,13 +232,15 @@ class Plan:
     each: list[int] = field(default_factory=list)
     sequence: list[int] = field(default_factory=list)
     offset: list[int] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """No packing of counts[x] pieces of each length x takes fewer sequences.
 
     For every k: pieces above capacity - k stand alone, those above half the capacity each begin a sequence, and what
-    pieces from k on don't find room beside those needs more of them.
+    pieces from k on don't find room beside those needs more of them. Also, at most capacity // k pieces of length k or
+    more fit a sequence, and lengths may be rounded by any function that no filled sequence exceeds (`_rounded`).
     """
     x = np.arange(capacity + 1)
     n, total = np.cumsum(counts), np.cumsum(counts * x)
@@ -244,7 +249,20 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     alone_or_first = n[capacity] - n[half]
     beside = (n[under] - n[half]) * capacity - (total[under] - total[half])
     small = total[half] - np.where(k > 0, total[k - 1], 0)
-    return int(alone_or_first + max(0, int((-((beside - small) // capacity)).max())))
+    by_halves = int(alone_or_first + max(0, int((-((beside - small) // capacity)).max())))
+    longer = (n[capacity] - n)[:-1]  # pieces above k - 1, for k from 1 on
+    by_number = int((-(-longer // (capacity // x[1:]))).max()) if capacity else 0
+    scale, weights = _rounded(capacity)
+    return max(by_halves, by_number, int((-(-(weights @ counts) // scale)).max()))
+
+
+@lru_cache(maxsize=8)
+def _rounded(capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For p from 1 to 48: what a full sequence weighs, and the weight of each length: (p + 1) parts of the capacity, rounded
+    down, count as p, and a length of whole parts counts as it is."""
+    p, x = np.arange(1, 49)[:, None], np.arange(capacity + 1)[None, :]
+    parts = (p + 1) * x
+    return (p * capacity)[:, 0], np.where(parts % capacity == 0, p * x, parts // capacity * capacity).astype(np.int64)
 
 
 class _Shelf:
@@ -389,7 +407,7 @@ def _choices(shelf: _Shelf, capacity: int, branches: int, effort: _Effort):
             yield per, times
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int | None = 5_000, branches: int = 400) -> Plan:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int | None = EFFORT, branches: int = 400) -> Plan:
     """A packing of the histogram of lengths.
 
     effort: steps of the search after the first packing; None: until it is proved to be a best one, which may take long.
@@ -431,7 +449,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int | Non
         steps.pop()
         apply(per, times, -1)
         used, left = used - times, left + times * sum(per.values())
-    plan = Plan(bound=bound, proved=not steps_left.gone)
+    plan = Plan(bound=bound, proved=least <= bound or not steps_left.gone)
     taken = [0] * (capacity + 1)
     for per, times in best:
         offset = 0
@@ -441,22 +459,31 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, effort: int | Non
             plan.each.append(k)
             plan.sequence.append(plan.sequences)
             plan.offset.append(offset)
+            plan.times.append(times)
             offset += k * x
             taken[x] += k * times
         plan.sequences += times
     order = np.lexsort((plan.first, plan.length))
-    for name in ("length", "first", "each", "sequence", "offset"):
+    for name in ("length", "first", "each", "sequence", "offset", "times"):
         setattr(plan, name, np.array(getattr(plan, name), np.int64)[order])
     return plan
 
 
-def place(rows: DataFrame, length_col: str = "length", id_cols: tuple[str, ...] = ("id", "piece"), capacity: int = CAPACITY) -> DataFrame:
-    """The rows with `sequence_id` and `offset`; lengths from 1 to the capacity. Call it on a table that stays as it is."""
-    histogram = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}  # at most `capacity` rows
-    plan = solve(histogram, capacity)
-    span = 1 + max(histogram.values(), default=0)
+def plan_of(rows: DataFrame, length_col: str = "length", capacity: int = CAPACITY, effort: int | None = EFFORT) -> Plan:
+    """How to pack the pieces of a table: at most `effort` steps of search (None: to proof), with the bound that it was held
+    against and whether it is proved to be a best one."""
+    return solve({r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}, capacity, effort)  # at most `capacity` rows
+
+
+def place(rows: DataFrame, length_col: str = "length", id_cols: tuple[str, ...] = ("id", "piece"), capacity: int = CAPACITY, effort: int | None = EFFORT, plan: Plan | None = None) -> DataFrame:
+    """The rows with `sequence_id` and `offset`; lengths from 1 to the capacity. Call it on a table that stays as it is.
+
+    plan: that of the same rows, where the caller has looked at it; `effort` is that of `plan_of`."""
+    plan = plan_of(rows, length_col, capacity, effort) if plan is None else plan
+    held = np.bincount(plan.length, plan.each * plan.times, capacity + 1).astype(np.int64) if len(plan.length) else np.zeros(1, np.int64)
+    span = 1 + int(held.max())
     keys = plan.length * span + plan.first if len(plan.length) else np.empty(0, np.int64)
-    salts = max(16, sum(histogram.values()) // 200_000)
+    salts = max(16, int(held.sum()) // 200_000)
     order = [c for c in rows.columns if c != length_col]
     salt = F.pmod(F.xxhash64(*id_cols), F.lit(salts))
     ranked = spread_rank(rows, [length_col], [c for c in order if c not in ("ids",)], salt, into="_rank")
@@ -474,9 +501,9 @@ def place(rows: DataFrame, length_col: str = "length", id_cols: tuple[str, ...]
     return ranked.mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Pieces of the texts with their places; one row per piece."""
-    return place(cut(pieces(df, id_col, text_col, capacity, path=path)), capacity=capacity).withColumnRenamed("id", id_col)
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, effort: int | None = EFFORT) -> DataFrame:
+    """Pieces of the texts with their places; one row per piece. `effort`: steps of the search, None to proof."""
+    return place(cut(pieces(df, id_col, text_col, capacity, path=path)), capacity=capacity, effort=effort).withColumnRenamed("id", id_col)
 
 
 def op4_packing(spark, sf_dir):

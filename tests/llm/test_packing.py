@@ -111,3 +111,26 @@ def test_colliding_hashes():
     for texts in ([x, f"{y} {x} {y}"], [y, x], [f"{x} end"]):
         for t, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
             assert ids.tolist() == brute(t)[:-1]
+
+
+def test_bounds_hold_and_prove():
+    rng = random.Random(12)
+    assert packing.solve({3: 1_000_000}).proved and packing.solve({3: 1_000_000}).bound == 1467
+    assert packing.solve({700: 400}, effort=0).proved  # two to a sequence, whatever the lengths add up to
+    for _ in range(300):
+        capacity = rng.choice([7, 10, 12])
+        items = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 9))]
+        counts = np.bincount(items, minlength=capacity + 1).astype(np.int64)
+        assert packing.lower_bound(counts, capacity) <= fewest(items, capacity)
+
+
+def test_plan_and_effort_reach_the_operator(spark):
+    rng = random.Random(13)
+    rows = spark.createDataFrame([(i, 0, rng.randint(200, 1100)) for i in range(60)], "id long, piece int, length int").cache()
+    rows = rows.select("id", "piece", rows.length.cast("long").alias("length"))
+    plan = packing.plan_of(rows, effort=None)
+    out = packing.place(rows, plan=plan).collect()
+    assert plan.proved and plan.bound <= plan.sequences == len({r.sequence_id for r in out}) and len(out) == 60
+    assert packing.place(rows, effort=None).select("sequence_id").distinct().count() == plan.sequences
+    docs = spark.createDataFrame([(1, "a few words"), (2, "more of them here"), (3, None)], "doc_id long, text string")
+    assert packing.pack(docs, effort=None).count() == 3
