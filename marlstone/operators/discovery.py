@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.urls import candidate, host
 from marlstone.operators.sequence import first_seen
 
 REASONS = ("invalid_url", "url_pattern", "missing_title", "missing_location", "missing_date", "past_date")
@@ -25,6 +28,50 @@ def prefilter_reason(url: Column, title: Column, location: Column, date: Column,
     )
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What a candidate must have for one purpose; `past`: whether dates before today are taken."""
+
+    urls: str
+    hosts: str = ".+"
+    title: bool = True
+    date: bool = False
+    location: bool = False
+    past: bool = False
+
+
+#: The profiles' patterns, requirements and policies for past dates.
+PROFILES = {
+    "events": Profile("^https?://"),
+    "training": Profile("(?i)^https?://[^?#]*(training|course|learn|academy|workshop|bootcamp|webinar)", date=True),
+    "conferences": Profile("(?i)^https?://[^?#]*(conference|congress|summit|symposium|forum|annual-meeting)", date=True, location=True),
+    "announcements": Profile("(?i)^https?://[^?#]*(announce|news|notice|press|media)", past=True),
+}
+
+
+def candidate_day(raw: Column) -> Column:
+    """The moment of a date alone or of a whole timestamp with its offset; null for anything else."""
+    day = F.when(F.regexp_like(raw, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.concat(raw, F.lit("T00:00:00Z")))
+    return F.try_to_timestamp(F.coalesce(day, F.when(F.regexp_like(raw, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")), raw)))
+
+
+def profile_reasons(candidates: DataFrame, today: str, url: str = "url", title: str = "title", location: str = "location", date: str = "date") -> DataFrame:
+    """The rows, once for each of `PROFILES`, with `profile`, `canonical` and `reason`: why the profile drops the candidate, by the
+    first thing that fails, null if it takes it. Texts of blanks are missing; today is a date in UTC."""
+    some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    now = F.lit(f"{today}T00:00:00Z").cast("timestamp")
+    rows = candidates.withColumn("canonical", candidate(F.col(url))).withColumn("_at", candidate_day(F.trim(date)))
+
+    def why(p: Profile) -> Column:
+        admitted = F.regexp_like("canonical", F.lit(p.urls)) & F.regexp_like(host(F.col("canonical")), F.lit(p.hosts))
+        out = F.when(F.col("canonical").isNull(), "invalid_url").when(~F.coalesce(admitted, F.lit(False)), "url_pattern")
+        out = out.when(F.lit(p.title) & ~some(title), "missing_title").when(F.lit(p.location) & ~some(location), "missing_location")
+        return out.when(F.lit(p.date) & F.col("_at").isNull(), "missing_date").when(F.lit(not p.past) & (F.col("_at") < now), "past_date")
+
+    each = F.array(*[F.struct(F.lit(n).alias("profile"), why(p).alias("reason")) for n, p in PROFILES.items()])
+    return rows.select(*candidates.columns, "canonical", F.explode(each).alias("_p")).select(*candidates.columns, "canonical", "_p.profile", "_p.reason")
+
+
 def histogram(df: DataFrame, by: list[str], col: str, values: tuple[str, ...]) -> DataFrame:
     """A count column per value of a fixed list, and `total`."""
     counts = [F.count_if(F.col(col) == v).alias(v) for v in values]

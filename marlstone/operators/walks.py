@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import web
+from marlstone.functions.urls import slug
 from marlstone.operators.sequence import before_run, first_seen, folded
 from marlstone.session import cut
 
@@ -68,6 +70,24 @@ def preferred(first: DataFrame, other: DataFrame, by: str) -> DataFrame:
     return first.unionByName(other.join(first.select(by), by, "left_anti").select(*first.columns))
 
 
+#: Fixed value: which parts of a sitemap index hold exhibitions.
+SHARDS = r"/wp-sitemap-posts-exhibitions-[0-9]+\.xml$"
+
+
+def sitemap_refs(index: DataFrame, shards: DataFrame, site: str, source: str, pattern: str = SHARDS) -> DataFrame:
+    """(site, event_id, url) of the pages that the sitemaps of each site name, the first of each id.
+
+    index: (site, xml), shards: (url, status, xml). Only parts that match `pattern` are read, in the index's order; one that
+    is missing, not of status 200 or no url set is passed over. A site whose index names no such part has no rows; so the
+    caller can tell it from one whose parts are empty by the index.
+    """
+    named = index.select(site, F.posexplode(web.sitemap(F.col("xml"))["locs"]).alias("_i", "_shard")).where(F.regexp_like("_shard", F.lit(pattern)))
+    read = shards.where("status = 200").select(F.col("url").alias("_shard"), web.sitemap(F.col("xml")).alias("_s")).where("_s.kind = 'urlset'")
+    locs = named.join(read, "_shard").select(site, "_i", F.posexplode("_s.locs").alias("_j", "url"))
+    refs = locs.withColumn("event_id", F.concat(F.lit(f"{source}-"), slug(F.col("url")))).where("event_id IS NOT NULL")
+    return first_seen(refs, [site, "event_id"], ["_i", "_j"]).select(site, "event_id", "url")
+
+
 def edges(docs: DataFrame) -> DataFrame:
     """(url, dst, kind, depth, candidate) for each link of fetched documents (url, route, depth, links).
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.functions import hashing, web
-from marlstone.operators import search
+from marlstone.functions import text as T
+from marlstone.operators import keyset, render, search, walks
 from marlstone.plans.registry import Registry
 from marlstone.session import shared_dir
 from marlstone.sources import connector, venues
@@ -176,3 +177,58 @@ def canonical_sources(spark, d):
     one = lambda url, kind, by, at: F.struct(url.alias("url"), F.lit(kind).alias("type"), by.alias("publisher"), F.lit(at).alias("retrieved_at"))
     a = F.array(one(u, "venue", F.col("s_name"), "1"), one(u, "organizer", F.lit(" p \t q "), "2"), one(F.concat(u, F.lit(" ")), "venue", F.col("s_name"), "3"), one(F.concat(F.lit("https://a.org/"), F.col("s_nationkey").cast("string")), "venue", F.lit("x"), "4"))
     return table(spark, d, "supplier").select("s_suppkey", hashing.canonical_sources(a).alias("sources"))
+
+
+@query(
+    "sitemap_refs",
+    """WITH p AS (SELECT page_id // 40 AS site, page_id // 8 % 5 AS s, page_id, 'e' || page_id % 30 AS slug FROM pages)
+    SELECT site, 'coex-' || slug AS event_id, 'https://www.venue.org/exhibitions/' || slug || '/' AS url FROM p WHERE (site + s) % 4 <> 0 AND (site + s) % 5 <> 1 GROUP BY ALL""",
+)
+def sitemap_refs(spark, d):
+    """Sitemaps of a site for every forty pages, in five parts, of which some are missing or broken."""
+    k = F.col("page_id")
+    p = table(spark, d, "pages").select("page_id", F.floor(k / 40).alias("site"), (F.floor(k / 8) % 5).alias("s"), F.concat(F.lit("https://www.venue.org/exhibitions/e"), (k % 30).cast("string"), F.lit("/")).alias("loc"))
+    listed = lambda tag, inner, locs: F.concat(F.lit(f"<{tag}>"), F.array_join(F.transform(F.array_sort(locs), lambda x: F.concat(F.lit(f"<{inner}><loc> "), x["loc"], F.lit(f"</loc></{inner}>"))), ""), F.lit(f"</{tag}>"))
+    at = F.format_string("https://www.venue.org/%d/wp-sitemap-posts-exhibitions-%d.xml", "site", "s")
+    shards = p.groupBy("site", "s").agg(listed("urlset", "url", F.collect_list(F.struct("page_id", "loc"))).alias("xml")).withColumn("url", at)
+    other = F.array(F.struct(F.lit(99).cast("long").alias("s"), F.lit("https://www.venue.org/wp-sitemap-posts-page-1.xml").alias("loc")))
+    index = shards.groupBy("site").agg(listed("sitemapindex", "sitemap", F.concat(F.collect_list(F.struct("s", F.col("url").alias("loc"))), other)).alias("xml"))
+    n = F.col("site") + F.col("s")
+    fetched = shards.select("url", F.when(n % 4 == 0, 404).otherwise(200).alias("status"), F.when(n % 5 == 1, "<html>").otherwise(F.col("xml")).alias("xml"))
+    return walks.sitemap_refs(index, fetched, "site", "coex")
+
+
+_MD = r"""replace(regexp_replace({c}, '([\\`|*_\[\]()<>&])', '\\\1', 'g'), chr(10), ' ')"""
+
+
+@query(
+    "markdown_page",
+    rf"""WITH p AS (SELECT event_id, {_MD.format(c='event_type')} AS kind, {_MD.format(c='props')} AS props, row_number() OVER (ORDER BY ts, event_id) AS r FROM events QUALIFY r <= 20),
+    f AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+    SELECT 'category_counts: ' || (SELECT string_agg(event_type || ' ' || n, ', ' ORDER BY event_type) FROM f) || chr(10) || chr(10) || '| id | kind | props |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || event_id || ' | ' || kind || ' | ' || props || ' |' || chr(10), '' ORDER BY r) AS body FROM p""",
+)
+def markdown_page(spark, d):
+    events, spec = table(spark, d, "events"), keyset.PageSpec(["ts", "event_id"])
+    p = keyset.trimmed(keyset.page(events, spec), spec)
+    counts = events.groupBy("event_type").agg(F.count("*").alias("n")).select(F.col("event_type").alias("ord"), F.col("event_type").alias("name"), "n")
+    return render.markdown_page(p, {"id": F.col("event_id").cast("string"), "kind": T.md_text(F.col("event_type")), "props": T.md_text(F.col("props"))}, "page_pos", counts)
+
+
+@query(
+    "markdown_detail",
+    rf"""SELECT p_partkey, '| field | value |' || chr(10) || '| --- | --- |' || chr(10) || '| name | ' || {_MD.format(c='p_name')} || ' |' || chr(10) || '| brand | ' || CASE WHEN p_partkey % 2 = 0 THEN {_MD.format(c='p_brand')} ELSE '' END || ' |' || chr(10) AS body FROM part""",
+)
+def markdown_detail(spark, d):
+    cols = {"name": T.md_text(F.col("p_name")), "brand": F.when(F.col("p_partkey") % 2 == 0, T.md_text(F.col("p_brand")))}
+    return table(spark, d, "part").select("p_partkey", render.markdown_detail(cols).alias("body"))
+
+
+@query(
+    "next_page_urls",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '/api/v1/events?' || CASE WHEN c_custkey % 2 = 0 THEN 'category=a+b%26c&' ELSE '' END || 'cursor=' || replace(c_mktsegment, ' ', '+') || '-' || c_custkey || '&limit=20' END AS url FROM customer""",
+)
+def next_page_urls(spark, d):
+    k = F.col("c_custkey")
+    cursor = F.when(k % 5 != 0, F.concat_ws("-", "c_mktsegment", k.cast("string"))).otherwise("")
+    url = render.next_page(F.lit("/api/v1/events"), {"limit": F.lit("20"), "category": F.when(k % 2 == 0, "a b&c")}, cursor)
+    return table(spark, d, "customer").select("c_custkey", url.alias("url"))

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from marlstone.functions.urls import host, resolve, slug
-from marlstone.operators import walks
+from marlstone.operators import discovery, walks
+from marlstone.operators.discovery import PROFILES
 from marlstone.plans.registry import Registry
 from marlstone.sources import venues
 from marlstone.sources.tables import table
@@ -15,14 +16,8 @@ from marlstone.sources.tables import table
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-#: Paths of a schedule and of exhibitions, and the addresses that each discovery profile admits.
+#: Paths of a schedule and of exhibitions.
 SCHEDULE, EXHIBITIONS = "event/full-schedules", "exhibitions/"
-PROFILES = {
-    "events": "^https?://",
-    "training": "^https?://[^?#]*(training|course|learn|academy|workshop|bootcamp|webinar)",
-    "conferences": "^https?://[^?#]*(conference|congress|summit|symposium|forum|annual-meeting)",
-    "announcements": "^https?://[^?#]*(announce|news|notice|press|media)",
-}
 
 
 @query(
@@ -101,14 +96,38 @@ def schedule_links(spark, d):
 URL_SQL = "url || (['', '/training/x', '/press', '/forum?a=news', '/en/Summit'])[page_id % 5 + 1]"
 
 
-@query("discovery_profiles", " UNION ALL ".join(f"SELECT page_id, '{n}' AS profile FROM (SELECT page_id, {URL_SQL} AS u FROM pages) WHERE regexp_matches(u, '(?i){p}')" for n, p in PROFILES.items()))
+@query("discovery_profiles", " UNION ALL ".join(f"SELECT page_id, '{n}' AS profile FROM (SELECT page_id, {URL_SQL} AS u FROM pages) WHERE regexp_matches(u, '{p.urls}')" for n, p in PROFILES.items()))
 def discovery_profiles(spark, d):
     more = F.element_at(F.array(*map(F.lit, ["", "/training/x", "/press", "/forum?a=news", "/en/Summit"])), (F.col("page_id") % 5 + 1).cast("int"))
     p = table(spark, d, "pages").select("page_id", F.concat("url", more).alias("u"))
-    admitted = F.array_compact(F.array(*[F.when(F.col("u").rlike(f"(?i){x}"), F.lit(n)) for n, x in PROFILES.items()]))
+    admitted = F.array_compact(F.array(*[F.when(F.col("u").rlike(x.urls), F.lit(n)) for n, x in PROFILES.items()]))
     return p.select("page_id", F.explode(admitted).alias("profile"))
 
 
+_CANDIDATE = f"""SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'ftp://' || page_id WHEN page_id % 11 = 0 THEN 'https://localhost/x' ELSE {URL_SQL} END AS u, CASE WHEN page_id % 7 <> 0 THEN 't' ELSE ' ' END AS title, CASE WHEN page_id % 3 <> 0 THEN 'Seoul' END AS location,
+    CASE page_id % 4 WHEN 0 THEN '2026-0' || (page_id % 9 + 1) || '-01' WHEN 1 THEN '2026-06-01T0' || (page_id % 9) || ':00:00+05:00' WHEN 2 THEN 'soon' END AS date FROM pages"""
+_AT = "CASE WHEN regexp_matches(date, '^[0-9-]{10}$') THEN date || 'T00:00:00Z' WHEN date <> 'soon' THEN date END::TIMESTAMPTZ"
+
+
+def _profile_sql() -> str:
+    parts = []
+    for n, p in PROFILES.items():
+        need = [f"WHEN page_id % 13 = 0 OR page_id % 11 = 0 THEN 'invalid_url' WHEN NOT regexp_matches(u, '{p.urls}') THEN 'url_pattern' WHEN trim(title) = '' THEN 'missing_title'"]
+        need += ["WHEN location IS NULL THEN 'missing_location'"] * p.location + ["WHEN moment IS NULL THEN 'missing_date'"] * p.date + ["WHEN moment < TIMESTAMPTZ '2026-06-01 00:00:00Z' THEN 'past_date'"] * (not p.past)
+        parts.append(f"SELECT page_id, '{n}' AS profile, CASE {' '.join(need)} END AS reason FROM c")
+    return f"WITH c AS (SELECT *, {_AT} AS moment FROM ({_CANDIDATE})) " + " UNION ALL ".join(parts)
+
+
+@query("profile_reasons", _profile_sql())
+def profile_reasons(spark, d):
+    k = F.col("page_id")
+    more = F.element_at(F.array(*map(F.lit, ["", "/training/x", "/press", "/forum?a=news", "/en/Summit"])), (k % 5 + 1).cast("int"))
+    url = F.when(k % 13 == 0, F.concat(F.lit("ftp://"), k.cast("string"))).when(k % 11 == 0, "https://localhost/x").otherwise(F.concat("url", more))
+    date = F.when(k % 4 == 0, F.format_string("2026-0%d-01", k % 9 + 1)).when(k % 4 == 1, F.format_string("2026-06-01T0%d:00:00+05:00", k % 9)).when(k % 4 == 2, "soon")
+    rows = table(spark, d, "pages").select("page_id", url.alias("url"), F.when(k % 7 != 0, "t").otherwise(" ").alias("title"), F.when(k % 3 != 0, "Seoul").alias("location"), date.alias("date"))
+    return discovery.profile_reasons(rows, "2026-06-01").select("page_id", "profile", "reason")
+
+
 @query(
     "crawl_edges",
     """SELECT page_id, dst, kind, depth, kind NOT IN ('sitemap', 'feed') AS candidate FROM (SELECT page_id, unnest([url || '/a', url || '/b']) AS dst, unnest(CASE WHEN page_id % 3 = 0 THEN ['sitemap', 'sitemap'] ELSE ['auto', (['feed', 'html', 'sitemap'])[page_id % 3 + 1]] END) AS kind, page_id % 2 + 1 AS depth FROM pages)""",
