@@ -149,9 +149,12 @@ def showala_listing(spark, d):
     return venues.listing(html, "page", "html").withColumn("here", venues.at_kintex(F.col("venue")))
 
 
-@F.pandas_udf("binary")
-def _zipped(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else gzip.compress(x, 1, mtime=0))
+def _zipped(c: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else gzip.compress(x, 1, mtime=0))
+
+    return run(c)
 
 
 @query(
