@@ -141,9 +141,15 @@ def crawl_edges(spark, d):
     return walks.edges(docs).withColumnRenamed("url", "page_id")
 
 
-@query("candidate_slots")
+@query(
+    "candidate_slots",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 6 = 0 AS seed, event_type <> 'click' AS candidate, (event_id % 6 = 1)::INT AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+    f AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS r, 0 AS n, 0 AS done, NULL::BOOLEAN AS stored FROM e UNION ALL
+    SELECT e.user_id, e.event_id, e.r, f.n + coalesce(x.stored::INT, 0), f.done + e.outcome, x.stored FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1,
+    LATERAL (SELECT CASE WHEN e.candidate THEN f.n < CASE WHEN e.seed THEN 30 ELSE 30 - greatest(4 - f.done - e.outcome, 0) END END AS stored) x)
+    SELECT user_id, event_id, stored FROM f WHERE r > 0""",
+)
 def candidate_slots(spark, d):
-    """No SQL: whether a step is stored follows from the steps before it."""
     k = F.col("event_id")
     kind = F.col("event_type")
     steps = table(spark, d, "events").select("user_id", "event_id", (k % 6 == 0).alias("seed"), (kind != "click").alias("candidate"), (k % 6 == 1).alias("outcome"))
