@@ -3,7 +3,7 @@ r"""Chat formatting by event sourcing, in DataFrame operations only.
 A log holds a conversation's events in sequence: `message` opens one, `delta` adds to the text of the one opened last,
 `regenerate` starts it anew, and `edit` sets the text of the one whose number it names. `numbered` finds each event's
 message by counting what was opened before it in its conversation's sequence; the count is taken in stretches of the
-sequence, so a long conversation is many tasks. `fold` then folds each message's events in sequence: only what follows
+sequence, so a long conversation is many tasks, or, where a conversation has to come together anyway, in one go. `fold` then folds each message's events in sequence: only what follows
 the last event that sets the text counts. Messages become segments of a template, `<turn>role\ntext</turn>\n`, with a
 loss mask of the byte ranges of assistants' texts in the formatted conversation. In texts and roles `\` becomes `\\` and
 the `<` of a control string `\l`; a newline in a role becomes `\n`. Every escape begins with a backslash that no other
@@ -27,9 +27,14 @@ SETS = ("message", "edit", "regenerate")
 STRETCH = 1 << 12
 
 
-def numbered(events: DataFrame, conv: str = "conv_id", order: str = "seq", target: str = "target") -> DataFrame:
-    """Adds `number`: which of the conversation's messages an event is about, from 1 on; 0 before the first is opened."""
+def numbered(events: DataFrame, conv: str = "conv_id", order: str = "seq", target: str = "target", together: bool = False) -> DataFrame:
+    """Adds `number`: which of the conversation's messages an event is about, from 1 on; 0 before the first is opened.
+
+    together: a conversation is counted in one go, where what follows needs it in one task in any case."""
     opens = (F.col("kind") == "message").cast("long")
+    if together:
+        so_far = F.sum(opens).over(Window.partitionBy(conv).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return events.withColumn("number", F.coalesce(F.col(target).cast("long"), so_far))
     stretch = F.coalesce(F.floor(F.col(order) / STRETCH), F.lit(-1))
     counted = spread_rank(events, [conv], [order], stretch, weight=opens, into="number")
     return counted.withColumn("number", F.coalesce(F.col(target).cast("long"), F.col("number") + opens))
@@ -95,14 +100,18 @@ def loss_texts(raw: Column, mask: Column) -> Column:
     return F.transform(mask, lambda m: unescaped(F.substring(raw, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")).cast("string")))
 
 
-def streamed(rows: DataFrame) -> DataFrame:
+def streamed(rows: DataFrame, together: bool = False) -> DataFrame:
     """A log in which the messages of (conv_id, turn, role, text) come about by every kind of event.
 
     An assistant's is opened, gets half of its text, is edited, begun anew, and streamed in three deltas; any other's is
-    opened with half of its text, begun anew, streamed, and edited into its own words after the next messages.
+    opened with half of its text, begun anew, streamed, and edited into its own words after the next messages. together: as
+    in `numbered`.
     """
     turn = F.coalesce(F.floor(F.col("turn") / 256), F.lit(-(1 << 31)))
-    i = spread_rank(rows, ["conv_id"], ["turn", "role", "text"], turn, into="_i")
+    if together:
+        i = rows.withColumn("_i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") - 1)
+    else:
+        i = spread_rank(rows, ["conv_id"], ["turn", "role", "text"], turn, into="_i")
     half, third = F.ceil(F.length("text") / 2), F.ceil(F.length("text") / 3)
     part = lambda k: F.substr("text", (third * k + 1).cast("int"), third.cast("int"))
     said, first = F.col("role") == LOSS_ROLE, F.left("text", half.cast("int"))
@@ -121,11 +130,13 @@ def _log(spark, sf_dir) -> DataFrame:
     """The log of the table's conversations and the one of control strings."""
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
     control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
-    return streamed(table(spark, sf_dir, "conversations").select(*cols).union(control))
+    return streamed(table(spark, sf_dir, "conversations").select(*cols).union(control), together=True)
 
 
 def op2_chat(spark, sf_dir):
-    chats = conversations(fold(numbered(_log(spark, sf_dir)), ["conv_id", "number"]))
+    """A row for each conversation, so its log comes together in one task: the texts are shuffled once, by conversation, and what
+    follows (counting, folding, formatting) finds them where they are."""
+    chats = conversations(fold(numbered(_log(spark, sf_dir), together=True), ["conv_id", "number"]))
     raw = F.col("formatted").cast("binary")
     read = chats.select("conv_id", parsed(F.col("formatted")).alias("turns"), F.array_join(loss_texts(raw, F.col("mask")), "").alias("lost"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

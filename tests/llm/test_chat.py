@@ -33,7 +33,12 @@ def test_round_trip(spark):
     again = chat.conversations(chat.fold(chat.numbered(streamed), ["conv_id", "number"]))
     turns = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in again.select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()}
     assert turns == {c: [(t.role, t.text) for t in r.turns] for c, r in got.items()}
-    assert chat.numbered(streamed.limit(0)).count() == 0
+    once = chat.streamed(df.select("conv_id", "turn", *blank), together=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, streamed.collect()))
+    assert sorted(map(str, chat.numbered(once, together=True).select(*once.columns, "number").collect())) == sorted(map(str, chat.numbered(streamed).select(*once.columns, "number").collect()))
+    plan = chat.conversations(chat.fold(chat.numbered(once, together=True), ["conv_id", "number"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert chat.numbered(streamed.limit(0)).count() == 0 == chat.numbered(once.limit(0), together=True).count()
 
 
 def test_fold(spark):
