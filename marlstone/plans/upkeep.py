@@ -128,3 +128,13 @@ def observed_counts(spark, d):
     stored = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
     counts = ingest.add_missing(stored, table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"], F.col("o_orderstatus") != "P", folder(spark, "added"))
     return spark.createDataFrame([counts], "raw long, dropped long, repeated long, added long")
+
+
+@query("stream_ingest_buckets", "SELECT event_id, user_id, event_type, 'new' AS update_state FROM events")
+def stream_ingest_buckets(spark, d):
+    """As `stream_ingest_available_now`, into a store of which a batch touches its own buckets only."""
+    store = upkeep.keyed(spark, folder(spark, "keyed"), "event_id", {"event_id": "long", "user_id": "long", "event_type": "string"}, 16)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    upkeep.merge_stream(stream, store, "event_id", ["user_id", "event_type"], "ts", "2026-01-01", buckets=16)
+    return store.read().select("event_id", "user_id", "event_type", "update_state")

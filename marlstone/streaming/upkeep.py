@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import breaker, merge
 from marlstone.operators.election import reelect
-from marlstone.session import cut
+from marlstone.session import cut, shared_dir
+from marlstone.streaming import ingest
 from marlstone.streaming.slices import Slices
 
 BUCKETS = 64
@@ -71,6 +74,31 @@ def commit_sources(store: Slices, batch: DataFrame, report: DataFrame, key: str,
     return why
 
 
+def keyed(spark: SparkSession, folder: str, key: str, fields: dict[str, str], buckets: int = BUCKETS) -> Slices:
+    """A store of snapshots (`merge.snapshot`) filed by their key; fields: types by name, the key's with them."""
+    cols = ", ".join(f"{f} {t}" for f, t in fields.items())
+    return Slices(spark, folder, f"{cols}, content_hash string, created_at string, updated_at string, last_checked_at string, update_state string", _bucket(key, buckets))
+
+
+def merge_stream(stream: DataFrame, store: Slices, key: str, fields: list[str], order: str, now: str, checkpoint: str | None = None, buckets: int = BUCKETS) -> None:
+    """Merges a stream into a store of `keyed`, batch by batch, as `ingest.merge_stream` does with whole versions; a batch
+    reads and writes the buckets of its own keys only, so a small one costs little however large the store is.
+
+    The checkpoint's folder names the stream, so that its micro-batches are known again after a restart.
+    """
+    folder = checkpoint or f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        before, version = store.place(folder, number)
+        inc = cut(merge.hashed(merge.latest(batch, key, order).select(key, *fields), fields))
+        touched = [r[0] for r in inc.select(_bucket(key, buckets)).distinct().collect()]  # at most `buckets`
+        if touched:
+            both = merge.joined(store.read(touched, before), inc, key)
+            store.publish(merge.snapshot(both, key, fields, F.lit(now), F.lit(now)), {b: {} for b in touched}, version, folder, number)
+
+    ingest.drain(stream, each, folder)
+
+
 def sources(spark: SparkSession, folder: str, key: str, source: str, fields: dict[str, str]) -> Slices:
     """A store sliced by source, of (key, source, fields, content_hash, times, update_state); fields: their types by name."""
     own = ", ".join([f"{key} string", f"{source} string", *(f"{f} {t}" for f, t in fields.items())])

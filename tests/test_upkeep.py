@@ -72,3 +72,20 @@ def test_a_source_that_stops_midway_keeps_rows_and_counts(spark, tmp_path):
     assert commit(4, rows("b", 6, "3"), [("b", 6, True)]) == {"b": None}
     assert store.read(["b"]).where("v = '3'").count() == 6 and store.read(["b"]).count() == 10
     assert commit(5, [], []) == {}
+
+
+def test_a_stream_touches_its_own_buckets(spark, tmp_path):
+    source, at = str(tmp_path / "in"), str(tmp_path / "at")
+    store = upkeep.keyed(spark, str(tmp_path / "s"), "id", {"id": "long", "v": "string"}, 8)
+
+    def drain(rows):
+        spark.createDataFrame(rows, "id long, v string, ts long").coalesce(1).write.mode("append").parquet(source)
+        before = store.current()
+        upkeep.merge_stream(spark.readStream.schema("id long, v string, ts long").parquet(source), store, "id", ["v"], "ts", "t", at, 8)
+        return [b for b, v in store.current().items() if before.get(b) != v]
+
+    assert len(drain([(i, "a", 0) for i in range(100)])) == 8
+    assert len(drain([(5, "b", 1), (5, "c", 2)])) == 1
+    assert len(drain([(5, "c", 3), (6, "x", 3), (100, "n", 3)])) <= 3
+    got = {r.id: (r.v, r.update_state) for r in store.read().collect()}
+    assert len(got) == 101 and got[5] == ("c", "unchanged") and got[6] == ("x", "updated") and got[100] == ("n", "new") and got[7] == ("a", "new")
