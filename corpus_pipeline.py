@@ -54,11 +54,32 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each one's table is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _written(spark: SparkSession, at: str) -> bool:
+    """Whether a stage's table is there as a whole: Spark marks it at its end."""
+    system, path = _path(spark, f"{at}/_SUCCESS")
+    return system.exists(path)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Applies the stages to `documents`; each one's table is written to the shared folder and read again.
+
+    folder: where the tables of this run lie, by default a new one. A run with the folder of one that broke off goes on behind
+    the last stage that had been written. A stage's table is removed once the next one stands; the last one stays, as it
+    is the result.
+    """
+    folder = folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = [f"{folder}/{name}" for name, _ in STAGES]
+    first = max((i + 1 for i, x in enumerate(at) if _written(spark, x)), default=0)
+    docs = spark.read.parquet(at[first - 1] if first else f"{sf_dir}/documents.parquet")
+    for i in range(first, len(STAGES)):
+        STAGES[i][1](spark, docs, sf_dir).write.mode("overwrite").parquet(at[i])
+        docs = spark.read.parquet(at[i])
+        if i:
+            system, path = _path(spark, at[i - 1])
+            system.delete(path, True)
     return docs
