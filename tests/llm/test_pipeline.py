@@ -68,3 +68,43 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d)
     assert docs.count() == 0
+
+
+def test_run_goes_on_and_cleans_up(spark, tmp_path, monkeypatch):
+    import pytest
+
+    calls = []
+
+    def stage(name, broken=False):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if broken and calls.count(name) == 1:
+                raise RuntimeError(name)
+            return docs.withColumn(name, docs.doc_id + len(calls))
+
+        return name, run
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("one"), stage("two"), stage("three", True), stage("four")])
+    folder = tmp_path / "run"
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == ["two"]
+    out = corpus_pipeline.run(spark, str(tmp_path), str(folder))
+    assert calls == ["one", "two", "three", "three", "four"] and out.columns == ["doc_id", "text", "one", "two", "three", "four"] and out.count() == 2
+    assert sorted(p.name for p in folder.iterdir()) == ["four"]
+    again = corpus_pipeline.run(spark, str(tmp_path), str(folder))
+    assert calls == ["one", "two", "three", "three", "four"] and again.count() == 2
+
+
+def test_columns_that_clash_pass_through_all_stages(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    names = ["id", "name", "_id", "_nth", "_name", "_salt", "_w", "rank", "length", "target", "ids", "root", "spans", "kept"]
+    wide = docs.select("*", *[docs.doc_id.cast("string").alias(n) for n in names])
+    got = wide
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = spark.createDataFrame(stage(spark, got, d).collect(), wide.schema)
+        assert got.columns == wide.columns, name
+        assert got.where("id <> doc_id OR _salt <> doc_id OR kept <> doc_id").count() == 0
+    assert corpus_pipeline.pack(spark, got, d).count() >= got.count()
