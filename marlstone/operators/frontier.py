@@ -5,7 +5,7 @@ documents, or, if there are none, its pages up to the first one that leads to a
 behind it. What fits a crawl's budgets is found by running sums over the round's documents in their order, so a round is a few
 joins and windows over narrow rows, and the number of rounds is bounded by the budgets of one crawl, not by the number of crawls.
 A crawl's rows in a round are bounded by its budgets as well (`pages` documents of `LINKS` links), so none of them is a large
-group. A document's row is read for the crawls that reach it in that round; the corpus is never walked as a whole.
+group. Documents are read as a whole once for each link of depth, to find those that any crawl may reach; rounds read only these.
 
 * A document beyond its kind's number isn't read; neither is what is queued behind it.
 * A fetch that needs more attempts or bytes than are left uses them up and stops its crawl.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import web
 from marlstone.operators.crawl import LIMITS
+from marlstone.operators.graph import reach
 from marlstone.operators.sequence import first_seen
 from marlstone.session import cut
 
@@ -72,7 +73,7 @@ def _within(batch: DataFrame, limits: dict) -> DataFrame:
 def crawled(docs: DataFrame, seeds: DataFrame, limits: dict | None = None) -> DataFrame:
     """(crawl, url, parent, protocol, depth, visit, status, attempts, bytes, deep) of every address that a crawl queues.
 
-    docs: (url, attempts, bytes, ok, links: array of (href, protocol)), one row for an address; seeds: (crawl, ord, url,
+    docs: (url, attempts, bytes, ok, links: array of (href, protocol)), one row for an address, best a table that is written; seeds: (crawl, ord, url,
     protocol), in the order in which a crawl queues them. `visit` counts a crawl's fetches from 1. `status` is read,
     failed, stopped: attempts, stopped: bytes or not attempted (`visit` null, nothing used). `deep`: links lay below the
     depth. limits: values in place of those of `crawl.LIMITS`. Without seeds the result is empty.
@@ -80,6 +81,9 @@ def crawled(docs: DataFrame, seeds: DataFrame, limits: dict | None = None) -> Da
     limits = {**LIMITS, **(limits or {})}
     kind = seeds.schema["crawl"].dataType.simpleString()
     docs = docs.select("url", F.coalesce("attempts", F.lit(1)).cast("long").alias("attempts"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("ok", F.lit(False)).alias("ok"), "links")
+    linked = docs.select(F.col("url").alias("src"), F.explode("links.href").alias("dst")).where("dst IS NOT NULL")
+    near = reach(linked, seeds.where("url IS NOT NULL").select("url"), limits["depth"]).select(F.col("node").alias("url"))
+    docs = cut(docs.join(near, "url", "left_semi"))
     start = first_seen(seeds.where("url IS NOT NULL").select("crawl", "url", "ord", "protocol"), ["crawl", "url"], ["ord", "protocol"])
     nth = F.row_number().over(Window.partitionBy("crawl").orderBy("ord", "url")).cast("long")
     open_ = cut(start.select("crawl", "url", F.lit(None).cast("string").alias("parent"), "protocol", F.lit(0).alias("depth"), nth.alias("place")))
@@ -102,10 +106,11 @@ def crawled(docs: DataFrame, seeds: DataFrame, limits: dict | None = None) -> Da
         # A page that leads to a protocol document is the last one of its round.
         fresh = cut(fresh.withColumn("last", F.min(F.when(F.col("protocol") & ~F.col("from_protocol"), F.col("place"))).over(all_rows)))
         last = fresh.where("last IS NOT NULL").groupBy("crawl").agg(F.first("last").alias("last"))
-        step = step.join(last, "crawl", "left").where("last IS NULL OR place <= last").drop("last", "links").withColumn("round", F.lit(r))
+        # What later rounds look at is written, so that no round plans the ones before it anew.
+        step = cut(step.join(last, "crawl", "left").where("last IS NULL OR place <= last").drop("last", "links").withColumn("round", F.lit(r)))
         done = step if done is None else done.unionByName(step)
         nth = F.row_number().over(Window.partitionBy("crawl").orderBy("place", "at"))
-        new = fresh.where("last IS NULL OR place <= last").select("crawl", "url", "parent", "protocol", "depth", (F.lit(r).cast("long") * (1 << 32) + nth).alias("place"))
+        new = cut(fresh.where("last IS NULL OR place <= last").select("crawl", "url", "parent", "protocol", "depth", (F.lit(r).cast("long") * (1 << 32) + nth).alias("place")))
         open_ = cut(open_.join(step.select("crawl", "url"), ["crawl", "url"], "left_anti").unionByName(new))
         seen = seen.unionByName(new.select("crawl", "url"))
     cols = ["crawl", "url", "parent", "protocol", "depth"]

@@ -33,7 +33,8 @@ def actions(answers: DataFrame, answer: str) -> DataFrame:
         chosen = F.transform(variant.items(v, "selections"), lambda s: F.struct(F.trim(variant.text(s, "url")).alias("url"), redacted(variant.text(s, "reason"), REASON).alias("reason")))
         return F.when(v.isNotNull(), F.struct(variant.text(v, "action").alias("action"), redacted(variant.text(v, "query"), REASON).alias("query"), F.trim(variant.text(v, "url")).alias("url"), chosen.alias("given")))
 
-    a = answers.withColumn("_a", variant.once(variant.strict(last_object(F.col(answer)), ANSWER), read))
+    a = answers.withColumn("_o", last_object(F.col(answer)))
+    a = a.withColumn("_a", variant.once(variant.strict(F.col("_o"), ANSWER), read))
     a = a.withColumn("_k", F.filter("_a.given", lambda s: s["url"] != ""))
     kind, query, url, given, kept = (F.col(c) for c in ("_a.action", "_a.query", "_a.url", "_a.given", "_k"))
     good = F.when(kind == "search", query != "").when(kind == "open", url != "").when(kind == "accept", F.size(kept) > 0).otherwise(kind == "done")

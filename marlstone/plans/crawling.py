@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import web
 from marlstone.operators import crawl, enrich, frontier
 from marlstone.plans.registry import Registry
+from marlstone.session import cut
 from marlstone.sources.tables import table
 
 query = Registry()
@@ -42,7 +43,7 @@ def page_graph(spark, d):
     links = F.transform(frontier.page_links(F.col("links")), lambda x: F.struct(name(to(x["href"])).alias("href"), (to(x["href"]) % 5 == 0).alias("protocol")))
     docs = web.pages(p.withColumn("bytes", F.octet_length("html"))).select(name(k).alias("url"), (1 + k % 3).alias("attempts"), "bytes", (k % 7 != 6).alias("ok"), links.alias("links"))
     seeds = p.where("page_id % 25 < 4").select(F.floor(k / 25).alias("crawl"), k.alias("ord"), name(k).alias("url"), (k % 4 == 3).alias("protocol"))
-    return docs, seeds
+    return cut(docs), seeds
 
 
 @query("crawl_budgets")
