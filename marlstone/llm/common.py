@@ -52,7 +52,8 @@ def spread_rank(df: DataFrame, key: list[str], order: list[str], salt: Column, w
 
     No key is gathered in one task: the rows of a key are dealt over groups by `salt`, ranked inside each, and shifted
     by what the key's earlier groups hold. The order is that of salt, then `order`. carry: a table with one row per key,
-    whose other columns are added on the way, so that a hot key isn't joined by itself.
+    whose other columns are added on the way, so that a hot key isn't joined by itself. An empty table gives an empty one;
+    the rows must have no columns named `_salt`, `_w`, `_in`, `_n`, `_s`, `_before` or `_k0` and on, so callers pass narrow rows.
     """
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
     df = df.withColumn("_salt", salt.cast("int")).withColumn("_w", w)

@@ -8,8 +8,8 @@ round in which it is met first, so nothing is met twice, and the last round reac
 
 Equal codes are one entry with their k least ids, so a very common vector costs no more than a rare one; queries with
 equal codes are searched once. Rows without an embedding are neither indexed nor asked; a null or missing element counts
-as not positive. Repeated rows each take a place. A query finds itself. Fewer than k rows: all are returned. Other
-columns are not read.
+as not positive. Repeated rows each take a place. A query finds itself. Fewer than k rows: all are returned; an empty table or
+no queries: none. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ task replaces its package.
 
 Records with equal payloads of at least `MIN_REVISIT` bytes: those of the smallest id are responses, others revisit it.
 Rows that repeat that id with that payload are all responses. Null ids count as larger than any; a payload that only
-they have is a response each time. Null and empty pages have an empty payload. Other columns are not read.
+they have is a response each time. Null and empty pages have an empty payload. An empty table gives packages without
+records, or none, and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
