@@ -25,9 +25,13 @@ def attendance(mode: Column) -> Column:
     return F.when(F.contains(mode, F.lit("Mixed")), "hybrid").when(F.contains(mode, F.lit("Online")), "online").when(F.contains(mode, F.lit("Offline")), "onsite")
 
 
-def opened(df: DataFrame, title: str, snippet: str, page_title: str, page_text: str) -> DataFrame:
-    """A candidate's empty title and snippet from the opened page, contacts removed, at most 300 and 500 code points."""
-    t, s = T.left_runes(T.strip_contacts(F.col(page_title)), 300), T.left_runes(T.strip_contacts(F.col(page_text)), 500)
+def opened(df: DataFrame, title: str, snippet: str, page_title: str, page_text: str, bare_titles: bool = False) -> DataFrame:
+    """A candidate's empty title and snippet from the opened page, contacts removed, at most 300 and 500 code points.
+
+    bare_titles: a page's title is taken as it stands, neither redacted nor cut.
+    """
+    t = F.col(page_title) if bare_titles else T.left_runes(T.strip_contacts(F.col(page_title)), 300)
+    s = T.left_runes(T.strip_contacts(F.col(page_text)), 500)
     return df.withColumns({title: filled(F.col(title), t), snippet: filled(F.col(snippet), s)}).drop(page_title, page_text)
 
 

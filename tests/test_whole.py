@@ -75,3 +75,17 @@ def test_opened_page_fill(spark):
     rows = got(spark, "opened_page_fill")
     assert len(rows) == len(pages) and set(rows) == want
     assert any(t != t.strip(" ") for t in pages.values()) and len(rows) == len(got(spark, "opened_page_fill"))
+
+
+def test_opened_titles_stay_as_they_stand(spark, tmp_path):
+    """Contacts, long titles, white space inside and no title at all: what the SQL gives."""
+    import duckdb
+
+    titles = {1: "ask a.b@mail.example.com", 3: " two \t\tgaps ", 5: "x" * 400, 7: "call 010-1234-5678", 9: " ", 2: "a@b.example.com"}
+    rows = [(i, f"<html><title>{t}</title></html>") for i, t in titles.items()] + [(11, "<p>none"), (13, None)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["opened_page_fill"](spark, str(tmp_path)).select("page_id", "title", "snippet").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.oracle_sql()["opened_page_fill"]).fetchall())
+    assert dict(r[:2] for r in map(tuple, got))[1] == titles[1]
