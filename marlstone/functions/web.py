@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.batches import pieces
+
 LINKS = "array<struct<ord:int,tag:string,href:string,rel:string,type:string,text:string>>"
 
 
@@ -54,27 +56,40 @@ class _Page(HTMLParser):
                 self.links[self.open][4].append(data)
 
 
-def read_page(html: str | None) -> tuple[str, str, list[dict]]:
+def only(html: str, references: tuple[str, ...]) -> str:
+    """The page with every ampersand escaped that doesn't begin one of these named references, semicolon included."""
+    return re.sub(f"&(?!(?:{'|'.join(references)});)", "&amp;", html)
+
+
+def read_page(html: str | None, references: tuple[str, ...] | None = None) -> tuple[str, str, list[dict]]:
     p = _Page()
-    p.feed(html or "")
+    p.feed(only(html or "", references) if references else html or "")
     p.close()
     links = [{"ord": i, "tag": g, "href": h, "rel": r, "type": t, "text": " ".join("".join(x).split())} for i, (g, h, r, t, x) in enumerate(p.links)]
     return " ".join("".join(p.title).split()), " ".join("".join(p.text).split()), links
 
 
-def pages(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """The rows with title, body and links in place of the page's source; parsed in Arrow batches."""
+def pages(df: DataFrame, html_col: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows with title, body and links in place of the page's source; parsed in Arrow batches, a few pages at a time.
+
+    references: names of the character references that are read, with their semicolon; by default all, as browsers do, which
+    read old ones such as `&amp` without it too.
+    """
     keep = [f for f in df.schema.fields if f.name != html_col]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "title string", "body string", f"links {LINKS}"])
 
     def run(frames):
-        for pdf in frames:
-            got = [read_page(h) for h in pdf[html_col]]
-            out = pdf.drop(columns=[html_col])
-            out["title"], out["body"], out["links"] = ([g[i] for g in got] for i in range(3))
-            yield out
+        import pyarrow as pa
+
+        for b in pieces(frames, html_col):
+            html = b.column(b.schema.get_field_index(html_col))
+            text = html.type
+            links = pa.list_(pa.struct([("ord", pa.int32()), *((f, text) for f in ("tag", "href", "rel", "type", "text"))]))
+            got = [read_page(h.as_py(), references) for h in html]
+            parsed = [pa.array([g[i] for g in got], t) for i, t in enumerate((text, text, links))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), *parsed], names=[*(f.name for f in keep), "title", "body", "links"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def last_json_object(text: str | None) -> str | None:

@@ -89,3 +89,28 @@ def test_opened_titles_stay_as_they_stand(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(catalog.oracle_sql()["opened_page_fill"]).fetchall())
     assert dict(r[:2] for r in map(tuple, got))[1] == titles[1]
+
+
+def test_pages_read_the_references_of_their_sql(spark, tmp_path):
+    """References that a cut has left without their semicolon stay as they stand, as do those that a query's SQL doesn't name."""
+    import duckdb
+
+    title, body = 'a &amp; b &quot;c&quot; &amp', "x &amp; y &lt;z&gt; &amp. &quot"
+    html = f'<html><title>{title}</title><body><p>{body}</p><a href="/q?a=1&amp;b=2&copy">A&amp;B &amp</a> R&am</body></html>'
+    spark.createDataFrame([(1, html), (2, html.replace("&amp<", "&quo<")), (3, "")], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name, cols in (("page_title", "page_id, title"), ("page_text", "page_id, body"), ("page_links", "page_id, ord, href, text")):
+        got = catalog.queries()[name](spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT {cols} FROM ({catalog.oracle_sql()[name]})").fetchall()), name
+
+
+def test_pieces_are_bounded():
+    import pyarrow as pa
+
+    from marlstone.functions.batches import pieces
+
+    texts = ["a" * 40, None, "b" * 200, "", "c" * 30, "d" * 30, "é" * 30] + ["e"] * 30
+    got = list(pieces([pa.record_batch({"t": texts, "n": list(range(len(texts)))}).slice(1), pa.record_batch({"t": ["z"], "n": [99]})], "t", 100, 10))
+    assert [x for b in got for x in b.column(0).to_pylist()] == texts[1:] + ["z"] and [x for b in got for x in b.column(1).to_pylist()] == [*range(1, len(texts)), 99]
+    assert all(b.num_rows == 1 or (b.num_rows <= 10 and sum(len((x or "").encode()) for x in b.column(0).to_pylist()) <= 100) for b in got)
