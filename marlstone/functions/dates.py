@@ -36,16 +36,35 @@ def date_range(start_raw: Column, end_raw: Column) -> Column:
 
 def normalize_deadline(raw: Column) -> Column:
     """ISO date of the first date in a deadline text; years 2000 to 2100, days to 31 without a calendar check."""
-    y, m, d = (F.regexp_extract(raw, DATE, i).try_cast("int") for i in (1, 2, 3))
-    return F.when(y.between(2000, 2100) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+    part = lambda t, i: F.regexp_extract(t, DATE, i).try_cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+
+    def told(p: Column) -> Column:
+        ok = p["y"].between(2000, 2100) & p["m"].between(1, 12) & p["d"].between(1, 31)
+        return F.when(ok, F.concat_ws("-", p["y"].cast("string"), two(p["m"]), two(p["d"])))
+
+    # Text, parts and date are each computed once, as elements of arrays that the next step reads.
+    parts = F.transform(F.array(raw), lambda t: F.struct(part(t, 1).alias("y"), part(t, 2).alias("m"), part(t, 3).alias("d")))
+    return F.transform(parts, told)[0]
 
 
 def date_evidence(text: Column, iso: Column) -> Column:
     """Whether an ISO date stands in a text in any usual shape, the year left out included."""
+    return stands_in(text, date_shapes(iso))
+
+
+def date_shapes(iso: Column) -> Column:
+    """struct<iso, full, short>: the patterns of an ISO date with its year and without; computed once for any number of texts."""
     y, m, d = F.substring(iso, 1, 4), F.regexp_replace(F.substring(iso, 6, 2), "^0", ""), F.regexp_replace(F.substring(iso, 9, 2), "^0", "")
     full = F.concat(y, F.lit(r"\s*[-./년]\s*0?"), m, F.lit(r"\s*[-./월]\s*0?"), d)
     short = F.concat(F.lit("(^|[^0-9])0?"), m, F.lit(r"\s*[./월]\s*0?"), d, F.lit("($|[^0-9])"))
-    return F.regexp_like(iso, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & (F.regexp_like(text, full) | F.regexp_like(text, short))
+    return F.struct(iso.alias("iso"), full.alias("full"), short.alias("short"))
+
+
+def stands_in(text: Column, shapes: Column) -> Column:
+    """Whether a date of `date_shapes` stands in a text."""
+    whole = F.regexp_like(shapes["iso"], F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+    return whole & (F.regexp_like(text, shapes["full"]) | F.regexp_like(text, shapes["short"]))
 
 
 def date_context(text: Column, iso: Column) -> Column:

@@ -43,8 +43,9 @@ def unmet(title: Column, location: Column, date: Column) -> Column:
 
 def suggested_deadline(current: Column, suggested: Column, pages: Column) -> Column:
     """A suggested deadline where none is known, and only if one of the pages read bears it out."""
-    iso = dates.normalize_deadline(suggested)
-    return F.coalesce(current, F.when(F.exists(pages, lambda p: dates.date_evidence(p, iso)), iso))
+    shapes = F.transform(F.array(dates.normalize_deadline(suggested)), dates.date_shapes)  # once, however many pages there are
+    borne = F.transform(shapes, lambda s: F.when(F.exists(pages, lambda p: dates.stands_in(p, s)), s["iso"]))
+    return F.coalesce(current, borne[0])
 
 
 def suggested_name(current: Column, suggested: Column, source_name: Column) -> Column:

@@ -153,3 +153,14 @@ def test_listing_connector(spark, tmp_path):
 def test_records(spark):
     assert one(spark, records.appended(F.array(F.lit("a")), "b"), records.appended(F.array(F.lit("b")), "b"), records.appended(F.lit(None).cast("array<string>"), "b")) == (["a", "b"], ["b"], ["b"])
     assert list(one(spark, *[records.without_template_summary(F.lit(s), F.lit("Fair")) for s in ("fair", "Fair — x", "Fair @ y", "Fairly good")])) == [None, None, None, "Fairly good"]
+
+
+def test_a_suggested_date_is_read_once(spark):
+    """However many pages may bear it out, the optimized plan reads its three parts once."""
+    from marlstone.operators import enrich
+
+    rows = [(None, "2026.9.1", "until 2026년 9월 1일"), (None, "2026.9.1", "9월 1일까지"), (None, "2026.9.1", "19.10"), ("2030-01-01", "2026.9.1", "2026-09-01"), (None, "soon", "2026-09-01"), (None, None, None)]
+    df = spark.createDataFrame(rows, "known string, said string, page string")
+    got = df.select(enrich.suggested_deadline(F.col("known"), F.col("said"), F.array(F.lit("x"), F.col("page"), F.lit("y"))).alias("d"))
+    assert [r.d for r in got.collect()] == ["2026-09-01", "2026-09-01", None, "2030-01-01", None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 3
