@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.batches import pieces
+
 
 def opened(path: str):
     """(file system, folder) of a path that every executor can reach."""
@@ -19,7 +21,8 @@ def opened(path: str):
 def write_bodies(rows: DataFrame, folder: str, name: str, body: str) -> int:
     """Writes each row's text to a file of its own below a shared folder; gives how many there are.
 
-    Files are written by the tasks and renamed at their end, so a task that is run again leaves the same files.
+    Files are written by the tasks and renamed at their end, so a task that is run again leaves the same files. Texts are taken
+    a few at a time.
     """
 
     def run(frames):
@@ -27,7 +30,7 @@ def write_bodies(rows: DataFrame, folder: str, name: str, body: str) -> int:
 
         system, root = opened(folder)
         n = 0
-        for b in frames:
+        for b in pieces(frames, body):
             for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = f"{root}/{file}"
                 system.create_dir(posixpath.dirname(at), recursive=True)

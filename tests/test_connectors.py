@@ -95,3 +95,18 @@ def test_unpacked_bodies(spark):
     rows = [(b"abc", None), (gzip.compress(b"x" * 100), "utf-8"), (gzip.compress(b"x" * 101), "utf-8"), ("é".encode("latin-1"), "latin-1"), (b"a", "none"), (b"\x1f\x8bbroken", None), (None, None)]
     got = [r[0] for r in spark.createDataFrame(rows, "b binary, c string").select(unpacked(F.col("b"), F.col("c"), 100)).collect()]
     assert got == ["abc", "x" * 100, None, "é", None, None, ""]
+
+
+def test_steps_on_few_texts_at_a_time(spark, monkeypatch, tmp_path):
+    """Listings, records and files are made piece by piece, with the same rows as in one."""
+    from marlstone.functions import batches
+    from marlstone.sources import files
+
+    before = batches.pieces
+    for module in (venues, files):
+        monkeypatch.setattr(module, "pieces", lambda frames, column: before(frames, column, 40, 2))
+    one = '<li class="ex_item"><a class="ex_tit_a" href="?idx={}">x</a></li>'
+    df = spark.createDataFrame([(k, "".join(one.format(10 * k + i) for i in range(k))) for k in range(6)], "k long, h string").coalesce(1)
+    got = [(r.k, r.ord, r.idx) for r in venues.listing(df, "k", "h").collect()]
+    assert sorted(got) == [(k, i, str(10 * k + i)) for k in range(6) for i in range(k)]
+    assert write_bodies(df.selectExpr("concat('p', k) AS f", "h"), str(tmp_path), "f", "h") == 6 and len(list(tmp_path.iterdir())) == 6
