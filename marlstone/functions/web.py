@@ -7,6 +7,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ def pages(df: DataFrame, html_col: str = "html", references: tuple[str, ...] | N
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "title string", "body string", f"links {LINKS}"])
 
     def run(frames):
-        import pyarrow as pa
-
         for b in pieces(frames, html_col):
             html = b.column(b.schema.get_field_index(html_col))
             text = html.type
@@ -275,21 +274,22 @@ def preferred_format(accept: Column) -> Column:
 
 
 def unpacked(body: Column, charset: Column, cap: int = 1 << 19) -> Column:
-    """Text of a response body, gzip undone; null beyond `cap` bytes or in an unknown charset."""
+    """Text of a response body, gzip undone; null beyond `cap` bytes or in an unknown charset. Bodies are taken one at a time."""
     import zlib
 
-    @F.pandas_udf("string")
-    def run(b: pd.Series, c: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(b: pa.Array, c: pa.Array) -> pa.Array:
         out = []
-        for raw, name in zip(b, c, strict=True):
+        for packed, charset in zip(b, c, strict=True):
+            raw, name = packed.as_py(), charset.as_py()
             try:
-                data = bytes(raw or b"")
+                data = raw or b""
                 if data[:2] == b"\x1f\x8b":
                     z = zlib.decompressobj(31)
                     data = z.decompress(data, cap + 1)
                 out.append(None if len(data) > cap else data.decode(name or "utf-8", "replace"))
             except (LookupError, zlib.error):
                 out.append(None)
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     return run(body, charset)

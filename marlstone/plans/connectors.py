@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,9 +150,9 @@ def showala_listing(spark, d):
 
 
 def _zipped(c: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: None if x is None else gzip.compress(x, 1, mtime=0))
+    @F.arrow_udf("binary")
+    def run(b: pa.Array) -> pa.Array:
+        return pa.array((None if (raw := x.as_py()) is None else gzip.compress(raw, 1, mtime=0) for x in b), pa.binary())
 
     return run(c)
 
@@ -166,7 +166,7 @@ def response_bodies(spark, d):
     """Bodies as they are, packed, in UTF-16 and in a charset that there isn't, of at most 3,000 bytes."""
     k = F.col("doc_id") % 4
     plain = F.encode("text", "UTF-8")
-    rows = table(spark, d, "documents").select("doc_id", F.when(k == 1, _zipped(plain)).when(k == 2, F.encode("text", "UTF-16BE")).otherwise(plain).alias("raw"), F.when(k == 2, "utf-16-be").when(k == 3, "x-none").alias("charset"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(k == 1, _zipped(F.when(k == 1, plain))).when(k == 2, F.encode("text", "UTF-16BE")).otherwise(plain).alias("raw"), F.when(k == 2, "utf-16-be").when(k == 3, "x-none").alias("charset"))
     return rows.select("doc_id", web.unpacked(F.col("raw"), F.col("charset"), 3000).alias("body"))
 
 
