@@ -1,6 +1,7 @@
 """Python data sources over fetched list pages and read-API pages, as a crawler left them in a shared folder.
 
-* `listing`: pages of known number, `page-<n>.html`; batch, and stream with the number of pages read as its offset.
+* `listing`: pages of known number, `page-<n>.html`; batch, and stream with the number of pages read as its offset. A partition reads
+  `pagesPerPartition` pages, by default 8, or more where that would make above 256 partitions.
 * `listing_walk`: listings whose pages name the pages to read next; a partition walks one listing.
 * `feed`: JSON pages that name the next one by a cursor; a partition follows one feed.
 
@@ -40,16 +41,26 @@ def names(path: str) -> list[str]:
     return sorted(i.base_name for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True)))
 
 
+#: Partitions that a range of pages is dealt over at most, and pages that one of them reads at least, unless the caller says otherwise.
+MOST_PARTITIONS, LEAST_PAGES = 256, 8
+
+
 @dataclass
 class Pages(InputPartition):
     first: int
     last: int
 
 
+def dealt(first: int, last: int, step: int | None) -> list[Pages]:
+    """Partitions of the pages from `first` to `last`; their number doesn't grow with that of the pages beyond a bound."""
+    step = step or max(LEAST_PAGES, -(-(last - first + 1) // MOST_PARTITIONS))
+    return [Pages(a, min(a + step - 1, last)) for a in range(first, last + 1, step)]
+
+
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.pattern = options["path"], options.get("pattern", ENTRY)
-        self.first, self.last, self.step = 1, int(options.get("pages", 1)), int(options.get("pagesPerPartition", 8))
+        self.first, self.last, self.step = 1, int(options.get("pages", 1)), int(options.get("pagesPerPartition", 0))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -62,7 +73,7 @@ class ListingReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [Pages(a, min(a + self.step - 1, self.last)) for a in range(self.first, self.last + 1, self.step)] or [Pages(1, 0)]
+        return dealt(self.first, self.last, self.step) or [Pages(1, 0)]
 
     def read(self, part: Pages) -> Iterator[tuple]:
         return entries(self.path, self.pattern, part)
@@ -79,7 +90,7 @@ class ListingStream(DataSourceStreamReader):
     """Pages from 1 on as they are written; the offset is the last page that is there together with all before it."""
 
     def __init__(self, options: dict):
-        self.path, self.pattern, self.step = options["path"], options.get("pattern", ENTRY), int(options.get("pagesPerPartition", 8))
+        self.path, self.pattern, self.step = options["path"], options.get("pattern", ENTRY), int(options.get("pagesPerPartition", 0))
 
     def initialOffset(self) -> dict:
         return {"page": 0}
@@ -92,7 +103,7 @@ class ListingStream(DataSourceStreamReader):
         return {"page": last}
 
     def partitions(self, start: dict, end: dict):
-        return [Pages(a, min(a + self.step - 1, end["page"])) for a in range(start["page"] + 1, end["page"] + 1, self.step)]
+        return dealt(start["page"] + 1, end["page"], self.step)
 
     def read(self, part: Pages) -> Iterator[tuple]:
         return entries(self.path, self.pattern, part)

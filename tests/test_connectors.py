@@ -110,3 +110,12 @@ def test_steps_on_few_texts_at_a_time(spark, monkeypatch, tmp_path):
     got = [(r.k, r.ord, r.idx) for r in venues.listing(df, "k", "h").collect()]
     assert sorted(got) == [(k, i, str(10 * k + i)) for k in range(6) for i in range(k)]
     assert write_bodies(df.selectExpr("concat('p', k) AS f", "h"), str(tmp_path), "f", "h") == 6 and len(list(tmp_path.iterdir())) == 6
+
+
+def test_partitions_of_a_long_listing_are_bounded():
+    for pages in (1, 8, 9, 2048, 2049, 540_000):
+        parts = connector.ListingReader({"path": "x", "pages": str(pages)}).partitions()
+        stream = connector.ListingStream({"path": "x"}).partitions({"page": 0}, {"page": pages})
+        assert parts == stream and len(parts) <= 256 and [n for p in parts for n in (p.first, p.last)][0] == 1
+        assert sum(p.last - p.first + 1 for p in parts) == pages and all(a.last + 1 == b.first for a, b in zip(parts, parts[1:]))
+    assert len(connector.ListingReader({"path": "x", "pages": "20", "pagesPerPartition": "2"}).partitions()) == 10
