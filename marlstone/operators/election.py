@@ -23,18 +23,22 @@ def elect(df: DataFrame, id_col: str = "event_id", key_col: str = "content_key",
 
 
 def reelect(stored: DataFrame, changes: DataFrame, rank: Column | None = None) -> DataFrame:
-    """(event_id, content_key, superseded, was) of the clusters that a batch touches, elected anew; was: the stored flag, null
-    for a row that had no key before.
+    """(event_id, content_key, superseded, was, come) of all rows after a batch, the clusters that it touches elected anew; was: the
+    flag stored under this key, null for a row that is new to it; come: whether the batch names the row.
 
     stored: (event_id, content_key, superseded) of keyed rows, at least those of the touched keys; changes: (event_id,
     old_key, new_key), one row for an id; blank keys are none. The old and the new key of every changed row are touched:
-    one has lost a row, the other has won one. Rows of other keys are dropped before anything is shuffled by the election. An
-    id that is stored without its `old_key` being named would stay in its old cluster, so the batch has to name it.
+    one has lost a row, the other has won one. Rows of other keys keep their flags. An id that is stored without its
+    `old_key` being named stays in its old cluster, so the batch has to name it.
+
+    Rows meet by key and id, so a common key is spread; its winner is an aggregate that is joined back, as in `elect`.
     """
-    some = lambda c: F.nullif(F.col(c), F.lit(""))
-    change = changes.select("event_id", some("old_key").alias("old_key"), some("new_key").alias("new_key"))
-    touched = change.select(F.explode(F.array("old_key", "new_key")).alias("content_key")).where("content_key IS NOT NULL").distinct()
-    there = stored.join(touched, "content_key", "left_semi").select("event_id", "content_key", F.col("superseded").alias("was"))
-    stay = there.join(change.select("event_id"), "event_id", "left_anti")
-    come = change.where("new_key IS NOT NULL").select("event_id", F.col("new_key").alias("content_key")).join(there.select("event_id", "was"), "event_id", "left")
-    return elect(stay.unionByName(come), rank=rank).select("event_id", "content_key", "superseded", "was")
+    named = changes.select("event_id", F.explode(F.array(F.struct(F.col("old_key").alias("content_key"), F.lit(False).alias("come")), F.struct(F.col("new_key").alias("content_key"), F.lit(True).alias("come")))).alias("_n"))
+    named = named.select("event_id", "_n.content_key", F.lit(None).cast("boolean").alias("was"), "_n.come").where("content_key <> ''")
+    rows = stored.select("event_id", "content_key", F.col("superseded").alias("was"), F.lit(None).cast("boolean").alias("come")).unionByName(named)
+    met = rows.groupBy("content_key", "event_id").agg(F.max("was").alias("was"), F.max("come").alias("come"))
+    rank = hashing.authority(hashing.source_of(F.col("event_id"))) if rank is None else rank
+    here = F.coalesce("come", F.lit(True))
+    best = met.groupBy("content_key").agg(F.min(F.when(here, F.struct(-rank, F.col("event_id").alias("id"))))["id"].alias("_winner"), F.count("come").alias("_named")).where("_named > 0").drop("_named")
+    out = met.where(here).join(best, "content_key", "left")
+    return out.select("event_id", "content_key", F.coalesce(F.col("event_id") != F.col("_winner"), "was").alias("superseded"), "was", F.coalesce("come", F.lit(False)).alias("come"))

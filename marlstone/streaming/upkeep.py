@@ -30,18 +30,21 @@ def elect_batch(store: Slices, changes: DataFrame, rank: Column | None = None, s
     """Brings a store of clusters up to date and gives (event_id, superseded) of the rows whose flag is another than before.
 
     changes: (event_id, old_key, new_key), as a merge's before and after images have them. Only the buckets of touched keys are
-    read and written; of their rows only those of touched keys are elected. A batch that is run again gives the same.
+    read and written; of their rows only those of touched keys are elected. A batch that is run again gives the same. The rows given are
+    computed when they are asked for, from the versions before this one.
     """
     changes = cut(changes.select("event_id", "old_key", "new_key"))
     keys = changes.select(F.explode(F.array("old_key", "new_key")).alias("content_key")).where("content_key <> ''")
     touched = [r[0] for r in keys.select(_bucket("content_key", buckets)).distinct().collect()]  # at most `buckets`
     before, version = store.place(stream, batch)
     stored = store.read(touched, before)
-    anew = cut(reelect(stored, changes, rank))
-    others = stored.join(keys.distinct(), "content_key", "left_anti")
-    store.publish(others.unionByName(anew.select("event_id", "content_key", "superseded")), {b: {} for b in touched}, version, stream, batch)
-    flipped = anew.where(~F.col("superseded").eqNullSafe(F.coalesce("was", F.lit(False))))
-    freed = changes.where("old_key <> '' AND coalesce(new_key, '') = ''").join(stored.where("superseded"), "event_id", "left_semi")
+    anew = reelect(stored, changes, rank)
+    store.publish(anew.select("event_id", "content_key", "superseded"), {b: {} for b in touched}, version, stream, batch)
+    # Flags are only compared where they are asked for. A row that came from another cluster has the flag that it had there.
+    left = changes.where("old_key <> ''").select("event_id", F.col("old_key").alias("content_key")).join(stored, ["event_id", "content_key"]).select("event_id", F.col("superseded").alias("_left"))
+    both = anew.join(left, "event_id", "left").withColumn("was", F.when(F.col("come"), F.coalesce("_left", "was", F.lit(False))).otherwise(F.col("was")))
+    flipped = both.where("superseded <> coalesce(was, false)")
+    freed = changes.where("old_key <> '' AND coalesce(new_key, '') = ''").join(left.where("_left"), "event_id", "left_semi")
     return flipped.select("event_id", "superseded").unionByName(freed.select("event_id", F.lit(False).alias("superseded")))
 
 

@@ -89,3 +89,13 @@ def test_a_stream_touches_its_own_buckets(spark, tmp_path):
     assert len(drain([(5, "c", 3), (6, "x", 3), (100, "n", 3)])) <= 3
     got = {r.id: (r.v, r.update_state) for r in store.read().collect()}
     assert len(got) == 101 and got[5] == ("c", "unchanged") and got[6] == ("x", "updated") and got[100] == ("n", "new") and got[7] == ("a", "new")
+
+
+def test_a_batch_is_elected_with_one_join(spark):
+    """Stored and named rows meet in one aggregate; only the winners are joined, so rows are moved few times."""
+    from marlstone.operators.election import reelect
+
+    stored = spark.createDataFrame([("a", "x", False), ("b", "x", True), ("c", "z", True)], "event_id string, content_key string, superseded boolean")
+    out = reelect(stored, spark.createDataFrame([("a", "x", "y"), ("d", None, "")], CHANGES), F.lit(1))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.event_id, r.content_key, r.superseded) for r in out.collect()) == [("a", "y", False), ("b", "x", False), ("c", "z", True)]
