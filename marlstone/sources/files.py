@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.batches import pieces
+from marlstone.session import setting
+
+#: Bytes of an Arrow batch of texts to be written; Spark's own bound, 64 MB, is held more than once by each task.
+BATCH = "1m"
 
 
 def opened(path: str):
@@ -21,8 +25,8 @@ def opened(path: str):
 def write_bodies(rows: DataFrame, folder: str, name: str, body: str) -> int:
     """Writes each row's text to a file of its own below a shared folder; gives how many there are.
 
-    Files are written by the tasks and renamed at their end, so a task that is run again leaves the same files. Texts are taken
-    a few at a time.
+    Files are written by the tasks and renamed at their end, so a task that is run again leaves the same files. Texts are handed
+    to the tasks and taken by them a few at a time.
     """
 
     def run(frames):
@@ -41,7 +45,8 @@ def write_bodies(rows: DataFrame, folder: str, name: str, body: str) -> int:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return rows.select(name, body).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
+        return rows.select(name, body).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

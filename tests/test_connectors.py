@@ -119,3 +119,23 @@ def test_partitions_of_a_long_listing_are_bounded():
         assert parts == stream and len(parts) <= 256 and [n for p in parts for n in (p.first, p.last)][0] == 1
         assert sum(p.last - p.first + 1 for p in parts) == pages and all(a.last + 1 == b.first for a, b in zip(parts, parts[1:]))
     assert len(connector.ListingReader({"path": "x", "pages": "20", "pagesPerPartition": "2"}).partitions()) == 10
+
+
+def test_written_texts_reach_the_tasks_in_small_batches(spark, monkeypatch, tmp_path):
+    """30 MB of texts in one partition, of which no task is handed more than a little at once; the session's setting stays."""
+    from marlstone.sources import files
+
+    def small(frames, column):
+        for b in frames:
+            assert b.nbytes <= 2 << 20, f"a batch of {b.nbytes} bytes"
+            yield b
+
+    monkeypatch.setattr(files, "pieces", small)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 300, 1, 1).selectExpr("concat('p', id) AS f", "repeat('é', 50000 + id) AS b")
+    assert write_bodies(df, str(tmp_path), "f", "b") == 300 and spark.conf.get(key) == before
+    assert [(tmp_path / f"p{i}").stat().st_size for i in range(300)] == [2 * (50000 + i) for i in range(300)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        write_bodies(df.selectExpr("f", "concat(b, 1 / (length(b) - length(b))) AS b"), str(tmp_path), "f", "b")
+    assert spark.conf.get(key) == before
