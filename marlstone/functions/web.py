@@ -273,23 +273,28 @@ def preferred_format(accept: Column) -> Column:
     return F.when(weight("text/markdown") > weight("application/json"), "markdown").otherwise("json")
 
 
-def unpacked(body: Column, charset: Column, cap: int = 1 << 19) -> Column:
-    """Text of a response body, gzip undone; null beyond `cap` bytes or in an unknown charset. Bodies are taken one at a time."""
+def unpacked(body: Column, charset: Column, cap: int = 1 << 19, packed: Column | None = None) -> Column:
+    """Text of a response body, gzip undone; null beyond `cap` bytes or in an unknown charset, even if empty. Bodies are taken one at a time.
+
+    packed: whether a body is gzip; by default, and where null, its first two bytes tell, which may also be U+1F8B in UTF-16.
+    """
     import zlib
 
     @F.arrow_udf("string")
-    def run(b: pa.Array, c: pa.Array) -> pa.Array:
+    def run(b: pa.Array, c: pa.Array, p: pa.Array) -> pa.Array:
         out = []
-        for packed, charset in zip(b, c, strict=True):
-            raw, name = packed.as_py(), charset.as_py()
+        for row in zip(b, c, p, strict=True):
+            raw, name, gz = (x.as_py() for x in row)
+            data = raw or b""
             try:
-                data = raw or b""
-                if data[:2] == b"\x1f\x8b":
+                if data[:2] == b"\x1f\x8b" if gz is None else gz:
                     z = zlib.decompressobj(31)
                     data = z.decompress(data, cap + 1)
-                out.append(None if len(data) > cap else data.decode(name or "utf-8", "replace"))
+                # Python looks up no charset for no bytes, so that of an empty body is tried on one byte
+                text = None if len(data) > cap else (data or b"?").decode(name or "utf-8", "replace")
+                out.append(text if data else "")
             except (LookupError, zlib.error):
                 out.append(None)
         return pa.array(out, pa.string())
 
-    return run(body, charset)
+    return run(body, charset, F.lit(None).cast("boolean") if packed is None else packed)

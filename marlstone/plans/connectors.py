@@ -166,8 +166,8 @@ def response_bodies(spark, d):
     """Bodies as they are, packed, in UTF-16 and in a charset that there isn't, of at most 3,000 bytes."""
     k = F.col("doc_id") % 4
     plain = F.encode("text", "UTF-8")
-    rows = table(spark, d, "documents").select("doc_id", F.when(k == 1, _zipped(F.when(k == 1, plain))).when(k == 2, F.encode("text", "UTF-16BE")).otherwise(plain).alias("raw"), F.when(k == 2, "utf-16-be").when(k == 3, "x-none").alias("charset"))
-    return rows.select("doc_id", web.unpacked(F.col("raw"), F.col("charset"), 3000).alias("body"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(k == 1, _zipped(F.when(k == 1, plain))).when(k == 2, F.encode("text", "UTF-16BE")).otherwise(plain).alias("raw"), F.when(k == 2, "utf-16-be").when(k == 3, "x-none").alias("charset"), (k == 1).alias("packed"))
+    return rows.select("doc_id", web.unpacked(F.col("raw"), F.col("charset"), 3000, F.col("packed")).alias("body"))
 
 
 @query(

@@ -97,6 +97,33 @@ def test_unpacked_bodies(spark):
     assert got == ["abc", "x" * 100, None, "é", None, None, ""]
 
 
+def test_unpacked_empty_bodies_and_signatures(spark):
+    """An unknown charset is null for an empty body too; U+1F8B in UTF-16 is no gzip where the caller says so."""
+    import gzip
+
+    zipped, greek = gzip.compress(b"a"), "\u1f8bx".encode("utf-16-be")
+    rows = [(None, "x-none", None), (b"", "x-none", None), (gzip.compress(b""), "x-none", None), (b"", "hex", False), (None, None, None), (b"", "utf-16-be", False), (gzip.compress(b""), None, True)]
+    rows += [(greek, "utf-16-be", False), (greek, "utf-16-be", None), (zipped, None, None), (zipped, None, True), (zipped, "latin-1", False), (b"abc", None, True)]
+    df = spark.createDataFrame(rows, "b binary, c string, p boolean")
+    got = [r[0] for r in df.select(unpacked(F.col("b"), F.col("c"), 100, F.col("p"))).collect()]
+    assert got == [None, None, None, None, "", "", "", "\u1f8bx", None, "a", "a", zipped.decode("latin-1"), None]
+
+
+def test_response_bodies_of_odd_texts(spark, tmp_path):
+    """Null, empty, of a gzip signature in UTF-16 and about the 3,000 bytes: what the SQL gives."""
+    import duckdb
+
+    from marlstone import catalog
+
+    texts = [None, "", "\u1f8b", "\u1f8b\u0800 x", "\0", "\ufeffx", *(c * (3000 // n + more) for c, n in (("a", 1), ("é", 2), ("한", 3), ("한", 2), ("\U0001f600", 4)) for more in (0, 1))]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)] + [(-1, ""), (None, "\u1f8b"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["response_bodies"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(catalog.oracle_sql()["response_bodies"]).fetchall(), key=repr)
+
+
 def test_steps_on_few_texts_at_a_time(spark, monkeypatch, tmp_path):
     """Listings, records and files are made piece by piece, with the same rows as in one."""
     from marlstone.functions import batches
